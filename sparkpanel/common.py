@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that may surround an identifier without changing it.
-BLANKS = " \t\n\r "
+BLANKS = " \t\n\r\u00a0"
 #: Stands for a null inside a grouping key, so that joins on it stay plain equi-joins.
 NULL_KEY = "\u0000null"
 
