@@ -16,14 +16,14 @@ LABELS = r"true|false|correct|incorrect|accurate|inaccurate|untrue|yes|no|right|
 TRANSPORT = r"^\W*(error|exception|traceback|http error)\b ?[:#(]|^\W*(error|http) ?\d{3}\b|^\W*(internal server error|service unavailable|bad gateway|gateway timeout|too many requests|connection (reset|refused|timed out)|(read|request) timed out|rate limit)"
 NOTHING = r"^(|null|none|nil|na|nooutput|noresponse|noanswer|empty|undefined|nan|end|eos|endoftext|imend|stop|assistant)$"
 FRAMES = r"is (this|that|it) (correct|true|right|so)\W*$|\(true ?/ ?false\W*\)|(say|answer|reply|respond)( with| only)? (true or false|true/false)|true or false\W*$|your answer:\W*$|^\W*(question|statement( to (check|rate|judge))?|claim( to check)?|the statement to check is|decide whether this is true|you asked whether this holds|so the claim says|is the following (claim|statement) correct)\b"
-REFUSING = r"\b(can ?not|can't|cant|could not|couldn't|unable to|not able to|won't|will not|would rather not|i'd rather not|rather not|must decline|decline to|declined|i refuse|refuse to|i abstain|abstain from|no comment|have to pass|pass on this|not something i can|no way to say|not be right for me|keep me from|prevent me from|outside (of )?what i can|falls outside|do not know enough|don't know enough|not comfortable|no verdict is possible|not possible (for me )?to|cannot assist|can't assist|help with that|not allowed to|against my guidelines)\b"
+REFUSING = r"\b(can ?not|can't|cant|could not|couldn't|unable to|not able to|won't|will not|would rather not|i'd rather not|rather not|must decline|decline to|declined|i refuse|refuse to|i abstain|abstain from|no comment|have to pass|pass on this|not something i can|no way to say|not be right for me|keep me from|prevent me from|outside (of )?what i can|falls outside|do not know enough|don't know enough|not comfortable|no verdict is possible|undecidable|not possible (for me )?to|cannot assist|can't assist|help with that|not allowed to|against my guidelines)\b"
 SOFT = r"\b(sorry|apologi[sz]e|apologies|regrettably|unfortunately|afraid|as a language model|as an ai|thank you for asking|consult an expert|ask(ing)? a librarian|knowledge may be out of date|without access to sources|only work with given references|mentions a real person|my guidelines|anything else i can do|at this time)\b"
 DANGLING = r"\b(the|a|an|of|to|and|or|is|are|was|were|be|been|that|which|who|so|therefore|thus|hence|because|at|in|with|by|for|from|on|as|not|has|have|had|each|but|than|this|its|it|about|whether|between|after|before|while|when|where|no|any|only|also|besides)\W*$"
 PARTIAL = r"^\W*(t|tr|tru|f|fa|fal|fals|a|an|ans|answ|answe|v|ve|ver|verd|verdi|verdic|th|the|the s|the st|the sta|the stat|the state|the statem|the stateme|the statemen|the c|the cl|the cla|the clai)\W*$"
 #: Words of an answer's own: a statement that is merely given back has none of them.
 OWN = r"\b(claim|statement|reference|references|source|sources|record|records|detail|details|figure|fits?|match(es)?|conflicts?|correct|incorrect|wrong|right|true|false|accurate|inaccurate|label|faulted|swapped|indeed|part in (this|it)|does not belong|checks? out|accounts|reasoning|step|verdict|sorry|error|i|my)\b"
 ENGLISH = r"\b(the|and|this|that|with|for|not|which|from|by|it|its|what|here|someone|nothing|of|is|are)\b"
-FOREIGN = r"\b(vrai|vraie|faux|fausse|exacte?|inexacte?|oui|affirmation|concorde|jamais|sources disent|cette|n'est|c'est|n'a|afirmaci[oó]n|verdader[oa]|seg[uú]n|fuentes|cierto|falso|falsa|coinciden|sim|n[aã]o|verdadeir[oa]|afirma[cç][aã]o|esteve|est[aá] errada|citado|vero|dati|corrispondono|fonti|affermazione|sbagliata|lavorato|ja|nein|wahr|falsch|richtig|stimmt|aussage|nicht|l[aä]sst|trifft|waar|onwaar|bewering|klopt|niet|overeen|bronnen|sant|falskt|p[aå]st[aå]endet|st[aä]mmer|inte|uppgifterna|riktiga|prawda|fa[lł]sz|nie|dane|zgadzaj[aą]|[zź]r[oó]d[lł]ami|zdanie|b[lł][eę]dne|tak|sann|usann|feil|riktig|tosi|ep[aä]tosi|pravda|nepravda|do[gğ]ru|yanl[ıi][sş]|benar|salah|adev[aă]rat|igaz|hamis|sandt|s[ií]|s[iì])\b(?!')"
+FOREIGN = r"\b(vrai|vraie|faux|fausse|exacte?|inexacte?|oui|affirmation|concorde|jamais|sources disent|cette|n'est|c'est|n'a|afirmaci[oó]n|verdader[oa]|seg[uú]n|fuentes|cierto|falso|falsa|coinciden|n[uú]mero|bueno|sim|n[aã]o|verdadeir[oa]|afirma[cç][aã]o|esteve|est[aá] errada|citado|vero|dati|corrispondono|fonti|affermazione|sbagliata|lavorato|ja|nein|wahr|falsch|richtig|stimmt|aussage|nicht|l[aä]sst|trifft|waar|onwaar|bewering|klopt|niet|overeen|bronnen|sant|falskt|p[aå]st[aå]endet|st[aä]mmer|inte|uppgifterna|riktiga|prawda|fa[lł]sz|nie|dane|zgadzaj[aą]|[zź]r[oó]d[lł]ami|zdanie|b[lł][eę]dne|tak|sann|usann|feil|riktig|tosi|ep[aä]tosi|pravda|nepravda|do[gğ]ru|yanl[ıi][sş]|benar|salah|adev[aă]rat|igaz|hamis|sandt|s[ií]|s[iì])\b(?!')"
 QUOTED = r'[“"„«][^”"“»]*[”"»]'
 ACCENTED = r"[àâäáãåæçéèêëíìîïñóòôöõøœßúùûüýąćęłńśźżčďěňřšťůžğışőűăâîșț¿¡]"
 ALIEN = r"[^\p{IsLatin}\p{N}\p{P}\p{S}\p{Z}\p{C}\p{M}]"
@@ -84,19 +84,22 @@ def _votes(row: DataFrame) -> dict[str, list[Column]]:
     copied = F.coalesce(overlap >= 0.8, F.lit(False))
     count = lambda x: F.length(low) - F.length(F.replace(low, F.lit(x)))
     odd = (count("{") > count("}")) | (count("“") > count("”")) | (count('"') % 2 == 1) | (F.regexp_count(low, F.lit(r"\*\*")) % 2 == 1) | (count("(") > count(")")) | (count("[") > count("]"))
-    wordy = content != ""
+    strange = alien | (foreign & ~english)
+    # A frame that is opened but not closed breaks off; one that is closed around nothing is empty.
+    cut = odd & low.rlike(r"\p{L}")
+    fine = closed & ~odd | transport | copied | strange | (blank & ~cut)
     return {
-        "empty": [vote(~low.rlike(r"[\p{L}\p{N}]"), words >= 3), vote(blank, ~blank & ~transport), vote(transport, words >= 8), vote(F.lit(False), ~blank & ~transport & (told | (words >= 4) | foreign | alien))],
+        "empty": [vote(~low.rlike(r"[\p{L}\p{N}]"), words >= 3), vote(blank & ~cut, ~blank & ~transport | cut), vote(transport, words >= 8), vote(F.lit(False), ~blank & ~transport & (told | (words >= 4) | foreign | alien))],
         "truncated": [
-            vote(wordy & ~blank & ~closed & ~transport, closed | ~wordy | transport),
-            vote(odd & wordy & ~blank, closed & ~odd),
-            vote((F.col("__tokens") >= 64) & ~closed & wordy, closed & told),
-            vote(low.rlike(DANGLING) & ~closed | low.rlike(PARTIAL), closed),
-            vote(F.lit(False), closed & ~odd | copied | blank | transport),
-            vote(F.lit(False), alien | (foreign & ~english) | copied | frame | ~wordy),
+            vote(~closed & ~fine, fine),
+            vote(cut & ~fine, fine),
+            vote((F.col("__tokens") >= 64) & ~closed & ~fine, fine),
+            vote((low.rlike(DANGLING) & ~closed | low.rlike(PARTIAL)) & ~fine, fine),
+            vote(F.lit(False), fine),
+            vote(F.lit(False), strange | copied | frame | transport | (blank & ~cut)),
         ],
         "refusal": [vote(low.rlike(REFUSING) & ~told, told | ~low.rlike(REFUSING)), vote(low.rlike(SOFT) & ~told, told & low.rlike(SOFT)), vote(F.lit(False), told | blank | transport), vote(F.lit(False), copied | frame | ~closed)],
-        "copy": [vote(copied, overlap < 0.5), vote(frame & ~told & (words >= 8)), vote(copied & ~told & (left <= 9), (overlap < 0.6) | told), vote(F.lit(False), told | blank | transport | (words < 5)), vote(~told & (words >= 7) & (copied | (overlap.isNull() & ((frame & ~low.rlike(REFUSING)) | ~low.rlike(OWN)) & ~foreign & ~alien)), (overlap < 0.6) | low.rlike(REFUSING) | (overlap.isNull() & low.rlike(OWN) & ~frame))],
+        "copy": [vote(copied, overlap < 0.5), vote(frame & ~told & (words >= 8)), vote(copied & ~told & (left <= 9), (overlap < 0.6) | told), vote(F.lit(False), told | blank | transport | (words < 5)), vote(~told & (words >= 7) & (copied | (overlap.isNull() & (closed | frame) & ((frame & ~low.rlike(REFUSING)) | ~low.rlike(OWN)) & ~foreign & ~alien)), (overlap < 0.6) | low.rlike(REFUSING) | (overlap.isNull() & low.rlike(OWN) & ~frame))],
         "other_language": [vote(alien), vote(foreign & ~english), vote(F.col("__outside").rlike(ACCENTED) & ~english), vote(F.lit(False), english & ~alien), vote(F.lit(False), (blank | transport | copied | (told & ~foreign)) & ~alien)],
     }
 
@@ -111,7 +114,7 @@ def _prepared(rows: DataFrame) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace(F.col("__low"), asked, " "), QUOTED, " ")
     labelled = r'"(verdict|answer)" ?: ?"?(true|false)\b'
     told = F.col("__plain").rlike(rf"^\W*({LABELS})\s*([.,!;:\-–—*`)]|$)|\b(answer|verdict|rating)\W+(is\W+)?(true|false)\b|\b(is|say|therefore|so|hence|thus|this is|it is)\b[^.!?]{{0,12}}\b(true|false)\b|[:;,]\s*(hence |therefore |so |thus )?(true|false)\W*$|\bthat is (right|wrong|true|false|correct|incorrect)\b|\b(true|false)[.!]?$") | F.col("__low").rlike(labelled)
-    closed = F.col("__low").rlike(rf"[.!?。！？؟:][\"'”’)\]}}*`_ ]*$|[\])}}`*\"]\s*$|\b({LABELS})\W*$")
+    closed = F.col("__low").rlike(rf"[.!?。！？؟:][\"'”’)\]}}*`_ ]*$|[\])}}`*\"]\s*$|\b(true|false)\W*$|^(\W*\w+){{0,2}}\W*\b({LABELS})\W*$") & ~F.col("__low").rlike(r"\b(is the|is not|had no|with no|a|any) (right|wrong|no|correct|true|false)\W*$")
     overlap = F.when(F.size("__said") > 0, F.size(F.array_intersect("__words", "__said")) / F.size("__said"))
     return (
         rows.withColumn("__low", low)
