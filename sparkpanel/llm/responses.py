@@ -25,7 +25,7 @@ OWN = r"\b(claim|statement|reference|references|source|sources|record|records|de
 ENGLISH = r"\b(the|and|this|that|with|for|not|which|from|by|it|its|what|here|someone|nothing|of|is|are)\b"
 FOREIGN = r"\b(vrai|vraie|faux|fausse|exacte?|inexacte?|oui|affirmation|concorde|jamais|sources disent|cette|n'est|c'est|n'a|afirmaci[oó]n|verdader[oa]|seg[uú]n|fuentes|cierto|falso|falsa|coinciden|n[uú]mero|bueno|sim|n[aã]o|verdadeir[oa]|afirma[cç][aã]o|esteve|est[aá] errada|citado|vero|dati|corrispondono|fonti|affermazione|sbagliata|lavorato|ja|nein|wahr|falsch|richtig|stimmt|aussage|nicht|l[aä]sst|trifft|waar|onwaar|bewering|klopt|niet|overeen|bronnen|sant|falskt|p[aå]st[aå]endet|st[aä]mmer|inte|uppgifterna|riktiga|prawda|fa[lł]sz|nie|dane|zgadzaj[aą]|[zź]r[oó]d[lł]ami|zdanie|b[lł][eę]dne|tak|sann|usann|feil|riktig|tosi|ep[aä]tosi|pravda|nepravda|do[gğ]ru|yanl[ıi][sş]|benar|salah|adev[aă]rat|igaz|hamis|sandt|s[ií]|s[iì])\b(?!')"
 QUOTED = r'[“"„«][^”"“»]*[”"»]'
-ACCENTED = r"[àâäáãåæçéèêëíìîïñóòôöõøœßúùûüýąćęłńśźżčďěňřšťůžğışőűăâîșț¿¡]"
+ACCENTED = "[\u00a1\u00bf\u00df-\u00f6\u00f8-\u024f]"
 ALIEN = r"[^\p{IsLatin}\p{N}\p{P}\p{S}\p{Z}\p{C}\p{M}]"
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
@@ -74,16 +74,11 @@ def _votes(row: DataFrame) -> dict[str, list[Column]]:
         v = F.when(yes, 1)
         return F.coalesce(v.when(no, -1).otherwise(0) if no is not None else v.otherwise(0), F.lit(0))
 
-    low, content = F.col("__low"), F.col("__content")
-    words = F.size("__words")
-    told, closed, frame = F.col("__told"), F.col("__closed"), low.rlike(FRAMES)
+    low = F.col("__low")
+    words = F.col("__n")
     overlap, left = F.col("__overlap"), F.col("__left")
-    transport, blank = low.rlike(TRANSPORT), content.rlike(NOTHING)
-    foreign, alien = F.col("__outside").rlike(FOREIGN), F.col("__outside").rlike(ALIEN)
-    english = F.regexp_count(F.col("__outside"), F.lit(ENGLISH)) >= 2
+    told, closed, frame, transport, blank, foreign, alien, english, odd, refusing, soft, own = (F.col(f"__{c}") for c in ("told", "closed", "frame", "transport", "blank", "foreign", "alien", "english", "odd", "refusing", "soft", "own"))
     copied = F.coalesce(overlap >= 0.8, F.lit(False))
-    count = lambda x: F.length(low) - F.length(F.replace(low, F.lit(x)))
-    odd = (count("{") > count("}")) | (count("“") > count("”")) | (count('"') % 2 == 1) | (F.regexp_count(low, F.lit(r"\*\*")) % 2 == 1) | (count("(") > count(")")) | (count("[") > count("]"))
     strange = alien | (foreign & ~english)
     # A frame that is opened but not closed breaks off; one that is closed around nothing is empty.
     cut = odd & low.rlike(r"\p{L}")
@@ -94,39 +89,47 @@ def _votes(row: DataFrame) -> dict[str, list[Column]]:
             vote(~closed & ~fine, fine),
             vote(cut & ~fine, fine),
             vote((F.col("__tokens") >= 64) & ~closed & ~fine, fine),
-            vote((low.rlike(DANGLING) & ~closed | low.rlike(PARTIAL)) & ~fine, fine),
+            vote((~closed & F.col("__dangling") | low.rlike(PARTIAL)) & ~fine, fine),
             vote(F.lit(False), fine),
             vote(F.lit(False), strange | copied | frame | transport | (blank & ~cut)),
         ],
-        "refusal": [vote(low.rlike(REFUSING) & ~told, told | ~low.rlike(REFUSING)), vote(low.rlike(SOFT) & ~told, told & low.rlike(SOFT)), vote(F.lit(False), told | blank | transport), vote(F.lit(False), copied | frame | ~closed)],
-        "copy": [vote(copied, overlap < 0.5), vote(frame & ~told & (words >= 8)), vote(copied & ~told & (left <= 9), (overlap < 0.6) | told), vote(F.lit(False), told | blank | transport | (words < 5)), vote(~told & (words >= 7) & (copied | (overlap.isNull() & (closed | frame) & ((frame & ~low.rlike(REFUSING)) | ~low.rlike(OWN)) & ~foreign & ~alien)), (overlap < 0.6) | low.rlike(REFUSING) | (overlap.isNull() & low.rlike(OWN) & ~frame))],
-        "other_language": [vote(alien), vote(foreign & ~english), vote(F.col("__outside").rlike(ACCENTED) & ~english), vote(F.lit(False), english & ~alien), vote(F.lit(False), (blank | transport | copied | (told & ~foreign)) & ~alien)],
+        "refusal": [vote(refusing & ~told, told | ~refusing), vote(soft & ~told, told & soft), vote(F.lit(False), told | blank | transport), vote(F.lit(False), copied | frame | ~closed)],
+        "copy": [vote(copied, overlap < 0.5), vote(frame & ~told & (words >= 8)), vote(copied & ~told & (left <= 9), (overlap < 0.6) | told), vote(F.lit(False), told | blank | transport | (words < 5)), vote(~told & (words >= 7) & (copied | (overlap.isNull() & (closed | frame) & ((frame & ~refusing) | ~own) & ~foreign & ~alien)), (overlap < 0.6) | refusing | (overlap.isNull() & own & ~frame))],
+        "other_language": [vote(alien), vote(foreign & ~english), vote(~english & F.col("__outside").rlike(ACCENTED)), vote(F.lit(False), english & ~alien), vote(F.lit(False), (blank | transport | copied | (told & ~foreign)) & ~alien)],
     }
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
     """Columns that the labelling functions share; response, statement and tokens are given as __response, __statement, __tokens."""
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s ​-‏⁠﻿]+", " "))
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s\u00a0\u200b-\u200f\u202f\u2060\ufeff]+", " "))
     low = F.lower(flat(F.col("__response")))
-    split = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.translate(c, "０１２３４５６７８９", "0123456789"), r"(?<=\d)[,  ](?=\d{3})", ""), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    split = lambda c: F.array_distinct(F.array_remove(F.split(F.regexp_replace(F.translate(c, "０１２３４５６７８９", "0123456789"), "(?<=\\d)[,\u00a0\u202f](?=\\d{3})", ""), r"[^\p{L}\p{N}]+"), ""))
     content = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__low"), r"<\|?/?[a-z_]+\|?/?>|```[a-z]*", " "), r'"[a-z_]+" ?:', " "), r"\b(your answer|final answer|answer|verdict|rating|response|output)\s*:", " ")
     asked = r"whether [\w ]{0,24}(true|false|correct|holds)|(say |as |is |either )?(true|correct) ?(or|/) ?(false|incorrect|not)|is (this|that|it) (correct|true|right)|is the following (claim|statement) correct|decide whether this is true"
     plain = F.regexp_replace(F.regexp_replace(F.col("__low"), asked, " "), QUOTED, " ")
     labelled = r'"(verdict|answer)" ?: ?"?(true|false)\b'
     told = F.col("__plain").rlike(rf"^\W*({LABELS})\s*([.,!;:\-–—*`)]|$)|\b(answer|verdict|rating)\W+(is\W+)?(true|false)\b|\b(is|say|therefore|so|hence|thus|this is|it is)\b[^.!?]{{0,12}}\b(true|false)\b|[:;,]\s*(hence |therefore |so |thus )?(true|false)\W*$|\bthat is (right|wrong|true|false|correct|incorrect)\b|\b(true|false)[.!]?$") | F.col("__low").rlike(labelled)
-    closed = F.col("__low").rlike(rf"[.!?。！？؟:][\"'”’)\]}}*`_ ]*$|[\])}}`*\"]\s*$|\b(true|false)\W*$|^(\W*\w+){{0,2}}\W*\b({LABELS})\W*$") & ~F.col("__low").rlike(r"\b(is the|is not|had no|with no|a|any) (right|wrong|no|correct|true|false)\W*$")
-    overlap = F.when(F.size("__said") > 0, F.size(F.array_intersect("__words", "__said")) / F.size("__said"))
+    tail = F.right(F.col("__low"), F.lit(60))
+    closed = tail.rlike(rf"[.!?。！？؟:][\"'”’)\]}}*`_ ]*$|[\])}}`*\"]\s*$|\b(true|false)\W*$|^(\W*\w+){{0,2}}\W*\b({LABELS})\W*$") & ~tail.rlike(r"\b(is the|is not|had no|with no|a|any) (right|wrong|no|correct|true|false)\W*$")
+    lower, outside, told_ = F.col("__low"), F.col("__outside"), F.col("__told")
+    count = lambda x: F.length(lower) - F.length(F.replace(lower, F.lit(x)))
+    odd = (count("{") > count("}")) | (count("“") > count("”")) | (count('"') % 2 == 1) | (F.regexp_count(lower, F.lit(r"\*\*")) % 2 == 1) | (count("(") > count(")")) | (count("[") > count("]"))
+    # What only bears on responses without a verdict isn't looked for in those that have one.
+    untold = lambda c: F.when(told_, False).otherwise(c)
     return (
         rows.withColumn("__low", low)
-        .withColumn("__content", F.regexp_replace(content, r"[^\p{L}\p{N}]", ""))
         .withColumn("__outside", F.regexp_replace("__low", QUOTED, " "))
         .withColumn("__plain", plain)
-        .withColumn("__words", split(F.col("__low")))
-        .withColumn("__said", split(F.lower(flat(F.col("__statement")))))
         .withColumn("__told", told)
-        .withColumn("__closed", closed)
-        .withColumn("__overlap", overlap)
-        .withColumn("__left", F.size(F.array_except("__words", "__said")))
+        .withColumns({"__closed": closed, "__odd": odd, "__alien": outside.rlike(ALIEN), "__english": F.regexp_count(outside, F.lit(ENGLISH)) >= 2, "__frame": untold(lower.rlike(FRAMES)), "__refusing": untold(lower.rlike(REFUSING)), "__soft": untold(lower.rlike(SOFT)), "__transport": lower.rlike(TRANSPORT), "__dangling": F.right(lower, F.lit(60)).rlike(DANGLING), "__own": untold(lower.rlike(OWN))})
+        .withColumn("__n", count(" ") + F.when(lower == "", 0).otherwise(1))
+        # An empty frame has few words; words of other languages only count in a text without English ones.
+        .withColumn("__content", F.when(F.col("__n") < 12, F.regexp_replace(content, r"[^\p{L}\p{N}]", "")).otherwise("..."))
+        .withColumns({"__blank": F.col("__content").rlike(NOTHING), "__foreign": F.when(F.col("__english"), False).otherwise(outside.rlike(FOREIGN))})
+        .withColumn("__words", F.when(~told_ & (F.col("__n") >= 3), split(lower)))
+        .withColumn("__said", F.when(F.col("__words").isNotNull(), split(F.lower(flat(F.col("__statement"))))))
+        .withColumn("__overlap", F.when(F.size("__said") > 0, F.size(F.array_intersect("__words", "__said")) / F.size("__said")))
+        .withColumn("__left", F.when(F.col("__overlap") >= 0.8, F.size(F.array_except("__words", "__said"))))
     )
 
 
