@@ -20,6 +20,8 @@ WORDS, EDITS = 15, 2
 LONGEST = 20
 #: A run of matching words after an edit counts from so many characters on.
 _RUN = 6
+#: Characters of text whose hits are held at once.
+AT_ONCE = 200_000
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>", re.S)
 _OTHER = re.compile(r"[^a-z0-9]+")
 _BITS = 20
@@ -86,7 +88,17 @@ class PassageIndex:
         self.needed = np.array([p.needed for p in self.passages], np.int64)
 
     def search(self, texts: Sequence[str | None]) -> list[tuple[int, int]]:
-        """Pairs (position of the text, passage number)."""
+        """Pairs (position of the text, passage number). Texts are taken some at a time, so that hits of few are held at once."""
+        found: list[tuple[int, int]] = []
+        begin = length = 0
+        for k, t in enumerate(texts):
+            length += len(t or "")
+            if length >= AT_ONCE or k == len(texts) - 1:
+                found += [(begin + d, n) for d, n in self._some(texts[begin : k + 1])]
+                begin, length = k + 1, 0
+        return found
+
+    def _some(self, texts: Sequence[str | None]) -> list[tuple[int, int]]:
         clean = [squeezed(t) if t else "" for t in texts]
         found = [(d, p.number) for p in self.short for d, t in enumerate(clean) if p.text in t]
         if not len(self.gram):
