@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import panels, quality
 
-MODULES = (quality,)
-FLAGSHIP = "p1_found"
+MODULES = (quality, panels)
+FLAGSHIP = "risk_flag_pairwise"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
