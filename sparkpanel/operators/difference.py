@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..common import key_text
 
@@ -96,5 +97,5 @@ def differences(expected: DataFrame, output: DataFrame, keys: Sequence[str], fie
         return rows.withColumn(_MARK, mark).withColumn("__bucket", F.pmod(F.xxhash64(_MARK), F.lit(buckets)))
 
     schema = T.StructType([expected.schema[k] for k in keys] + [T.StructField("field", T.StringType()), T.StructField("kind", T.StringType())])
-    arrow = pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in schema])
+    arrow = to_arrow_schema(schema)
     return side(expected).groupBy("__bucket").cogroup(side(output).groupBy("__bucket")).applyInArrow(_compare(list(keys), list(fields), ignored, arrow), schema)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panels, quality
+from . import panels, quality, texts
 
-MODULES = (quality, panels)
+MODULES = (quality, panels, texts)
 FLAGSHIP = "risk_flag_pairwise"
 
 
