@@ -7,7 +7,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import spelled, table
+from ..common import spelled, table, written
 from ..operators import panel as P
 from ..operators import sampling as S
 from ..operators import stats as T
@@ -38,13 +38,13 @@ def _wide(spark: SparkSession, folder: str, panel: tuple[str, ...] = PANEL) -> D
 
 
 def _risk(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    counts = T.miss_counts(rows.where("is_corrupted"), by)
+    counts = written(T.miss_counts(rows.where("is_corrupted"), by), "counts")  # a row for each group, read by both parts
     out = T.risk(counts).join(T.overlap_p(counts, by), list(by), "left").withColumn("p", F.round("p", 8))
     return out.withColumn("flag", T.flagged(F.col("fn_corr"), F.col("lift"), F.col("lift_infinite"), F.coalesce("p", F.lit(1.0))))
 
 
 def _calibrated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = S.split(_wide(spark, folder), SEEDS)
+    rows = written(S.split(_wide(spark, folder), SEEDS), "split")
     risk = _risk(rows.where("role = 'calibration'"), ("family", "seed"))
     return rows, risk
 
