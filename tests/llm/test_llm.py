@@ -219,7 +219,7 @@ def test_mixture_meets_reachable_targets(spark):
     assert chosen.count() == 0 and {r.tokens_used for r in report.collect()} == {0}
 
 
-RESIDUE = ["Dear {{ name }}, thank you.", "See also: ${judge_name}.", "It was first described by %s in %d.", "<AUTHOR> wrote on [fever_id].", "Lorem ipsum dolor sit amet consectetur adipiscing.", "undefined was published by undefined on NaN.", "TODO: write the conclusion.", "Insert abstract here.", "404 Not Found", "Error 503: service unavailable.", "Please enable JavaScript to view this page.", "Are you a robot?", "Your session has expired.", "[citation text to come] It was built in 1890.", "Seite nicht gefunden."]
+RESIDUE = ["Dear {{ name }}, thank you.", "See also: ${judge_name}.", "It was first described by %s in %d.", "<AUTHOR> wrote on [fever_id].", "Lorem ipsum dolor sit amet consectetur adipiscing.", "undefined was published by undefined on NaN.", "TODO: write the conclusion.", "Insert abstract here.", "404 Not Found", "Error 503: service unavailable.", "Please enable JavaScript to view this page.", "Are you a robot?", "Your session has expired.", "[citation text to come] It was built in 1890.", "Seite nicht gefunden.", "asdf asdf asdf qwer", "Unable to connect to the database."]
 CONTENT = ["In the handbook the sign {{ name }} serves as the printed example of a mark that a program fills in.", "The set {a, b, c} in the proof has exactly three elements, and the matrix is written [x] [y].", "The shop sold 48 shirts with the words “404 not found” on the back.", "A judge complained that the sample text used by printers, lorem ipsum, says nothing at all.", "The report explains that many readers had JavaScript turned off when the poll was taken.", "Service was unavailable for 58 days after the bridge fell.", "La tour fut rebâtie après l'incendie de 1803, et dolor sit.", "Growth was 50 percent [1] in <b>May</b>."]
 
 
