@@ -252,10 +252,39 @@ def utility_breakeven(spark: SparkSession, folder: str) -> DataFrame:
     return r.where("policy <> 'rf_majority'").join(base, "family").where("false_accept is not null").select("family", "policy", F.round(saved, 6).alias("avoided"), "extra_verifier_items", F.when(F.col("extra_verifier_items") > 0, F.round(saved / F.col("extra_verifier_items"), 8)).alias("breakeven"))
 
 
+def bootstrap_reduction(spark: SparkSession, folder: str, replicates: int = 200) -> DataFrame:
+    """Interval and one-sided p of the paired difference in misses of the first two judges, over resamples of the calibration sample."""
+    from pyspark.sql import Window
+
+    sample = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'calibration' and is_corrupted").select("family", "id", (F.col("m1") - F.col("m2")).alias("diff"))
+    # The sample is bounded by the split, and so are the windows over it and over the replicates.
+    numbered = sample.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("family")))
+    drawn = numbered.select("family", "n", F.col("place").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
+    drawn = drawn.withColumn("place", F.conv(F.substring(S.hashed("boot", F.col("b"), F.col("i")), 1, 8), 16, 10).cast("bigint") % F.col("n") + 1)
+    means = drawn.join(numbered.select("family", "place", "diff"), ["family", "place"]).groupBy("family", "b").agg((T.d(F.sum("diff")) / F.max("n")).alias("mean"))
+    ordered = means.withColumn("at", F.row_number().over(Window.partitionBy("family").orderBy("mean", "b")))
+    low, high = int(0.025 * replicates) + 1, min(replicates, int(0.975 * replicates) + 1)
+    return ordered.groupBy("family").agg(F.round(F.max(F.when(F.col("at") == low, F.col("mean"))), 9).alias("low"), F.round(F.max(F.when(F.col("at") == high, F.col("mean"))), 9).alias("high"), F.round((T.d(F.count_if(F.col("mean") <= 0)) + 1) / (replicates + 1.0), 9).alias("p_lower"))
+
+
+def family_inference(spark: SparkSession, folder: str) -> DataFrame:
+    """The family by the stem of the id against the stored one."""
+    stems = {"num": "number", "ent": "entity", "att": "attribute", "nat": "natural", "ref": "refutes", "ctl": "control"}
+    stem = F.substring_index(F.col("id"), "_", 1)
+    named = F.coalesce(F.element_at(F.create_map(*(x for k, v in stems.items() for x in (F.lit(k), F.lit(v)))), stem), F.lit("unknown"))
+    return _items(spark, folder).groupBy(named.alias("inferred"), "family").agg(F.count(F.lit(1)).alias("n"))
+
+
+def collapse_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """Families whose dependence collapses: correlation below 0.10 and lift below 1.3."""
+    r = risk_by_family(spark, folder)
+    return r.select("family", ((F.col("fn_corr") < 0.10) & ~F.col("lift_infinite") & F.coalesce(F.col("lift") < 1.3, F.lit(False))).alias("collapsed"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
+        bootstrap_reduction, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
         verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check, policy_random_budget,
         cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, drift_mixture, leave_one_family_out, flag_confusion, utility_breakeven,
     )
@@ -360,6 +389,14 @@ select family, round(avg(fa), 9) false_accept_low, sum(gone)::bigint missing_gro
         "flag_confusion": f"with a as (with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} a from risk0), b as (with {base(SECOND)}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} b from risk0) select {cnt('a and b')} hh, {cnt('a and not b')} hn, {cnt('not a and b')} nh, {cnt('not a and not b')} nn from a join b using (family)",
         "utility_breakeven": f"with {full}, r as (select * from pr where seed = 1) select r.family, r.policy, round((b.false_accept - r.false_accept) * r.n_corrupt, 6) avoided, r.extra_verifier_items, case when r.extra_verifier_items > 0 then round((b.false_accept - r.false_accept) * r.n_corrupt / r.extra_verifier_items, 8) end breakeven from r join (select family, false_accept from r where policy = 'rf_majority') b on r.family = b.family where r.policy <> 'rf_majority' and r.false_accept is not null",
     }
+    out |= {
+        "bootstrap_reduction": f"""with {base()}, {split}, smp as (select family, id, m1 - m2 diff, row_number() over (partition by family order by id) place, count(*) over (partition by family) n from cal where seed = {first}),
+dr as (select family, n, b, ('0x' || substr(sha256(concat_ws('|', 'boot', b, place)), 1, 8))::bigint % n + 1 pl from smp, (select unnest(range(1, 201)) b)),
+mn as (select dr.family, b, sum(diff)::double / max(dr.n) mean from dr join smp on dr.family = smp.family and dr.pl = smp.place group by all), od as (select *, row_number() over (partition by family order by mean, b) r from mn)
+select family, round(max(case when r = 6 then mean end), 9) low, round(max(case when r = 196 then mean end), 9) high, round(({cnt('mean <= 0')}::double + 1) / 201.0::double, 9) p_lower from od group by family""",
+        "family_inference": f"with {base()} select case split_part(id, '_', 1) when 'num' then 'number' when 'ent' then 'entity' when 'att' then 'attribute' when 'nat' then 'natural' when 'ref' then 'refutes' when 'ctl' then 'control' else 'unknown' end inferred, family, count(*) n from it group by all",
+        "collapse_rule": f"with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, (fn_corr < 0.10 and not lift_infinite and coalesce(lift < 1.3, false)) collapsed from risk0",
+    }
     return out
 
 

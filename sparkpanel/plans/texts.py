@@ -232,3 +232,14 @@ select query_id, doc_id, score, rk as rank from (select *, row_number() over (pa
     "audit_gates": f"with {_IT}, g as (select source_dataset, count(*) filter (where length_bin is null) blank, count(*) filter (where is_corrupted) bad from it where source_dataset is not null group by 1) select source_dataset, case when blank > 0 then 'PENDING' when bad <= 5 then 'GREEN' when bad <= 8 then 'YELLOW' else 'RED' end gate from g",
     "verdict_window_recalibration": f"select strftime(logged_at, '%Y-%m-%d') as day, {_s('judge')} judge, count(*) n, count(*) filter (where verdict = 'true') n_true, count(*) filter (where verdict = 'parse_fail') n_fail from rf_cache where logged_at is not null and judge is not null group by all",
 }
+_MONTHS = " or ".join(f"contains(near, '{m}')" for m in X.MONTHS)
+SQL["obvious_control"] = f"""with n as (select claim_id, number.text t, try_cast(replace(number.text, ',', '') as bigint) v, {_KIND} k, strpos(claim_text, number.text) p, claim_text c from claim_pool where number is not null),
+m as (select *, case when p > 0 then substr(c, greatest(p - 30, 1)::bigint, (length(t) + least(p - 1, 30) + 30)::bigint) else '' end near from n)
+select claim_id, case when k = 'year' and v between 1700 and 2025 and not contains(t, ',') then '3026' when v between 1 and 31 and ({_MONTHS}) then '99' when v >= 1000 then '999,999,999' else '999' end shown from m"""
+SQL["evidence_slice"] = """with e as (select claim_id, unnest(evidence_stub) s, generate_subscripts(evidence_stub, 1) pos from claim_pool), f as (select claim_id, s.wiki_url wiki_url, s.sentence_id sentence_id, min(pos) p from e where s.wiki_url is not null group by all)
+select claim_id, wiki_url, sentence_id from (select *, row_number() over (partition by claim_id order by p) rn from f) where rn <= 4"""
+SQL["fold_balance"] = SQL["components"].replace("select a item, min(b) root from r group by a", f"""c as (select a item, min(b) root from r group by a),
+k as (select {_s('item_id')} item, max(is_corrupted::int) = 1 bad from retrieval_refs where item_id is not null group by 1), g as (select root, count(*) filter (where not bad) n_clean, count(*) filter (where bad) n_false from c join k using (item) group by root),
+m as (select n_clean, n_false, coalesce(sum(count(*)) over (order by greatest(n_clean, n_false) desc, n_clean + n_false desc, n_clean rows between unbounded preceding and 1 preceding), 0) st from g group by n_clean, n_false),
+p as (select g.*, row_number() over (partition by g.n_clean, g.n_false order by sha256('fold|' || root)) place, st from g join m on g.n_clean = m.n_clean and g.n_false = m.n_false)
+select ((st + place - 1) % 5)::bigint fold, count(*) n_groups, sum(n_clean)::bigint n_clean, sum(n_false)::bigint n_false from p group by 1""").replace("where r.b = e.a)", "where r.b = e.a)").replace("r.b = e.a) c as", "r.b = e.a), c as")
