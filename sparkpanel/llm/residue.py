@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import spelled, written
+from ..common import spelled
 
 #: Names of fields that templates fill in. Fixed values, like all patterns below; they are matched in lower case.
 FIELDS = r"author|authors|title|page[_ ]title|name|first[_ ]name|last[_ ]name|date|year|entity|evidence|verdict|label|reference|references|claim|claim[_ ]text|claim[_ ]id|fever[_ ]id|judge[_ ]name|judge|item[_ ]id|statement|source|source[_ ]name|abstract|summary|text|url|email|company|city|user(name)?|content|body|description|placeholder|variable|value|insert[_ ][a-z_ ]+|your[_ ][a-z_ ]+"
@@ -86,22 +86,13 @@ def messages(documents: DataFrame) -> DataFrame:
     )
 
 
-#: Kinds whose lines are sure by themselves; lines of other kinds must recur, or be the whole text.
-SURE = ("placeholder", "filler", "unset", "stub", "error", "wall")
-
-
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds): documents with a line or sentence that is residue in place of content.
 
-    ``documents`` has doc_id, text and source. Null and blank texts hold no residue, a repeated doc_id comes out once,
-    texts are taken whole and a null source counts as a source. Every line is masked and hashed; lines with equal
-    hashes are one message, counted across documents and sources; a message is residue if its phrases or slots
-    say so and it is of a sure kind or recurs in two documents. As the rules only see the line itself, lines that no
-    rule names are left out before the grouping, which changes no count of the rest.
+    ``documents`` has doc_id, text and source. Null and blank texts hold no residue, a repeated doc_id comes out once
+    and texts are taken whole. Every line is judged by its own phrases and slots, of whatever kind: how often a message
+    recurs decides nothing, as residue filled in for one document stands in that document alone and ordinary sentences
+    recur across documents and sources. ``messages`` has the counts.
     """
-    named = segments(documents).withColumn("kind", rule(F.col("segment"))).where("kind is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "kind", F.md5(masked(F.col("segment"))).alias("hash"))
-    named = written(named, "named")  # few lines, found once for both uses
-    spread = named.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("kind").alias("least"))
-    kept = spread.where(F.col("least").isin(*SURE) | (F.col("first") < F.col("last"))).select("hash")
-    by_doc = named.groupBy("doc_id", "hash").agg(F.min("kind").alias("kind"))
-    return by_doc.join(kept, "hash", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    named = segments(documents).select("doc_id", rule(F.col("segment")).alias("kind")).where("kind is not null")
+    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))

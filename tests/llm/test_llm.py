@@ -231,3 +231,12 @@ def test_residue(spark):
     assert found == set(range(len(RESIDUE)))
     assert residue.residue(docs.limit(0)).count() == 0
     assert residue.messages(docs).where("example like 'A good sentence about%'").first().n == len(RESIDUE) + 1
+
+
+def test_residue_is_judged_by_the_line_alone(spark):
+    alone = [(1, "Published on null by None; Bojav Jarisi has undefined readers.", "a"), (2, "Gateway timed out while waiting for the upstream server.", "b"), (3, "Heading 1.", None)]
+    common = [(10 + k, f"No verdict yet. The archive holds {k} pages.", "abc"[k % 3]) for k in range(6)]
+    mixed = [(20, "Please enable JavaScript.\nError 404", "a"), (21, "Error 500", "a")]
+    found = residue.residue(spark.createDataFrame([*alone, *common, *mixed], "doc_id bigint, text string, source string"))
+    assert {r.doc_id: r.kinds for r in found.collect()} == {1: ["unset"], 2: ["error"], 3: ["stub"], 20: ["error", "wall"], 21: ["error"]}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no count of other documents is asked
