@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hashed
+
 #: Thresholds of the risk rule, all strict, and the normal quantile of a 95 % interval. Fixed values.
 MAX_CORRELATION, MAX_LIFT, MAX_P = 0.15, 1.5, 0.05
 Z95 = 1.959963984540054
@@ -95,18 +97,41 @@ def flagged(fn_corr: Column, lift: Column, infinite: Column, p: Column) -> Colum
     return (fn_corr > MAX_CORRELATION) & (infinite | F.coalesce(lift > MAX_LIFT, F.lit(False))) & (p < MAX_P)
 
 
-def replay_null(misses: DataFrame, by: str, order: str, permutations: int = 300, seed: int = 1) -> DataFrame:
+def hash_null(misses: DataFrame, by: Sequence[str], permutations: int, salt: Sequence[str] = ()) -> DataFrame:
+    """Observed overlap, mean of permuted overlaps and smoothed p by group; a permutation ranks each judge's misses by a hash.
+
+    For samples of bounded size: a group is one row, permutations are spread over tasks. ``salt`` names columns of
+    ``by`` that enter the hash.
+    """
+    m = ("m1", "m2", "m3")
+    groups = misses.groupBy(*by).agg(F.collect_list(F.struct("id", *m)).alias("rows"), F.sum(F.col("m1") * F.col("m2") * F.col("m3")).cast("bigint").alias("obs"))
+    runs = groups.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(permutations), F.lit(50)))).repartition(4 * misses.sparkSession.sparkContext.defaultParallelism, *by, "run")
+    each = runs.withColumn("b", F.explode(F.sequence("run", F.least(F.col("run") + 49, F.lit(permutations)))))
+
+    def placed(judge: int, miss: str) -> Column:
+        pairs = F.transform("rows", lambda r: F.struct(hashed("perm", *map(F.col, salt), F.col("b"), F.lit(judge), r["id"]).alias("h"), r[miss].alias("miss")))
+        return F.transform(F.sort_array(pairs), lambda x: x["miss"])
+
+    all3 = F.zip_with(F.zip_with(placed(1, m[0]), placed(2, m[1]), lambda a, b: a * b), placed(3, m[2]), lambda a, b: a * b)
+    hits = each.select(*by, "obs", F.aggregate(all3, F.lit(0), lambda a, x: a + x).cast("bigint").alias("t"), F.size("rows").alias("n"))
+    p = (d(F.count_if(F.col("t") >= F.col("obs"))) + 1) / (permutations + 1.0)
+    return hits.groupBy(*by).agg(F.max("n").cast("bigint").alias("n"), F.round(F.max(d("obs") / d("n")), 9).alias("all3"), F.round(F.avg(d("t") / d("n")), 9).alias("null3"), F.round(p, 9).alias("p"))
+
+
+def replay_null(misses: DataFrame, by: str | Sequence[str], order: str, permutations: int = 3000, seed: int | str = 1) -> DataFrame:
     """Observed overlap, mean of shuffled overlaps and smoothed p by group, with one seeded generator for each group.
 
-    For samples of bounded size: a group is shuffled in one task, in the order of ``order``.
+    For samples of bounded size: a group is shuffled in one task, in the order of ``order``. ``seed`` is a number or
+    the column of ``by`` that holds it.
     """
+    by = [by] if isinstance(by, str) else list(by)
 
     def shuffle(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(order)
         columns = [pdf[c].tolist() for c in ("m1", "m2", "m3")]
-        rng = random.Random(seed)
+        rng = random.Random(int(pdf[seed].iloc[0]) if isinstance(seed, str) else seed)
         seen = sum(a & b & c for a, b, c in zip(*columns))
         null = []
         for _ in range(permutations):
@@ -114,6 +139,92 @@ def replay_null(misses: DataFrame, by: str, order: str, permutations: int = 300,
                 rng.shuffle(c)
             null.append(sum(a & b & c for a, b, c in zip(*columns)))
         n = max(1, len(pdf))
-        return pd.DataFrame([[pdf[by].iloc[0], seen / n, sum(null) / permutations / n, (sum(x >= seen for x in null) + 1) / (permutations + 1)]], columns=[by, "all3", "null3", "p"])
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in by), seen / n, sum(null) / permutations / n, (sum(x >= seen for x in null) + 1) / (permutations + 1)]], columns=[*by, "all3", "null3", "p"])
+
+    types = dict(misses.dtypes)
+    return misses.select(*by, order, "m1", "m2", "m3").groupBy(*by).applyInPandas(shuffle, ", ".join(f"{k} {types[k]}" for k in by) + ", all3 double, null3 double, p double")
+
+
+def bootstrap_reductions(rows: DataFrame, by: Sequence[str], order: str, replicates: int = 5000) -> DataFrame:
+    """Reduction of the mean pairwise correlation and of the rate of triple errors from one set of errors (m1..) to another of the same items (e1..).
+
+    By group and metric: the reduction seen, the 95 % interval over paired resamples of the items and the one-sided p.
+    For samples of bounded size: a group is resampled in one task, seeded by its key.
+    """
+    by = list(by)
+
+    def resample(pdf):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        x = pdf[["m1", "m2", "m3", "e1", "e2", "e3"]].to_numpy(dtype=float)
+        key = [pdf[k].iloc[0] for k in by]
+        n = len(x)
+
+        def metrics(mean, pairs, triple):
+            def corr(a, b, ab):
+                spread = (mean[:, a] - mean[:, a] ** 2) * (mean[:, b] - mean[:, b] ** 2)
+                ok = spread > 1e-15
+                return np.where(ok, (ab - mean[:, a] * mean[:, b]) / np.sqrt(np.where(ok, spread, 1)), 0)
+
+            side = [sum(corr(a + k, b + k, pairs[:, i + k]) for i, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)))) / 3 for k in (0, 3)]
+            return {"mean_pair": side[0] - side[1], "all3": triple[:, 0] - triple[:, 1]}
+
+        p = np.stack([x[:, a] * x[:, b] for a, b in ((0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5))], 1)
+        t = np.stack([x[:, :3].prod(1), x[:, 3:].prod(1)], 1)
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, ["boot", *key])).encode()).digest()[:8], "big"))
+        # How often each item is drawn; items are few, so all replicates fit in one matrix.
+        times = rng.multinomial(n, np.full(n, 1 / n), size=replicates) / n
+        one = np.full((1, n), 1 / n)
+        seen, drawn = (metrics(w @ x, w @ p, w @ t) for w in (one, times))
+        out = []
+        for name in ("mean_pair", "all3"):
+            v = np.sort(drawn[name])
+            low, high = v[int(0.025 * replicates)], v[min(replicates - 1, int(0.975 * replicates))]
+            out.append([*key, name, n, *(round(float(k), 9) for k in (seen[name][0], low, high)), (int((v <= 1e-12).sum()) + 1) / (replicates + 1)])
+        return pd.DataFrame(out, columns=[*by, "metric", "n", "reduction", "low", "high", "p_lower"])
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", metric string, n bigint, reduction double, low double, high double, p_lower double"
+    return rows.select(*by, order, *(f"{c}{i}" for c in "me" for i in (1, 2, 3))).groupBy(*by).applyInPandas(resample, schema)
+
+
+def random_routing(counts: DataFrame, by: Sequence[str], trials: int = 100) -> DataFrame:
+    """Mean and deviation over trials of the rates when ``budget`` random items of a group are grounded and the rest keep their majority.
+
+    ``counts`` has a row for each group, class, majority, unanimity and grounded answer (n items) and the group's
+    budget. How many of each class a sample without replacement takes follows the multivariate hypergeometric law, so
+    trials are drawn from the counts and no task sees the items. Rates of a trial that misses a grounded answer are
+    unknown, as in the other policies; the ``low`` ones count it as no acceptance.
+    """
+    by = list(by)
+
+    def route(pdf):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
 
-    return misses.select(by, order, "m1", "m2", "m3").groupBy(by).applyInPandas(shuffle, f"{by} string, all3 double, null3 double, p double")
+        pdf = pdf.sort_values(["is_corrupted", "rf", "una", "gm"])
+        key = [pdf[k].iloc[0] for k in by]
+        n, bad, rf, una, gm = pdf["n"].to_numpy("int64"), *(pdf[c].to_numpy("int64") for c in ("is_corrupted", "rf", "una", "gm"))
+        budget = int(min(pdf["budget"].iloc[0], n.sum()))
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, ["route", *key])).encode()).digest()[:8], "big"))
+        taken = rng.multivariate_hypergeometric(n, budget, size=trials, method="marginals")
+        accepted = taken * (gm == 1) + (n - taken) * rf
+        gone = (taken * (gm < 0)).sum(1)
+        nan = np.full(trials, np.nan)
+        low = {name: (accepted * w).sum(1) / whole if (whole := (n * c).sum()) else nan for name, c, w in (("false_accept", bad, bad), ("true_accept", 1 - bad, 1 - bad), ("false_consensus", bad, bad * una))}
+        both = []
+        for v in low.values():
+            exact = np.where(gone == 0, v, np.nan)
+            known = bool(np.isfinite(exact).all())
+            both += [round(float(exact.mean()), 9) if known else None, round(float(exact.std(ddof=min(1, trials - 1))), 9) if known else None, round(float(v.mean()), 9) if np.isfinite(v).all() else None]
+        return pd.DataFrame([[*key, budget, int(gone.sum()), *both]], columns=[*by, "budget", "missing_grounded", *(f"{k}{e}" for k in low for e in ("", "_std", "_low"))])
+
+    types = dict(counts.dtypes)
+    schema = ", ".join(f"{k} {types[k]}" for k in by) + ", budget bigint, missing_grounded bigint, " + ", ".join(f"{k}{e} double" for k in ("false_accept", "true_accept", "false_consensus") for e in ("", "_std", "_low"))
+    return counts.groupBy(*by).applyInPandas(route, schema)

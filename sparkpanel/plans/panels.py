@@ -18,6 +18,9 @@ SECOND = ("halcyon/juror-v2", "osprey/assayer-mini", "pumice/ledger-7b")
 SEEDS = (1, 2, 3)
 FAMILIES = ("attribute", "entity", "natural", "number", "refutes")
 TRIALS = 5
+#: The sizes of the reference, for the queries that end in _whole; the smaller ones above are those of the SQL.
+ALL_SEEDS = tuple(range(1, 11))
+PERMUTATIONS, REPLICATES, ALL_TRIALS = 3000, 5000, 100
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,20 +63,19 @@ def risk_by_family(spark: SparkSession, folder: str) -> DataFrame:
 def hash_permutation_null(spark: SparkSession, folder: str, permutations: int = 40) -> DataFrame:
     """Mean overlap and smoothed p over hash-ranked permutations of the calibration sample of the first seed."""
     sample = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'calibration' and is_corrupted").select("family", "id", "m1", "m2", "m3")
-    long = sample.select("family", "id", F.explode(F.array(*(F.struct(F.lit(j).alias("judge"), F.col(f"m{j}").alias("miss")) for j in (1, 2, 3)))).alias("x")).select("family", "id", "x.*")
-    shuffled = long.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("h", S.hashed("perm", F.col("b"), F.col("judge"), F.col("id")))
-    # The sample is bounded by the split, so a window holds at most its size.
-    from pyspark.sql import Window
+    return T.hash_null(sample, ["family"], permutations).select("family", "null3", "p")
+
 
-    placed = shuffled.withColumn("place", F.row_number().over(Window.partitionBy("family", "b", "judge").orderBy("h")))
-    hits = placed.groupBy("family", "b", "place").agg(F.min("miss").alias("all")).groupBy("family", "b").agg(F.sum("all").cast("bigint").alias("t"), F.count(F.lit(1)).alias("n"))
-    seen = sample.groupBy("family").agg(F.sum(F.col("m1") * F.col("m2") * F.col("m3")).cast("bigint").alias("obs"))
-    return hits.join(seen, "family").groupBy("family").agg(F.round(F.avg(T.d("t") / T.d("n")), 9).alias("null3"), F.round((T.d(F.count_if(F.col("t") >= F.col("obs"))) + 1) / (permutations + 1.0), 9).alias("p"))
+def hash_permutation_null_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean overlap and smoothed p over 3000 hash-ranked permutations of the calibration sample of each of the ten seeds."""
+    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted")
+    return T.hash_null(sample.select("family", "seed", "id", "m1", "m2", "m3"), ["family", "seed"], PERMUTATIONS, ["seed"])
 
 
 def replay_permutation_null(spark: SparkSession, folder: str) -> DataFrame:
-    sample = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'calibration' and is_corrupted")
-    return T.replay_null(sample, "family", "id")
+    """Overlap, its mean and smoothed p over 3000 seeded shuffles of the calibration sample of each of the ten seeds."""
+    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted")
+    return T.replay_null(sample, ["family", "seed"], "id", PERMUTATIONS, "seed")
 
 
 def judge_accuracy(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,6 +177,19 @@ def policy_random_budget(spark: SparkSession, folder: str) -> DataFrame:
     return each.groupBy("family").agg(F.round(F.avg("fa"), 9).alias("false_accept_low"), F.sum("gone").cast("bigint").alias("missing_grounded"))
 
 
+def policy_random_budget_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Random routing over 100 trials in each family and seed, with the number of items that risk routing escalates there."""
+    gm = F.coalesce(P.grounded_majority().cast("int"), F.lit(-1))  # -1: no grounded answer
+    kinds = ["family", "seed", "is_corrupted", "m1", "m2", "m3", P.majority().alias("rf"), P.unanimous().alias("una"), gm.alias("gm")]
+    every = written(S.split(_wide(spark, folder), ALL_SEEDS).groupBy(*kinds, "role").agg(F.count(F.lit(1)).alias("n")), "kinds")  # a row for each kind of item, not for each item
+    risk = _risk(every.where("role = 'calibration'").withColumn("copy", F.explode(F.expr("sequence(1, n)"))), ("family", "seed"))
+    counts = every.where("role = 'deployment'").groupBy("family", "seed", "is_corrupted", "rf", "una", "gm").agg(F.sum("n").alias("n"))
+    budget = counts.groupBy("family", "seed").agg(F.sum(F.when(F.col("rf"), F.col("n")).otherwise(0)).alias("accepts"))
+    flag = risk.select("family", "seed", "flag")
+    known = counts.join(budget, ["family", "seed"]).join(flag, ["family", "seed"], "left").withColumn("budget", F.when(F.col("flag"), F.col("accepts")).otherwise(0))
+    return T.random_routing(known, ["family", "seed"], ALL_TRIALS)
+
+
 def cross_family(spark: SparkSession, folder: str) -> DataFrame:
     risk = risk_flag_pairwise(spark, folder)
     return risk.groupBy("family").agg(F.round(F.avg("fn_corr"), 8).alias("corr_mean"), F.round(T.finite_mean("lift"), 8).alias("lift_mean"), F.count_if("lift_infinite").alias("n_infinite"), F.count_if("flag").alias("n_flagged"), F.min("fn_corr").alias("corr_min"), F.max("fn_corr").alias("corr_max"))
@@ -267,6 +282,15 @@ def bootstrap_reduction(spark: SparkSession, folder: str, replicates: int = 200)
     return ordered.groupBy("family").agg(F.round(F.max(F.when(F.col("at") == low, F.col("mean"))), 9).alias("low"), F.round(F.max(F.when(F.col("at") == high, F.col("mean"))), 9).alias("high"), F.round((T.d(F.count_if(F.col("mean") <= 0)) + 1) / (replicates + 1.0), 9).alias("p_lower"))
 
 
+def bootstrap_reduction_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Reductions by grounding in the pairwise correlation and the triple misses over 5000 resamples, for each family and seed.
+
+    Calibration items without a grounded verdict of every judge are left out, as no model is called; n counts the rest.
+    """
+    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted and g1 is not null and g2 is not null and g3 is not null")
+    return T.bootstrap_reductions(sample.withColumns({f"e{i}": (F.col(f"g{i}") == "true").cast("int") for i in (1, 2, 3)}), ["family", "seed"], "id", REPLICATES)
+
+
 def family_inference(spark: SparkSession, folder: str) -> DataFrame:
     """The family by the stem of the id against the stored one."""
     stems = {"num": "number", "ent": "entity", "att": "attribute", "nat": "natural", "ref": "refutes", "ctl": "control"}
@@ -284,7 +308,7 @@ def collapse_rule(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bootstrap_reduction, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
+        bootstrap_reduction, bootstrap_reduction_whole, hash_permutation_null_whole, policy_random_budget_whole, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
         verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check, policy_random_budget,
         cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, drift_mixture, leave_one_family_out, flag_confusion, utility_breakeven,
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkpanel.operators import panel as P
 from sparkpanel.operators import sampling as S
 from sparkpanel.operators import stats as T
+from sparkpanel.plans import panels
 
 
 def _risk(spark, misses):
@@ -86,3 +87,43 @@ def test_exact_and_replayed_nulls_agree(spark):
     exact = T.risk(T.miss_counts(rows, ["family"])).join(T.overlap_p(T.miss_counts(rows, ["family"]), ["family"]), "family").first()
     replay = T.replay_null(rows, "family", "id", permutations=800).first()
     assert replay.null3 == pytest.approx(exact.null3, abs=0.01) and replay.p == pytest.approx(exact.p, abs=0.05)
+
+
+def test_hash_null_agrees_with_the_exact_law_below_one_in_41(spark):
+    rows = spark.createDataFrame([("f", s, f"i{k}", int(k % 4 == 0), int(k % 4 == 0 or k == 1), int(k % 8 == 0)) for s in (1, 2) for k in range(60)], "family string, seed int, id string, m1 int, m2 int, m3 int")
+    exact = T.risk(T.miss_counts(rows, ["seed"])).join(T.overlap_p(T.miss_counts(rows, ["seed"]), ["seed"]), "seed").first()
+    got = T.hash_null(rows, ["family", "seed"], 3000, ["seed"]).orderBy("seed").collect()
+    assert [r.seed for r in got] == [1, 2] and got[0].null3 != got[1].null3
+    for r in got:
+        assert r.n == 60 and r.all3 == exact.all3 and r.null3 == pytest.approx(exact.null3, abs=0.005)
+        assert r.p < 1 / 41 and r.p == pytest.approx(exact.p, abs=0.005)
+
+
+def test_bootstrap_of_both_metrics(spark):
+    same = [(k % 2, k % 2, k % 2, 0, 0, 0) for k in range(40)]
+    none = [(k % 2, k % 3 == 0, 0, k % 2, k % 3 == 0, 0) for k in range(40)]
+    rows = spark.createDataFrame([(f, f"i{k}", *map(int, x)) for f, xs in (("same", same), ("none", none)) for k, x in enumerate(xs)], "family string, id string, m1 int, m2 int, m3 int, e1 int, e2 int, e3 int")
+    got = {(r.family, r.metric): r for r in T.bootstrap_reductions(rows, ["family"], "id", 5000).collect()}
+    assert len(got) == 4 and got[("same", "mean_pair")].reduction == 1 and got[("same", "all3")].reduction == 0.5
+    r = got[("same", "all3")]
+    half = 1.96 * math.sqrt(0.25 / 40)
+    assert (r.low, r.high) == pytest.approx((0.5 - half, 0.5 + half), abs=0.03) and r.p_lower == pytest.approx(1 / 5001)
+    assert all((got[("none", m)].reduction, got[("none", m)].low, got[("none", m)].p_lower) == (0, 0, 1) for m in ("mean_pair", "all3"))
+
+
+def test_random_routing_has_the_mean_of_samples_without_replacement(spark):
+    schema = "family string, is_corrupted boolean, rf boolean, una boolean, gm int, n bigint, budget bigint"
+    rows = spark.createDataFrame([("f", True, True, True, 0, 30, 40), ("f", True, False, False, 1, 10, 40), ("f", False, True, False, 1, 60, 40), ("g", True, True, True, -1, 5, 3), ("g", False, True, True, 1, 5, 3), ("h", True, True, True, -1, 5, 0)], schema)
+    got = {r.family: r for r in T.random_routing(rows, ["family"], 100).collect()}
+    # 0.4 of the items are grounded: 18 of 40 corrupted ones keep their acceptance and 4 gain one.
+    assert got["f"].false_accept == pytest.approx((0.6 * 30 + 0.4 * 10) / 40, abs=0.02) and got["f"].true_accept == 1 and got["f"].missing_grounded == 0
+    assert got["f"].false_accept_std > 0
+    assert got["g"].false_accept is None and got["g"].missing_grounded > 0 and got["g"].false_accept_low == pytest.approx(0.7, abs=0.1)
+    assert (got["h"].budget, got["h"].false_accept, got["h"].true_accept) == (0, 1.0, None)
+
+
+@pytest.mark.parametrize("name", ["hash_permutation_null_whole", "replay_permutation_null", "bootstrap_reduction_whole", "policy_random_budget_whole"])
+def test_resampling_has_the_sizes_of_the_reference(spark, name):
+    assert (panels.PERMUTATIONS, panels.REPLICATES, panels.ALL_TRIALS) == (3000, 5000, 100)
+    rows = panels.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert {r.seed for r in rows} == set(range(1, 11)) and len({(r.family, r.seed, getattr(r, "metric", None)) for r in rows}) == len(rows)
