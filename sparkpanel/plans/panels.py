@@ -21,6 +21,9 @@ TRIALS = 5
 #: The sizes of the reference, for the queries that end in _whole; the smaller ones above are those of the SQL.
 ALL_SEEDS = tuple(range(1, 11))
 PERMUTATIONS, REPLICATES, ALL_TRIALS = 3000, 5000, 100
+#: The drift grid. The family of FEVER refutations stands for the reference's negative control, which isn't in the tables.
+CONTROL, TARGETS = "refutes", ("number", "entity", "natural")
+SHARES, AUDITS, ROLE = (0.0, 0.1, 0.25, 0.5, 1.0), (25, 50, 95), 95
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -240,6 +243,71 @@ def drift_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return T.risk(T.miss_counts(out, ["share"])).select("share", "n", "fn_corr", "all3", "null3")
 
 
+def _accepts(by: list[str], rows: DataFrame, name: str = "") -> DataFrame:
+    """Rates of plain majority and unanimity, and how many items the majority accepts."""
+    bad, yes = F.col("is_corrupted"), P.majority()
+    rates = {"false_accept": T.rate(F.count_if(bad & yes), F.count_if(bad)), "true_accept": T.rate(F.count_if(~bad & yes), F.count_if(~bad)), "false_consensus": T.rate(F.count_if(bad & P.unanimous()), F.count_if(bad))}
+    return rows.groupBy(*by).agg(F.count_if(~bad).alias(f"{name}n_clean"), F.count_if(bad).alias(f"{name}n_corrupt"), *(F.round(c, 9).alias(name + k) for k, c in rates.items()), F.count_if(yes).alias("accepts"))
+
+
+def drift_mixture_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole drift experiment: the risk of an audit that mixes a target family into the control, for each target, seed, share and audit size.
+
+    The control's items have disjoint roles: the first 95 of a class calibrate, the next 95 are evaluated, the next 95
+    audited; of a target's corrupted items the first 95 are evaluated and the next 95 audited. The evaluation stream
+    keeps plain majority; ``routed`` counts its accepts if the audit is flagged. Where a family has too few items for
+    its roles, ``complete`` is false and the n are short.
+    """
+    rows = _wide(spark, folder).where(F.col("family").isin(CONTROL, *TARGETS)).where((F.col("family") == CONTROL) | F.col("is_corrupted"))
+    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, ALL_SEEDS)))).withColumn("h", S.hashed("drift", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id")))
+    own = F.col("family") == CONTROL
+    top = S.ranked(each, ["family", "seed", "is_corrupted"], "h", "place").where(F.col("place") <= F.when(own, 3 * ROLE).otherwise(2 * ROLE))
+    past = F.when(own, F.floor((F.col("place") - 1) / ROLE)).otherwise(F.floor((F.col("place") - 1) / ROLE) + 1)
+    pools = written(top.withColumn("role", F.element_at(F.array(*map(F.lit, ("initial", "evaluation", "audit"))), (past + 1).cast("int"))).withColumn("at", (F.col("place") - 1) % ROLE + 1).drop("h", "place"), "pools")
+    keys = ["target", "seed", "share", "size"]
+
+    def mixed(role: str, sizes: tuple[int, ...]) -> DataFrame:
+        """Clean and corrupted items of the role, the latter by share, in each cell of the grid."""
+        cells = spark.createDataFrame([(t, x, n, S.half_up(n, x)) for t in TARGETS for x in SHARES for n in sizes], "target string, share double, size int, part int")
+        cut = F.when(~F.col("is_corrupted"), F.col("size")).when(own, F.col("size") - F.col("part")).otherwise(F.col("part"))
+        return pools.where(F.col("role") == role).join(F.broadcast(cells), own | (F.col("family") == F.col("target"))).where(F.col("at") <= cut)  # a row for each cell
+
+    start = pools.where("role = 'initial'")
+    initial = _risk(start, ("seed",)).select("seed", F.col("n").alias("initial_n"), F.col("flag").alias("initial_flag"))
+    stream = _accepts(keys[:3], mixed("evaluation", (ROLE,)), "eval_")
+    audits = _risk(mixed("audit", AUDITS), tuple(keys))
+    out = audits.join(initial, "seed").join(stream, keys[:3])
+    full = (F.col("initial_n") == ROLE) & (F.col("n") == F.col("size")) & (F.col("eval_n_corrupt") == ROLE) & (F.col("eval_n_clean") == ROLE)
+    return out.select(*keys, "initial_n", "initial_flag", "n", "fn_corr", "all3", "null3", "lift", "lift_infinite", "p", "flag", "eval_n_clean", "eval_n_corrupt", "eval_false_accept", "eval_true_accept", "eval_false_consensus", F.when(F.col("flag"), F.col("accepts")).otherwise(0).alias("routed"), full.alias("complete"))
+
+
+def leave_one_family_out_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """For each target and seed: the risk of 150 corrupted items pooled from all other families, the target's own, and routing of the target by the pooled flag.
+
+    Donors share each class by balanced quotas in an order seeded for it. The target is judged on at most 150 items of
+    each class, at most half of the smaller one; its own flag is for comparison and routes nothing. Clean pooled items
+    enter no risk figure and are only counted.
+    """
+    rows = written(_wide(spark, folder).drop("g1", "g2", "g3"), "wide")
+    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, ALL_SEEDS))))
+    placed = S.ranked(each.withColumn("h", S.hashed("source", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id"))), ["family", "seed", "is_corrupted"], "h", "place").where("place <= 150")
+    from pyspark.sql import Window
+
+    donors = [(t, f, seed, bad) for t in FAMILIES for f in FAMILIES if f != t for seed in ALL_SEEDS for bad in (False, True)]
+    order = Window.partitionBy("target", "seed", "is_corrupted").orderBy(S.hashed("quota", F.col("seed"), F.col("target"), F.col("is_corrupted"), F.col("family")))
+    quota = spark.createDataFrame(donors, "target string, family string, seed int, is_corrupted boolean").withColumn("quota", S.quotas(150, F.row_number().over(order), F.lit(len(FAMILIES) - 1)))
+    pooled = written(placed.join(F.broadcast(quota), ["family", "seed", "is_corrupted"]).where("place <= quota"), "pooled")  # a row for each donor and seed
+    source = _risk(pooled, ("target", "seed")).select("target", "seed", *(F.col(c).alias(f"pool_{c}") for c in ("n", "fn_corr", "all3", "lift", "lift_infinite", "p", "flag")))
+    clean = pooled.groupBy("target", "seed").agg(F.count_if(~F.col("is_corrupted")).alias("pool_n_clean"))
+    sizes = rows.groupBy("family").agg(F.least(F.lit(150), F.floor(F.count_if(F.col("is_corrupted")) / 2), F.floor(F.count_if(~F.col("is_corrupted")) / 2)).alias("most"))
+    ranked = S.ranked(each.withColumn("h", S.hashed("target", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id"))), ["family", "seed", "is_corrupted"], "h", "place")
+    target = written(ranked.join(F.broadcast(sizes), "family").where("place <= most").withColumn("target", F.col("family")), "target")  # a row for each family
+    own = _risk(target, ("target", "seed")).select("target", "seed", *(F.col(c).alias(f"own_{c}") for c in ("fn_corr", "all3", "lift", "lift_infinite", "p", "flag")))
+    out = source.join(clean, ["target", "seed"]).join(own, ["target", "seed"]).join(_accepts(["target", "seed"], target), ["target", "seed"])
+    routed = F.when(F.col("pool_flag"), F.col("accepts")).otherwise(0)
+    return out.select("*", routed.alias("routed"), (3 * routed).alias("routed_calls")).drop("accepts")
+
+
 def leave_one_family_out(spark: SparkSession, folder: str) -> DataFrame:
     """Risk of a sample of 60 corrupted items pooled from all other families by balanced quotas, against the target's own."""
     rows = _wide(spark, folder).where("is_corrupted").withColumn("h", S.hashed("pool", F.col("id")))
@@ -308,7 +376,7 @@ def collapse_rule(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bootstrap_reduction, bootstrap_reduction_whole, hash_permutation_null_whole, policy_random_budget_whole, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
+        bootstrap_reduction, bootstrap_reduction_whole, hash_permutation_null_whole, policy_random_budget_whole, drift_mixture_whole, leave_one_family_out_whole, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
         verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check, policy_random_budget,
         cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, drift_mixture, leave_one_family_out, flag_confusion, utility_breakeven,
     )
