@@ -9,9 +9,15 @@ from ..common import spelled
 
 
 def deduplicated(log: DataFrame, delay: str = "7 days") -> DataFrame:
-    """A streaming log with the first copy of each judge, item, mode and attempt; copies later than ``delay`` may pass."""
+    """A streaming log with the first copy of each judge, item, mode and attempt, and all rows without an item.
+
+    Keys are kept for ``delay`` after their arrival, whatever time a row was logged at, so no first copy is late;
+    a copy that arrives more than ``delay`` after the one before it may pass.
+    """
     keyed = log.withColumns({"k_judge": spelled("judge"), "k_item": spelled("item_id"), "k_mode": F.coalesce(spelled("mode"), F.lit("reference_free")), "k_attempt": F.coalesce("attempt", F.lit(1)), "event_time": F.col("logged_at").cast("timestamp")})
-    return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["k_judge", "k_item", "k_mode", "k_attempt"]).drop("k_judge", "k_item", "k_mode", "k_attempt")
+    keys = ["k_judge", "k_item", "k_mode", "k_attempt"]
+    first = keyed.where("k_item is not null").withColumn("k_arrived", F.current_timestamp()).withWatermark("k_arrived", delay).dropDuplicatesWithinWatermark(keys).drop("k_arrived")
+    return first.unionByName(keyed.where("k_item is null")).drop(*keys)
 
 
 def windowed(log: DataFrame, time: str, width: str = "7 days", delay: str | None = None) -> DataFrame:

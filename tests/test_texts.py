@@ -129,3 +129,16 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         append(rows, k)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+
+
+def test_stream_keeps_late_first_copies_and_rows_without_item(spark, tmp_path):
+    schema = "seq bigint, judge string, item_id string, mode string, verdict string, attempt int, logged_at string"
+    batches = [[(1, "j", "a", None, "true", 1, "2026-03-01 10:00:00"), (2, "j", None, None, "true", 1, "2026-03-01 10:00:00"), (3, "j", None, None, "true", 1, "2026-03-01 10:00:00")], [(4, "J", "b", None, "true", 1, "2025-01-01 10:00:00"), (5, " j", "A", None, "true", 1, "2025-01-01 10:00:00")], [(6, "j", "c", None, "true", 1, "2025-01-02 10:00:00")]]
+    (tmp_path / "log").mkdir()
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        q = stream.deduplicated(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        q.stop()
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 6]
