@@ -1,4 +1,4 @@
-"""The verdict log as a stream: one copy of each message, windows of risk, and idempotent appends."""
+"""The verdict log as a stream: one copy of each message, counts by window, and idempotent appends."""
 
 from __future__ import annotations
 
