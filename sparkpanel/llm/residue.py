@@ -1,11 +1,14 @@
-"""Template residue, filler text and messages of failing sites in place of content."""
+"""Template residue, filler text and messages of failing sites in place of content.
+
+Lines are masked, hashed and counted over all documents; the recurring messages are classified by phrases and slots.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import spelled
+from ..common import skew_join, spelled, written
 
 #: Names of fields that templates fill in. Fixed values, like all patterns below; they are matched in lower case.
 FIELDS = r"author|authors|title|page[_ ]title|name|first[_ ]name|last[_ ]name|date|year|entity|evidence|verdict|label|reference|references|claim|claim[_ ]text|claim[_ ]id|fever[_ ]id|judge[_ ]name|judge|item[_ ]id|statement|source|source[_ ]name|abstract|summary|text|url|email|company|city|user(name)?|content|body|description|placeholder|variable|value|insert[_ ][a-z_ ]+|your[_ ][a-z_ ]+"
@@ -39,60 +42,135 @@ WALL = (
 )
 
 
-def masked(text: Column) -> Column:
-    """The text in lower case with slots, addresses, dates and numbers masked and runs of anything else squeezed."""
-    x = F.lower(text)
-    x = F.regexp_replace(x, SLOT, " ⟨slot⟩ ")
-    x = F.regexp_replace(x, FIELD_SLOT, " ⟨slot⟩ ")
-    x = F.regexp_replace(x, r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(\.\d{1,3}){3}\b", " ⟨address⟩ ")
-    x = F.regexp_replace(x, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}(:\d{2})?\b|\b(january|february|march|april|may|june|july|august|september|october|november|december) \d{4}\b", " ⟨date⟩ ")
-    x = F.regexp_replace(x, r"\b[0-9a-f]{8,}\b|\d+([.,]\d+)*", "#")
-    return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}#⟨⟩]+", " "))
+#: Notices that content may hold as well, and words of such: they are residue only where they recur across sources.
+AMBIGUOUS = r"^\W*(?:loading\W*$|(please )?wait\b.*|this may take (a few|some) (seconds|moments?|minutes)\W*$|we use cookies\b.*|(please )?try again (later|in a few minutes)\b.*|coming soon\W*$|under construction\W*$|hello world\W*$|heading \d+\W*$|the quick brown fox\b.*)"
+CUE = r"\b(java ?script|captcha|reload|refresh|cookies|log ?in|sign ?in|web ?browser|ad ?block(er)?)\b"
+_MONTH_DATE = r"\b(january|february|march|april|may|june|july|august|september|october|november|december) \d+"
+_ADDRESS = r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+"
+_KEY = r"(?<!\p{L})'[a-z_ ]+'(?!\p{L})"
+_NAMES = r"\b\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)+\b"
 
+#: What a line is by itself: nothing, an ambiguous cue, a phrase of residue, a mark that only templates write.
+CUES, PHRASE, MARK = 1, 2, 3
 
-def rule(segment: Column) -> Column:
-    """The kind of residue a line or sentence is by its phrases and slots, or null: placeholder, stub, filler, unset, error or wall."""
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = text.contains(words[0])
+    for w in words[1:]:
+        out = out | text.contains(w)
+    return out
+
+
+def _parts(segment: Column) -> dict[str, Column]:
+    """What masking and classifying share: the line in lower case, its words, and whether it has marks, unset values or filler words at all."""
     low = F.lower(F.trim(segment))
-    n = F.length(low) - F.length(F.replace(low, F.lit(" "))) + 1
-    # Every slot has one of these marks; the phrases of the last three kinds all begin the line.
-    marked = low.rlike(r"[{}\[\]<>$%«@#(]|__|xxxx")
+    return {
+        "low": low, "words": F.length(low) - F.length(F.replace(low, F.lit(" "))) + 1, "marked": low.rlike(r"[{}\[\]<>$%«@#(]|__|xxxx"),
+        "unset": _holds(low, ("undefined", "null", "nan", "none", "[object")), "latin": _holds(low, ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod", "incididunt", "labore", "aliqua", "tempor", "elit", "nostrud", "ullamco", "excepteur")),
+    }
+
+
+def _masked(segment: Column, low: Column, marked: Column, unset: Column, latin: Column) -> Column:
+    """The words of a line in lower case, without numbers, dates and addresses; slots, quoted keys and runs of filler are one mark each.
+
+    On lines that a template has filled in (slots or unset values) names are left out too, so that fillings of one
+    template are one message.
+    """
+    x = F.when(marked | unset, F.lower(F.regexp_replace(segment, _NAMES, " "))).otherwise(low)
+    x = F.when(marked, F.regexp_replace(F.regexp_replace(x, SLOT, " ⟨slot⟩ "), FIELD_SLOT, " ⟨slot⟩ ")).otherwise(x)
+    x = F.when(_holds(low, ("@", "http", "www.")), F.regexp_replace(x, _ADDRESS, " ")).otherwise(x)
+    x = F.when(low.contains("'"), F.regexp_replace(x, _KEY, " ⟨slot⟩ ")).otherwise(x)
+    x = F.when(latin, F.regexp_replace(x, rf"({LOREM}\W*)+", " ⟨filler⟩ ")).otherwise(x)
+    return F.trim(F.regexp_replace(F.regexp_replace(x, _MONTH_DATE, " "), r"[^\p{L}⟨⟩]+", " "))
+
+
+def _kind(low: Column, n: Column, marked: Column, unset: Column, latin: Column) -> Column:
+    # Every slot has a mark; the phrases of stubs, errors and walls all begin the line.
     return (
         F.when(marked & (low.rlike(SLOT) | low.rlike(FIELD_SLOT) | low.rlike(PENDING)) & ~low.rlike(ABOUT), "placeholder")
-        .when((F.regexp_count(low, F.lit(LOREM_OWN)) >= 2) & (F.regexp_count(low, F.lit(LOREM)) >= 0.7 * n), "filler")
-        .when((n <= 16) & low.rlike(UNSET) & ((F.regexp_count(low, F.lit(UNSET)) >= 2) | low.rlike(rf"^\W*{UNSET}\W*$|:\s*{UNSET}\W*$")), "unset")
+        .when(latin & (F.regexp_count(low, F.lit(LOREM_OWN)) >= 2) & (F.regexp_count(low, F.lit(LOREM)) >= 0.7 * n), "filler")
+        .when(unset & (n <= 16) & low.rlike(UNSET) & ((F.regexp_count(low, F.lit(UNSET)) >= 2) | low.rlike(rf"^\W*{UNSET}\W*$|:\s*{UNSET}\W*$")), "unset")
         .when((n <= 30) & low.rlike(STUB), "stub")
         .when((n <= 30) & low.rlike(ERROR), "error")
         .when((n <= 30) & low.rlike(WALL), "wall")
+        .when((n <= 14) & (low.rlike(AMBIGUOUS) | low.rlike(CUE)), "cue")
     )
 
 
+def _level(low: Column, kind: Column) -> Column:
+    return F.when(kind.isin("placeholder", "filler"), MARK).when((kind == "cue") | (kind.isNotNull() & low.rlike(AMBIGUOUS)), CUES).when(kind.isNotNull(), PHRASE)
+
+
+def masked(segment: Column) -> Column:
+    """The normal form of a line: see :func:`_masked`."""
+    p = _parts(segment)
+    return _masked(segment, p["low"], p["marked"], p["unset"], p["latin"])
+
+
+def rule(segment: Column) -> Column:
+    """The kind of residue a line is by its phrases and slots: placeholder, filler, unset, stub, error, wall, an ambiguous cue, or null."""
+    p = _parts(segment)
+    return _kind(p["low"], p["words"], p["marked"], p["unset"], p["latin"])
+
+
 def segments(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, segment): the lines and sentences of every whole text; null and blank texts have none."""
-    lines = F.split("text", r"\n+|(?<=[.!?])\s+(?=\S)")
-    return documents.select("doc_id", spelled("source").alias("source"), F.explode(lines).alias("segment")).where("trim(segment) <> ''")
+    """(doc_id, source, size, segment): the distinct lines and sentences of every whole text, and how many it has; null and blank texts have none."""
+    lines = F.filter(F.array_distinct(F.split("text", r"\n+|(?<=[.!?])\s+(?=\S)")), lambda x: F.trim(x) != "")
+    split = documents.select("doc_id", spelled("source").alias("source"), lines.alias("lines"))
+    return split.select("doc_id", "source", F.size("lines").alias("size"), F.explode("lines").alias("segment"))
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, size, hash of the masked line in two halves, kind, level, example of a named line) of every line, written once."""
+    prepared = segments(documents).withColumns({f"__{k}": c for k, c in _parts(F.col("segment")).items()})
+    low, n, marked, unset, latin = (F.col(f"__{k}") for k in ("low", "words", "marked", "unset", "latin"))
+    told = prepared.withColumns({"__message": _masked(F.col("segment"), low, marked, unset, latin), "kind": _kind(low, n, marked, unset, latin)})
+    return written(
+        told.select("doc_id", "source", "size", F.xxhash64("__message").alias("h1"), F.xxhash64(F.lit(1), "__message").alias("h2"), "kind", _level(low, F.col("kind")).alias("level"), F.when(F.col("kind").isNotNull(), F.substring("segment", 1, 200)).alias("example")), "lines"
+    )
+
+
+def _counted(lines: DataFrame) -> DataFrame:
+    """Each message once: its kind and level, and whether it stands in several documents and sources.
+
+    Smallest and largest document and source tell exactly whether there are two; they combine before the shuffle, so a
+    message that stands in a third of all documents costs one row a task.
+    """
+    by = lines.groupBy("h1", "h2").agg(F.max(F.struct("level", "kind")).alias("x"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("source").alias("s0"), F.max("source").alias("s1"))
+    return by.select("h1", "h2", "x.kind", "x.level", (F.col("d0") < F.col("d1")).alias("recurs"), F.coalesce(F.col("s0") < F.col("s1"), F.lit(False)).alias("across"))
 
 
 def messages(documents: DataFrame) -> DataFrame:
-    """All recurring messages: the hash of the masked line, its kind if any rule names one, its documents, sources and an example.
+    """The recurring messages: hash, kind if a rule names one, documents, sources (of those known), and an example of a named one.
 
-    A message recurs if two or more rows hold it. Counts combine before the shuffle, so a message that stands in a
-    third of all documents costs one row a task.
+    Counts are exact and combine before the shuffle; a message recurs if two documents hold it. Repeated rows of a
+    document count as often as they stand there.
     """
-    rows = segments(documents).select("doc_id", "source", masked(F.col("segment")).alias("message"), rule(F.col("segment")).alias("kind"), "segment")
-    hashed = rows.withColumn("hash", F.md5("message"))
-    return (
-        hashed.groupBy("hash").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.approx_count_distinct("source").alias("n_sources"), F.min(F.substring("segment", 1, 200)).alias("example"))
-        .where("n > 1")
-    )
+    lines = _lines(documents)
+    by = lines.groupBy("h1", "h2", "source").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.max("kind").alias("kind"), F.min("example").alias("example"))
+    out = by.groupBy("h1", "h2").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"), F.count("source").alias("n_sources"), F.min("example").alias("example"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    return out.where("d0 < d1").select(F.format_string("%016x%016x", "h1", "h2").alias("hash"), "kind", "n", "n_sources", "example")
 
 
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, kinds): documents with a line or sentence that is residue in place of content.
 
-    ``documents`` has doc_id, text and source. Null and blank texts hold no residue, a repeated doc_id comes out once
-    and texts are taken whole. Every line is judged by its own phrases and slots, of whatever kind: how often a message
-    recurs decides nothing, as residue filled in for one document stands in that document alone and ordinary sentences
-    recur across documents and sources. ``messages`` has the counts.
+    ``documents`` has doc_id, text and source. Every line of every whole text is masked, hashed and counted over all
+    documents, and messages are classified by rules: a phrase of a stub, an error, a wall or unset values is residue
+    where the message recurs in two documents, an ambiguous cue (a cookie notice, "Loading...") where it recurs in two
+    documents of two sources. Two things are residue even if they stand once: slots and filler, which nothing but a
+    template writes, and phrases that make up half of their document's lines, as nothing stands beside them. Null and
+    blank texts hold no residue, a repeated doc_id comes out once and doesn't make a message recur; a null source is
+    no source of its own.
     """
-    named = segments(documents).select("doc_id", rule(F.col("segment")).alias("kind")).where("kind is not null")
-    return named.groupBy("doc_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    lines = _lines(documents)
+    decided = _counted(lines).where("kind is not null").select(F.concat_ws("|", "h1", "h2").alias("h"), F.when(F.col("level") == CUES, F.col("recurs") & F.col("across")).otherwise(F.col("recurs")).alias("residue"))
+    named = lines.where("kind is not null").select("doc_id", "size", "kind", "level", F.concat_ws("|", "h1", "h2").alias("h"))
+    # A message that stands everywhere is a hot key of this join, hence the join that spreads it.
+    told = skew_join(named, decided, "h")
+    kinds = told.groupBy("doc_id").agg(
+        F.collect_set(F.when((F.col("level") == MARK) | F.col("residue"), F.col("kind"))).alias("sure"), F.collect_set(F.when(F.col("level") >= PHRASE, F.col("kind"))).alias("all"),
+        F.size(F.collect_set(F.when(F.col("level") >= PHRASE, F.col("h")))).alias("n"), F.max("size").alias("size"),
+    )
+    alone = F.col("n") * 2 >= F.col("size")
+    return kinds.where((F.size("sure") > 0) | alone & (F.col("n") > 0)).select("doc_id", F.array_sort(F.when(alone, F.array_union("sure", "all")).otherwise(F.col("sure"))).alias("kinds"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkpanel.common import skew_join
 from sparkpanel.llm import consensus, leakage, mixture, overlap, residue, responses
 
 NAMES = ["Alva Brint", "Corin Dask", "Edda Falk", "Gorm Hult", "Ines Jorda", "Karo Lund"]
@@ -224,19 +225,31 @@ CONTENT = ["In the handbook the sign {{ name }} serves as the printed example of
 
 
 def test_residue(spark):
-    bad = [(k, f"A good sentence about trees.\n{t} And more of it.", "a") for k, t in enumerate(RESIDUE)]
+    bad = [(k + 1000 * c, f"A good sentence about tree {k} of {c}. And one more.\n{t} And more of it.", "ab"[c]) for k, t in enumerate(RESIDUE) for c in (0, 1)]
     good = [(100 + k, f"A good sentence. {t}", None) for k, t in enumerate(CONTENT)] + [(200, None, "a"), (201, "", "b"), (202, "x " * 500_000, "b")]
     docs = spark.createDataFrame([*bad, *good, bad[0]], "doc_id bigint, text string, source string").withColumn("kind", F.lit("clash")).withColumn("hash", F.lit(1))
     found = {r.doc_id for r in residue.residue(docs).collect()}
-    assert found == set(range(len(RESIDUE)))
-    assert residue.residue(docs.limit(0)).count() == 0
-    assert residue.messages(docs).where("example like 'A good sentence about%'").first().n == len(RESIDUE) + 1
-
-
-def test_residue_is_judged_by_the_line_alone(spark):
-    alone = [(1, "Published on null by None; Bojav Jarisi has undefined readers.", "a"), (2, "Gateway timed out while waiting for the upstream server.", "b"), (3, "Heading 1.", None)]
-    common = [(10 + k, f"No verdict yet. The archive holds {k} pages.", "abc"[k % 3]) for k in range(6)]
-    mixed = [(20, "Please enable JavaScript.\nError 404", "a"), (21, "Error 500", "a")]
-    found = residue.residue(spark.createDataFrame([*alone, *common, *mixed], "doc_id bigint, text string, source string"))
-    assert {r.doc_id: r.kinds for r in found.collect()} == {1: ["unset"], 2: ["error"], 3: ["stub"], 20: ["error", "wall"], 21: ["error"]}
-    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no count of other documents is asked
+    assert found == {r[0] for r in bad}
+    assert residue.residue(docs.limit(0)).count() == 0 and residue.messages(docs.limit(0)).count() == 0
+    told = residue.messages(docs)
+    assert told.where("example like 'Please enable%'").first().n == 2
+    # Numbers are masked, so the sentence about trees is one message; the repeated document row counts once more.
+    assert told.agg(F.max("n")).first()[0] == 2 * len(RESIDUE) + 1
+
+
+def test_recurrence_decides_about_residue(spark):
+    body = "The bridge was built of oak. It fell in May. Nobody was hurt."
+    rows = [
+        (1, f"{body}\nAccess denied.", "a"), (2, f"{body}\nInternal server error.", "a"), (3, f"{body} And so on.\nInternal Server Error", "a"),  # once; twice in one source
+        (4, "Gateway timed out while waiting for the upstream server.", "b"), (5, f"{body}\nWe use cookies here.", "a"), (6, f"{body}\nWe use cookies here.", "a"),  # nothing else; a cue in one source
+        (7, f"{body}\nLoading...", "a"), (8, f"{body}\nLoading...", "c"), (9, f"{body}\nPublished on null by None; Bojav Jarisi has undefined readers.", "a"),
+        (10, f"{body}\nPublished on null by None; Ralo Minte has undefined readers.", None), (11, f"{body} Dear {{{{ name }}}}, thank you.", "a"), (12, f"{body}\nForbidden.", "a"), (12, f"{body}\nForbidden.", "a"),
+    ]
+    found = {r.doc_id: r.kinds for r in residue.residue(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert found == {2: ["error"], 3: ["error"], 4: ["error"], 7: ["cue"], 8: ["cue"], 9: ["unset"], 10: ["unset"], 11: ["placeholder"]}
+
+
+def test_a_message_of_a_third_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(residue, "skew_join", lambda left, right, on: skew_join(left, right, on, share=0.05, least=10))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "Page one of a book.\n404 Not Found").otherwise(F.concat(F.lit("Page of the book number "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    assert residue.residue(docs).count() == 100
