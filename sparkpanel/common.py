@@ -83,17 +83,22 @@ def hot_values(counts: DataFrame, value: str, n: str, total: int, share: float =
     return [r[0] for r in counts.where(F.col(n) > max(total * share, least)).select(value).collect()]
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", share: float = 1e-3, least: int = 10_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, on: str, how: str = "left", share: float = 1e-3, least: int = 10_000, counts: DataFrame | None = None, total: int | None = None, salts: int = 32) -> DataFrame:
     """An equi-join on one column whose left side may have hot keys and whose right side has one row a key.
 
-    Keys that hold more than ``share`` of the left rows (at most ``1 / share`` of them) are joined by broadcasting
-    their right rows, so no task receives a hot group; all other keys are joined by a shuffle. ``how`` is left or inner.
+    The left rows of keys that hold more than ``share`` of the left rows (at most ``1 / share`` of them) are spread over
+    ``salts`` parts, and the right rows of those keys are repeated for each part, so no task receives a hot group; all
+    other keys are joined as they are. Nothing is marked for a broadcast: whether a side is small enough for one is left
+    to the planner and its threshold. ``counts`` (on, __n) and ``total`` may be given where counts of a larger table are
+    cheaper; more keys are hot then. ``how`` is left or inner.
     """
-    counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    hot = hot_values(counts, on, "__n", left.count(), share, least)
+    if counts is None:
+        counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    hot = hot_values(counts.where(F.col(on).isNotNull()), on, "__n", left.count() if total is None else total, share, least)
     if not hot:
         return left.join(right, on, how)
     is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
     cold = left.where(~is_hot).join(right, on, how)
-    warm = left.where(is_hot).join(F.broadcast(right.where(F.col(on).isin(hot))), on, how)
-    return cold.unionByName(warm)
+    part = left.where(is_hot).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    known = right.where(F.col(on).isin(hot)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cold.unionByName(part.join(known, [on, "__salt"], how).drop("__salt"))
