@@ -15,30 +15,33 @@ def _ranked(messages: DataFrame, key: Mapping[str, Column], identifier: Column,
 
     Aggregated frequency (combined before the shuffle) splits the keys: keys seen once pass; groups of up to
     ``hot_share`` of all rows are ranked in a window; larger groups, of which there can be ``1 / hot_share`` at most,
-    are told apart by the smallest order value the aggregation found, sent to the rows as a bounded broadcast.
+    have their first row picked by an aggregation over (order, row number), which sends one row a task, whatever their
+    order values are. The keys are joined by a two-part hash, so that a key is as wide as two numbers.
     """
-    names = fresh(messages, *(f"k{i}" for i in range(len(key))), "n", "first", "rank")
-    keys, n, first, rank = names[: len(key)], *names[len(key) :]
-    named = messages.withColumns(dict(zip(keys, (key_text(c) for c in key.values()))) | {rank: F.when(identifier.isNull(), F.lit(0))})
+    k1, k2, n, first, rank, number = fresh(messages, "k1", "k2", "n", "first", "rank", "number")
+    whole = F.concat_ws("\u0001", *(key_text(c) for c in key.values()))
+    named = messages.withColumns({k1: F.xxhash64(whole), k2: F.xxhash64(F.lit(1), whole), rank: F.when(identifier.isNull(), F.lit(0))})
     without, rows = named.where(F.col(rank) == 0), named.where(F.col(rank).isNull()).drop(rank)
-    counted = rows.groupBy(keys).agg(F.count(F.lit(1)).alias(n), F.min(order).alias(first))
-    repeated = written(counted.where(F.col(n) > 1), "repeated")
+    repeated = written(rows.groupBy(k1, k2).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1), "repeated")
     bound = max(messages.count() * hot_share, hot_least)
-    hot = repeated.where(F.col(n) > bound)
-    by_order = Window.partitionBy(keys).orderBy(F.col(order).asc_nulls_last())
-    if hot.isEmpty():
-        large, cold = None, rows
-    else:
-        hot = F.broadcast(hot.select(*keys, first))
-        large, cold = rows.join(hot, keys), rows.join(hot.drop(first), keys, "left_anti")
-    usual = repeated.where(F.col(n) <= bound).select(*keys)
-    ranked = cold.join(usual, keys).withColumn(rank, F.row_number().over(by_order))
-    if large is not None:
-        earliest = F.col(order).eqNullSafe(F.col(first))
-        ties = large.where(earliest).withColumn(rank, F.row_number().over(by_order))
-        ranked = ranked.unionByName(ties.unionByName(large.where(~earliest).withColumn(rank, F.lit(2))).drop(first))
-    single = cold.join(usual, keys, "left_anti")
-    return single.unionByName(without.drop(rank)).drop(*keys), ranked.drop(*keys), rank
+    hot = [(r[0], r[1]) for r in repeated.where(F.col(n) > bound).select(k1, k2).collect()]
+    by_order = Window.partitionBy(k1, k2).orderBy(F.col(order).asc_nulls_last())
+    usual = repeated.where(F.col(n) <= bound)
+    if not hot:
+        joined = rows.join(usual, [k1, k2], "left")
+        return joined.where(F.col(n).isNull()).drop(n).unionByName(without.drop(rank)).drop(k1, k2), joined.where(F.col(n).isNotNull()).withColumn(rank, F.row_number().over(by_order)).drop(k1, k2, n), rank
+    is_hot = F.lit(False)
+    for one, two in hot:
+        is_hot = is_hot | ((F.col(k1) == one) & (F.col(k2) == two))
+    joined = rows.where(~is_hot).join(usual, [k1, k2], "left")
+    single = joined.where(F.col(n).isNull()).drop(n)
+    ranked = joined.where(F.col(n).isNotNull()).drop(n).withColumn(rank, F.row_number().over(by_order))
+    # A written table has fixed rows in fixed partitions, so the row numbers are the same wherever they are asked for.
+    large = written(rows.where(is_hot), "large").withColumn(number, F.monotonically_increasing_id())
+    least = large.groupBy(k1, k2).agg(F.min(F.struct(F.col(order).isNull().alias("a"), F.col(order).alias("b"), F.col(number).alias("c")))["c"].alias(first))
+    firsts = [r[0] for r in least.select(first).collect()]
+    told = large.withColumn(rank, F.when(F.col(number).isin(firsts), 1).otherwise(2)).drop(number)
+    return single.unionByName(without.drop(rank)).drop(k1, k2), ranked.unionByName(told).drop(k1, k2), rank
 
 
 def keep_first(messages: DataFrame, key: Mapping[str, Column], identifier: Column, order: str, hot_share: float = 1e-3, hot_least: int = 10_000) -> DataFrame:

@@ -8,9 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: No event of a parent lies before this; it stands for the time of references that have none.
-_NO_TIME = "timestamp_ntz'9999-12-31 00:00:00'"
+from ..common import NULL_KEY, skew_join, written
+
+#: Stands for the begin of parents that have none.
 _EVER = "timestamp_ntz'0001-01-01 00:00:00'"
+_PARENT, _CHILD = 0, 1
+_PRESENT, _SWEEP = "present", "sweep"
 
 
 @dataclass(frozen=True)
@@ -39,41 +42,56 @@ def orphans(children: Sequence[Child], parents: DataFrame, key: Column, since: C
     references; parent rows with a null key are ignored, repeated parent rows count once as far as presence goes, and
     a parent that ends before it begins is never present. Either side may be empty.
 
-    Parent and child keys form one long table of tagged events. It is first counted by key and hour, where map-side
-    sums leave a hot key one row an hour and task, and the counts are summed over time within a key. Single rows are
-    then only compared within their own key and hour, beginning from those sums; so a key that holds a third of all
-    rows is spread over its hours, and nothing is collected.
+    Parent and child keys form one long table of tagged events. It is grouped by key and hour, with sums that combine
+    before the shuffle. A key without any parent flag is missing by its group alone, and an hour in which no parent row
+    of the key begins or ends is decided by the sums of the hours before it. Only references in the other hours are
+    compared with the changes within their hour. References without a time are decided by their group, so they never
+    meet in one task; a key and hour that holds any number of references is spread by a salted join.
     """
-    spelled = parents.select(key.alias("key"), F.coalesce(since.cast("timestamp_ntz"), F.expr(_EVER)).alias("time"), until.cast("timestamp_ntz").alias("until")).where(F.col("key").isNotNull())
+    parent_rows = parents.select(key.alias("key"), F.coalesce(since.cast("timestamp_ntz"), F.expr(_EVER)).alias("time"), until.cast("timestamp_ntz").alias("until")).where(F.col("key").isNotNull())
     valid = F.col("until").isNull() | (F.col("until") > F.col("time"))
-    zero = F.lit(0).cast("bigint")
-    empty = {"child": F.lit(None).cast("string"), "row": F.lit(None).cast("bigint"), "timed": F.lit(True)}
-    opened = spelled.select("key", "time", F.when(valid, 1).otherwise(0).cast("bigint").alias("open"), F.lit(1).cast("bigint").alias("load"), F.lit(1).alias("place"), *(c.alias(k) for k, c in empty.items()))
-    closed = spelled.where(valid & F.col("until").isNotNull()).select("key", F.col("until").alias("time"), F.lit(-1).cast("bigint").alias("open"), zero.alias("load"), F.lit(1).alias("place"), *(c.alias(k) for k, c in empty.items()))
-    events = opened.unionByName(closed)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    opened = parent_rows.select("key", "time", F.when(valid, one).otherwise(zero).alias("open"), one.alias("load"))
+    closed = parent_rows.where(valid & F.col("until").isNotNull()).select("key", F.col("until").alias("time"), (-one).alias("open"), zero.alias("load"))
+    changes = opened.unionByName(closed).select(F.lit(_PARENT).alias("tag"), "key", "time", "open", "load", F.lit(None).cast("string").alias("child"), F.lit(None).cast("bigint").alias("row"))
+    events = changes
     for c in children:
-        rows = c.frame.select(c.key.alias("key"), F.coalesce(c.time.cast("timestamp_ntz"), F.expr(_NO_TIME)).alias("time"), zero.alias("open"), zero.alias("load"), F.lit(2).alias("place"), F.lit(c.name).alias("child"), c.row.cast("bigint").alias("row"), c.time.isNotNull().alias("timed"))
+        rows = c.frame.select(F.lit(_CHILD).alias("tag"), c.key.alias("key"), c.time.cast("timestamp_ntz").alias("time"), zero.alias("open"), zero.alias("load"), F.lit(c.name).alias("child"), c.row.cast("bigint").alias("row"))
         events = events.unionByName(rows.where(F.col("key").isNotNull()))
     events = events.withColumn("slot", _slot("time"))
 
-    counted = events.groupBy("key", "slot").agg(F.sum("open").alias("open"), F.sum("load").alias("load"), F.count("child").alias("children"))
-    past = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    opening = counted.select(
-        "key", "slot", "children",
-        F.coalesce(F.sum("open").over(past), zero).alias("open"),
-        F.coalesce(F.sum("load").over(past), zero).alias("load"),
-        F.sum("load").over(Window.partitionBy("key")).alias("loads"),
-    ).where("children > 0")
-    start = opening.select("key", "slot", F.col("slot").alias("time"), "open", "load", "loads", F.lit(0).alias("place"), *(c.alias(k) for k, c in empty.items()))
-    timeline = events.withColumn("loads", zero).unionByName(start)
-    running = Window.partitionBy("key", "slot").orderBy("time", "place").rangeBetween(Window.unboundedPreceding, 0)
-    # The opening row sorts first: no event is earlier than its slot, and its place is 0.
-    judged = timeline.select(
-        "child", "row", "time", "timed", "key", "slot",
-        F.sum("open").over(running).alias("present"), F.sum("load").over(running).alias("begun"), F.max("loads").over(running).alias("loads"),
-    ).where("child is not null")
-    reason = F.when(F.col("loads") == 0, "missing").when(~F.col("timed") | (F.col("present") > 0), F.lit(None)).when(F.col("begun") == 0, "late").otherwise("deleted")
-    return judged.select(F.col("child").alias("ref_table"), F.col("row").alias("seq"), F.when(F.col("timed"), F.col("time")).alias("time"), reason.alias("reason")).where("reason is not null")
+    # One row for each key and hour (a null hour for references without a time), whatever the number of references.
+    counted = events.groupBy("key", "slot").agg(F.sum("open").alias("open"), F.sum("load").alias("load"), F.count_if(F.col("tag") == _PARENT).alias("changes"), F.count("child").alias("children"))
+    past = Window.partitionBy("key").orderBy(F.col("slot").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    summed = counted.select(
+        "key", "slot", "changes", "children", F.coalesce(F.sum("open").over(past), zero).alias("open"), F.coalesce(F.sum("load").over(past), zero).alias("begun"), F.sum("load").over(Window.partitionBy("key")).alias("loads"),
+    ).where("children > 0")
+    verdict = (
+        F.when(F.col("loads") == 0, "missing").when(F.col("slot").isNull(), _PRESENT).when(F.col("changes") > 0, _SWEEP)
+        .when(F.col("open") > 0, _PRESENT).when(F.col("begun") == 0, "late").otherwise("deleted")
+    )
+    groups = written(summed.select("key", "slot", _place("key", "slot").alias("place"), "children", verdict.alias("verdict"), "open", "begun"), "groups")
+    decided = groups.where(F.col("verdict") != _PRESENT)
+    refs = events.where(F.col("tag") == _CHILD).select("child", "row", "time", _place("key", "slot").alias("place"))
+    sizes = groups.select("place", F.col("children").alias("__n"))
+    total = groups.agg(F.sum("children")).first()[0] or 0
+    told = written(skew_join(refs, decided.select("place", "verdict", "open", "begun"), "place", "inner", counts=sizes, total=total), "told")
+    whole = told.where(F.col("verdict") != _SWEEP).select("child", "row", "time", F.col("verdict").alias("reason"))
+
+    # In hours with changes, those changes are few rows; each reference is compared with the sums up to its own time.
+    swept = decided.where(F.col("verdict") == _SWEEP)
+    steps = changes.withColumn("slot", _slot("time")).join(swept.select("key", "slot"), ["key", "slot"], "left_semi").groupBy("key", "slot", "time").agg(F.sum("open").alias("open"), F.sum("load").alias("load"))
+    listed = steps.groupBy("key", "slot").agg(F.collect_list(F.struct("time", "open", "load")).alias("steps")).select(_place("key", "slot").alias("place"), "steps")
+    near = skew_join(told.where(F.col("verdict") == _SWEEP).drop("verdict"), listed, "place", "inner", counts=sizes, total=total)
+    upto = F.filter("steps", lambda s: s["time"] <= F.col("time"))
+    change = lambda field: F.aggregate(upto, zero, lambda a, s: a + s[field])
+    close = near.select("child", "row", "time", (F.col("open") + change("open")).alias("present"), (F.col("begun") + change("load")).alias("started"))
+    within = close.where("present <= 0").select("child", "row", "time", F.when(F.col("started") == 0, "late").otherwise("deleted").alias("reason"))
+    return whole.unionByName(within).select(F.col("child").alias("ref_table"), F.col("row").alias("seq"), "time", "reason")
+
+
+def _place(key: str, slot: str) -> Column:
+    return F.concat_ws("\u0001", F.coalesce(F.col(slot).cast("string"), F.lit(NULL_KEY)), F.col(key))
 
 
 def orphan_counts(found: DataFrame) -> DataFrame:

@@ -94,3 +94,31 @@ def test_differences(spark):
     assert difference.differences(left.limit(0), right.limit(0), ["k", "s"], ["x", "flag"]).count() == 0
     assert {r.kind for r in difference.differences(left, right.limit(0), ["k", "s"], ["x", "flag"]).collect()} == {"only_expected"}
     assert difference.differences(left, left, ["k", "s"], ["x", "flag"]).count() == 0
+
+
+def test_unlike_rows_of_a_key_hide_no_difference(spark):
+    schema = "k string, x double, __low0 string, ignored array<string>"
+    rows = [("a", 1.0, "", None), ("a", 9.0, "", None), ("b", 1.0, "", None), ("b", None, "", None), ("c", 1.0, "", None), ("c", 2.0, "", None), ("d", 1.0, "", ["x"]), ("d", 2.0, "", ["x"])]
+    left = spark.createDataFrame(rows, schema)
+    right = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 2.0), ("c", 1.0), ("d", 3.0)], "k string, x double")
+    got = {tuple(r) for r in difference.differences(left, right, ["k"], ["x"]).collect()}
+    assert got == {("a", "x", "value"), ("b", "x", "value"), ("c", "x", "conflict")}
+
+
+def test_a_hot_message_with_equal_or_null_order(spark):
+    for order in ("cast(null as bigint)", "7L", "id"):
+        log = spark.range(500).selectExpr(f"{order} as seq", "'j' as judge", "if(id % 3 = 0, concat('i', id), 'hot') as item_id", "id as clash")
+        args = (log, {"judge": F.col("judge"), "item": F.col("item_id")}, F.col("item_id"), "seq", 0.01, 10)
+        kept = delivery.keep_first(*args)
+        assert kept.count() == 168 and kept.where("item_id = 'hot'").count() == 1
+        assert kept.unionByName(delivery.surplus(*args)).select("clash").distinct().count() == 500
+        windows = [w for w in delivery.surplus(*args)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in w]
+        assert len(windows) == 1  # only the usual groups are ranked in a window
+
+
+def test_references_without_a_time_or_in_one_hour(spark):
+    parents = spark.createDataFrame([("hot", _t(2), _t(2, 6)), ("hot", _t(2, 8), None)], "id string, a timestamp_ntz, b timestamp_ntz")
+    kids = spark.range(3000).selectExpr("id as seq", "if(id % 7 = 0, 'gone', 'hot') as k", "case when id % 3 = 0 then null else timestamp_ntz'2025-01-02 05:30:00' + make_dt_interval(0, 0, cast(id % 60 as int), 0) end as t")
+    got = references.orphans([references.Child("x", kids, F.col("k"), F.col("t"), F.col("seq"))], parents, F.col("id"), F.col("a"), F.col("b"))
+    want = {i: "missing" if i % 7 == 0 else "deleted" for i in range(3000) if i % 7 == 0 or (i % 3 and i % 60 >= 30)}
+    assert {r.seq: r.reason for r in got.collect()} == want
