@@ -21,26 +21,30 @@ SOFT = r"\b(sorry|apologi[sz]e|apologies|regrettably|unfortunately|afraid|as a l
 DANGLING = r"\b(the|a|an|of|to|and|or|is|are|was|were|be|been|that|which|who|so|therefore|thus|hence|because|at|in|with|by|for|from|on|as|not|has|have|had|each|but|than|this|its|it|about|whether|between|after|before|while|when|where|no|any|only|also|besides)\W*$"
 PARTIAL = r"^\W*(t|tr|tru|f|fa|fal|fals|a|an|ans|answ|answe|v|ve|ver|verd|verdi|verdic|th|the|the s|the st|the sta|the stat|the state|the statem|the stateme|the statemen|the c|the cl|the cla|the clai)\W*$"
 #: Words of an answer's own: a statement that is merely given back has none of them.
-OWN = r"\b(claim|statement|reference|references|source|sources|record|records|detail|details|figure|fits?|match(es)?|conflicts?|correct|incorrect|wrong|right|true|false|accurate|inaccurate|label|faulted|swapped|indeed|part in (this|it)|does not belong|checks? out|accounts|reasoning|step|verdict|sorry|error|i|my)\b"
-ENGLISH = r"\b(the|and|this|that|with|for|not|which|from|by|it|its|what|here|someone|nothing|of|is|are)\b"
-FOREIGN = r"\b(vrai|vraie|faux|fausse|exacte?|inexacte?|oui|affirmation|concorde|jamais|sources disent|cette|n'est|c'est|n'a|afirmaci[oó]n|verdader[oa]|seg[uú]n|fuentes|cierto|falso|falsa|coinciden|n[uú]mero|bueno|sim|n[aã]o|verdadeir[oa]|afirma[cç][aã]o|esteve|est[aá] errada|citado|vero|dati|corrispondono|fonti|affermazione|sbagliata|lavorato|ja|nein|wahr|falsch|richtig|stimmt|aussage|nicht|l[aä]sst|trifft|waar|onwaar|bewering|klopt|niet|overeen|bronnen|sant|falskt|p[aå]st[aå]endet|st[aä]mmer|inte|uppgifterna|riktiga|prawda|fa[lł]sz|nie|dane|zgadzaj[aą]|[zź]r[oó]d[lł]ami|zdanie|b[lł][eę]dne|tak|sann|usann|feil|riktig|tosi|ep[aä]tosi|pravda|nepravda|do[gğ]ru|yanl[ıi][sş]|benar|salah|adev[aă]rat|igaz|hamis|sandt|s[ií]|s[iì])\b(?!')"
+OWN = tuple("claim statement reference references source sources record records detail details figure fit fits match matches conflict conflicts correct incorrect wrong right true false accurate inaccurate label faulted swapped indeed accounts reasoning step verdict sorry error i my".split())
+OWN_PHRASES = ("part in this", "part in it", "does not belong", "checks out", "check out")
+ENGLISH = tuple("the and this that with for not which from by it its what here someone nothing of is are".split())
+#: Words of answers in other languages that use the Latin alphabet.
+FOREIGN = tuple(
+    "vrai vraie faux fausse exact inexact inexacte oui affirmation concorde jamais cette afirmación afirmacion verdadero verdadera según segun fuentes cierto falso falsa coinciden número numero bueno sim não nao verdadeiro verdadeira afirmação afirmacao esteve errada citado "
+    "vero dati corrispondono fonti affermazione sbagliata lavorato ja nein wahr falsch richtig stimmt aussage nicht lässt lasst trifft waar onwaar bewering klopt niet overeen bronnen sant falskt påståendet påstaendet stämmer inte uppgifterna riktiga "
+    "prawda fałsz falsz nie dane zgadzają zgadzaja źródłami zdanie błędne tak sann usann feil riktig tosi epätosi pravda nepravda doğru dogru yanlış yanlis benar salah adevărat igaz hamis sandt sí si sì".split()
+)
+FOREIGN_PHRASES = ("n'est", "c'est", "n'a ", "sources disent", "n’est", "c’est")
 QUOTED = r'[“"„«][^”"“»]*[”"»]'
 ACCENTED = "[\u00a1\u00bf\u00df-\u00f6\u00f8-\u024f]"
 ALIEN = r"[^\p{IsLatin}\p{N}\p{P}\p{S}\p{Z}\p{C}\p{M}]"
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
-#: For each labelling function of a defect, the prior chances of a vote for and against it: given the defect, and without it.
-PRIORS = {
-    "empty": [(0.60, 0.01, 0.001, 0.30), (0.75, 0.01, 0.001, 0.60), (0.30, 0.01, 0.001, 0.30), (0.01, 0.05, 0.001, 0.80)],
-    "truncated": [(0.90, 0.02, 0.02, 0.90), (0.30, 0.01, 0.005, 0.20), (0.50, 0.05, 0.05, 0.10), (0.45, 0.01, 0.01, 0.10), (0.01, 0.02, 0.05, 0.80), (0.01, 0.03, 0.02, 0.30)],
-    "refusal": [(0.93, 0.01, 0.03, 0.60), (0.55, 0.01, 0.02, 0.05), (0.02, 0.04, 0.70, 0.05), (0.02, 0.02, 0.30, 0.02)],
-    "copy": [(0.88, 0.02, 0.01, 0.70), (0.45, 0.01, 0.01, 0.05), (0.85, 0.02, 0.01, 0.70), (0.01, 0.05, 0.02, 0.80), (0.85, 0.03, 0.03, 0.70)],
-    "other_language": [(0.30, 0.01, 0.001, 0.05), (0.70, 0.01, 0.002, 0.05), (0.40, 0.01, 0.005, 0.05), (0.02, 0.05, 0.02, 0.70), (0.01, 0.02, 0.01, 0.50)],
-}
-#: Prior share of each defect, what the priors weigh as a share of all rows, and the rounds.
-SHARE, STRENGTH, ROUNDS = 0.02, 0.2, 50
-
-#: Labelled examples (response, statement, completion tokens, defect) by which the cutoffs are validated. Fixed values.
+#: The label model starts alike for all defects and labelling functions: given the defect a function votes for it with
+#: the first chance and against it with the second, without the defect the other way round. This prior weighs WEIGHT
+#: rows, that of the share of defective rows SHARE_WEIGHT, whatever the number of rows; the rest is learned.
+START, WEIGHT = (0.6, 0.1), 20.0
+SHARE, SHARE_WEIGHT, ROUNDS = 0.02, 200.0, 50
+#: Number of labelling functions of each defect.
+FUNCTIONS = {"empty": 4, "truncated": 5, "refusal": 5, "copy": 5, "other_language": 5}
+
+#: Labelled examples (response, statement, completion tokens, defect) by which the cutoffs are chosen; the tests have others. Fixed values.
 _S = "The granite library Momev Tadelo burned down in 1911, a year after Orvane Tolvane took it over in Nevetta."
 VALIDATION: list[tuple[str | None, str | None, int, str | None]] = [
     (None, _S, 0, "empty"), ("", _S, 0, "empty"), ("\n\n", _S, 1, "empty"), ("...", _S, 1, "empty"), ("**", _S, 1, "empty"), ("{}", _S, 1, "empty"),
@@ -67,77 +71,91 @@ VALIDATION: list[tuple[str | None, str | None, int, str | None]] = [
 ]
 
 
-def _votes(row: DataFrame) -> dict[str, list[Column]]:
-    """Votes of each labelling function, from columns low (the response in lower case), tokens and statement words: 1 for, -1 against, 0 none."""
+def _votes() -> dict[str, list[Column]]:
+    """Votes of each labelling function from the columns of :func:`_prepared`: 1 for the defect, -1 against it, 0 none. Every function votes on every row."""
 
-    def vote(yes: Column, no: Column | None = None) -> Column:
-        v = F.when(yes, 1)
-        return F.coalesce(v.when(no, -1).otherwise(0) if no is not None else v.otherwise(0), F.lit(0))
+    def vote(yes: Column | None, no: Column | None = None) -> Column:
+        v = F.when(F.coalesce(yes, F.lit(False)), 1) if yes is not None else None
+        if no is None:
+            return v.otherwise(0)
+        no = F.coalesce(no, F.lit(False))
+        return (v.when(no, -1) if v is not None else F.when(no, -1)).otherwise(0)
 
-    low = F.col("__low")
-    words = F.col("__n")
-    overlap, left = F.col("__overlap"), F.col("__left")
-    told, closed, frame, transport, blank, foreign, alien, english, odd, refusing, soft, own = (F.col(f"__{c}") for c in ("told", "closed", "frame", "transport", "blank", "foreign", "alien", "english", "odd", "refusing", "soft", "own"))
-    copied = F.coalesce(overlap >= 0.8, F.lit(False))
+    words, letters, overlap = F.col("__n"), F.col("__letters"), F.col("__overlap")
+    told, closed, odd, void, blank, transport, partial, dangling = (F.col(f"__{c}") for c in ("told", "closed", "odd", "void", "blank", "transport", "partial", "dangling"))
+    alien, foreign, english, accented, refusing, soft, frame, own = (F.col(f"__{c}") for c in ("alien", "foreign", "english", "accented", "refusing", "soft", "frame", "own"))
+    copied, known = F.coalesce(overlap >= 0.8, F.lit(False)), overlap.isNotNull()
     strange = alien | (foreign & ~english)
     # A frame that is opened but not closed breaks off; one that is closed around nothing is empty.
-    cut = odd & low.rlike(r"\p{L}")
-    fine = closed & ~odd | transport | copied | strange | (blank & ~cut)
+    cut = odd & ~void
+    nothing = (blank | void) & ~cut
+    explained = closed & ~odd | transport | copied | strange | nothing
     return {
-        "empty": [vote(~low.rlike(r"[\p{L}\p{N}]"), words >= 3), vote(blank & ~cut, ~blank & ~transport | cut), vote(transport, words >= 8), vote(F.lit(False), ~blank & ~transport & (told | (words >= 4) | foreign | alien))],
-        "truncated": [
-            vote(~closed & ~fine, fine),
-            vote(cut & ~fine, fine),
-            vote((F.col("__tokens") >= 64) & ~closed & ~fine, fine),
-            vote((~closed & F.col("__dangling") | low.rlike(PARTIAL)) & ~fine, fine),
-            vote(F.lit(False), fine),
-            vote(F.lit(False), strange | copied | frame | transport | (blank & ~cut)),
+        "empty": [vote(void, letters >= 12), vote(nothing | transport, ~nothing & ~transport), vote(transport, words >= 8), vote(None, told | (letters >= 16) & ~transport | foreign | alien)],
+        "truncated": [vote(~closed & ~explained, explained), vote(cut & ~explained, explained), vote((F.col("__tokens") >= 64) & ~closed, closed), vote((dangling & ~closed | partial) & ~explained, explained), vote(None, told & closed)],
+        "refusal": [vote(refusing, ~refusing), vote(soft), vote(~told, told), vote(None, copied | frame | ~closed), vote(None, nothing | transport | strange)],
+        "copy": [
+            vote(copied, known & (overlap < 0.5) | (words < 5)), vote(frame), vote(~told & (copied | ~known & (closed | frame) & (frame | ~own) & ~refusing & ~strange & (words >= 7)), told),
+            vote(~own & (words >= 5), own), vote(None, nothing | transport | strange | (refusing & ~copied)),
         ],
-        "refusal": [vote(refusing & ~told, told | ~refusing), vote(soft & ~told, told & soft), vote(F.lit(False), told | blank | transport), vote(F.lit(False), copied | frame | ~closed)],
-        "copy": [vote(copied, overlap < 0.5), vote(frame & ~told & (words >= 8)), vote(copied & ~told & (left <= 9), (overlap < 0.6) | told), vote(F.lit(False), told | blank | transport | (words < 5)), vote(~told & (words >= 7) & (copied | (overlap.isNull() & (closed | frame) & ((frame & ~refusing) | ~own) & ~foreign & ~alien)), (overlap < 0.6) | refusing | (overlap.isNull() & own & ~frame))],
-        "other_language": [vote(alien), vote(foreign & ~english), vote(~english & F.col("__outside").rlike(ACCENTED)), vote(F.lit(False), english & ~alien), vote(F.lit(False), (blank | transport | copied | (told & ~foreign)) & ~alien)],
-    }
+        "other_language": [vote(alien | foreign, ~alien & ~foreign), vote(alien), vote(~english, english & ~alien), vote(accented), vote(None, (nothing | transport | copied | (told & ~foreign)) & ~alien)],
+    }
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    out = text.contains(parts[0])
+    for p in parts[1:]:
+        out = out | text.contains(p)
+    return out
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
-    """Columns that the labelling functions share; response, statement and tokens are given as __response, __statement, __tokens."""
-    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\s\u00a0\u200b-\u200f\u202f\u2060\ufeff]+", " "))
-    low = F.lower(flat(F.col("__response")))
-    split = lambda c: F.array_distinct(F.array_remove(F.split(F.regexp_replace(F.translate(c, "０１２３４５６７８９", "0123456789"), "(?<=\\d)[,\u00a0\u202f](?=\\d{3})", ""), r"[^\p{L}\p{N}]+"), ""))
-    content = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("__low"), r"<\|?/?[a-z_]+\|?/?>|```[a-z]*", " "), r'"[a-z_]+" ?:', " "), r"\b(your answer|final answer|answer|verdict|rating|response|output)\s*:", " ")
+    """Columns that the labelling functions share; response, statement and tokens are given as __response, __statement, __tokens.
+
+    Single words are looked up in the array of a response's words, which is split once; regular expressions that only
+    some texts can match are tried behind a plain search for a part of them.
+    """
+    space = "[\\s\u00a0\u200b-\u200f\u202f\u2060\ufeff]+"
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), space, " "))
+    low, outside, tail = F.col("__low"), F.col("__outside"), F.col("__tail")
+    digits = lambda c: F.when(c.rlike("[０-９]"), F.translate(c, "０１２３４５６７８９", "0123456789")).otherwise(c)
+    grouped = lambda c: F.when(c.rlike("\\d[,\u00a0\u202f]\\d"), F.regexp_replace(digits(c), "(?<=\\d)[,\u00a0\u202f](?=\\d{3})", "")).otherwise(digits(c))
+    split = lambda c: F.split(grouped(c), r"[^\p{L}\p{N}]+")
+    frame = r'<\|?/?[a-z_]+\|?/?>|```[a-z]*|"[a-z_]+" ?:|\b(your answer|final answer|answer|verdict|rating|response|output)\s*:|[^\p{L}\p{N}]'
     asked = r"whether [\w ]{0,24}(true|false|correct|holds)|(say |as |is |either )?(true|correct) ?(or|/) ?(false|incorrect|not)|is (this|that|it) (correct|true|right)|is the following (claim|statement) correct|decide whether this is true"
-    plain = F.regexp_replace(F.regexp_replace(F.col("__low"), asked, " "), QUOTED, " ")
+    plain = F.when(_any(low, ("whether", "or ", "/", "is this", "is that", "is it", "is the following")), F.regexp_replace(low, asked, " ")).otherwise(low)
+    quotes = ("“", '"', "„", "«")
+    unquoted = lambda c: F.when(_any(low, quotes), F.regexp_replace(c, QUOTED, " ")).otherwise(c)
     labelled = r'"(verdict|answer)" ?: ?"?(true|false)\b'
-    told = F.col("__plain").rlike(rf"^\W*({LABELS})\s*([.,!;:\-–—*`)]|$)|\b(answer|verdict|rating)\W+(is\W+)?(true|false)\b|\b(is|say|therefore|so|hence|thus|this is|it is)\b[^.!?]{{0,12}}\b(true|false)\b|[:;,]\s*(hence |therefore |so |thus )?(true|false)\W*$|\bthat is (right|wrong|true|false|correct|incorrect)\b|\b(true|false)[.!]?$") | F.col("__low").rlike(labelled)
-    tail = F.right(F.col("__low"), F.lit(60))
+    told = F.col("__plain").rlike(rf"^\W*({LABELS})\s*([.,!;:\-–—*`)]|$)") | (
+        _any(F.col("__plain"), ("true", "false", "right", "wrong", "correct"))
+        & (F.col("__plain").rlike(r"\b(answer|verdict|rating)\W+(is\W+)?(true|false)\b|\b(is|say|therefore|so|hence|thus|this is|it is)\b[^.!?]{0,12}\b(true|false)\b|[:;,]\s*(hence |therefore |so |thus )?(true|false)\W*$|\bthat is (right|wrong|true|false|correct|incorrect)\b|\b(true|false)[.!]?$") | low.rlike(labelled))
+    )
     closed = tail.rlike(rf"[.!?。！？؟:][\"'”’)\]}}*`_ ]*$|[\])}}`*\"]\s*$|\b(true|false)\W*$|^(\W*\w+){{0,2}}\W*\b({LABELS})\W*$") & ~tail.rlike(r"\b(is the|is not|had no|with no|a|any) (right|wrong|no|correct|true|false)\W*$")
-    lower, outside, told_ = F.col("__low"), F.col("__outside"), F.col("__told")
-    count = lambda x: F.length(lower) - F.length(F.replace(lower, F.lit(x)))
-    odd = (count("{") > count("}")) | (count("“") > count("”")) | (count('"') % 2 == 1) | (F.regexp_count(lower, F.lit(r"\*\*")) % 2 == 1) | (count("(") > count(")")) | (count("[") > count("]"))
-    # What only bears on responses without a verdict isn't looked for in those that have one.
-    untold = lambda c: F.when(told_, False).otherwise(c)
+    count = lambda x: F.length(low) - F.length(F.replace(low, F.lit(x)))
+    odd = (count("{") > count("}")) | (count("“") > count("”")) | (count('"') % 2 == 1) | (low.contains("**") & (F.regexp_count(low, F.lit(r"\*\*")) % 2 == 1)) | (count("(") > count(")")) | (count("[") > count("]"))
+    among = lambda column, words: F.exists(column, lambda w: w.isin(*words))
     return (
-        rows.withColumn("__low", low)
-        .withColumn("__outside", F.regexp_replace("__low", QUOTED, " "))
-        .withColumn("__plain", plain)
-        .withColumn("__told", told)
-        .withColumns({"__closed": closed, "__odd": odd, "__alien": outside.rlike(ALIEN), "__english": F.regexp_count(outside, F.lit(ENGLISH)) >= 2, "__frame": untold(lower.rlike(FRAMES)), "__refusing": untold(lower.rlike(REFUSING)), "__soft": untold(lower.rlike(SOFT)), "__transport": lower.rlike(TRANSPORT), "__dangling": F.right(lower, F.lit(60)).rlike(DANGLING), "__own": untold(lower.rlike(OWN))})
-        .withColumn("__n", count(" ") + F.when(lower == "", 0).otherwise(1))
-        # An empty frame has few words; words of other languages only count in a text without English ones.
-        .withColumn("__content", F.when(F.col("__n") < 12, F.regexp_replace(content, r"[^\p{L}\p{N}]", "")).otherwise("..."))
-        .withColumns({"__blank": F.col("__content").rlike(NOTHING), "__foreign": F.when(F.col("__english"), False).otherwise(outside.rlike(FOREIGN))})
-        .withColumn("__words", F.when(~told_ & (F.col("__n") >= 3), split(lower)))
-        .withColumn("__said", F.when(F.col("__words").isNotNull(), split(F.lower(flat(F.col("__statement"))))))
-        .withColumn("__overlap", F.when(F.size("__said") > 0, F.size(F.array_intersect("__words", "__said")) / F.size("__said")))
-        .withColumn("__left", F.when(F.col("__overlap") >= 0.8, F.size(F.array_except("__words", "__said"))))
-    )
+        rows.withColumn("__low", F.lower(flat(F.col("__response"))))
+        .withColumns({"__outside": unquoted(low), "__plain": unquoted(plain), "__tail": F.right(low, F.lit(60)), "__words": split(low), "__n": count(" ") + F.when(low == "", 0).otherwise(1), "__said": F.array_distinct(F.filter(split(F.lower(flat(F.col("__statement")))), lambda w: w != ""))})
+        .withColumn("__outwords", F.when(_any(low, quotes), split(outside)).otherwise(F.col("__words")))
+        .withColumns({
+            "__told": told, "__closed": closed, "__odd": odd, "__void": ~low.rlike(r"[\p{L}\p{N}]"), "__partial": (F.length(low) <= 24) & low.rlike(PARTIAL), "__dangling": tail.rlike(DANGLING),
+            "__alien": outside.rlike(ALIEN), "__accented": outside.rlike(ACCENTED), "__english": F.size(F.filter("__outwords", lambda w: w.isin(*ENGLISH))) >= 2, "__foreign": among("__outwords", FOREIGN) | _any(outside, FOREIGN_PHRASES),
+            "__refusing": low.rlike(REFUSING), "__soft": low.rlike(SOFT), "__frame": low.rlike(FRAMES), "__transport": low.rlike(TRANSPORT),
+            "__own": among("__words", OWN) | _any(low, OWN_PHRASES),
+            "__content": F.regexp_replace(low, frame, ""),
+            "__overlap": F.when((F.size("__said") > 0) & (F.col("__n") >= 3), F.size(F.array_intersect("__said", "__words")) / F.size("__said")),
+        })
+        .withColumns({"__blank": F.col("__content").rlike(NOTHING), "__letters": F.length("__content")})
+    )
 
 
 def _masks(rows: DataFrame) -> DataFrame:
     """For each row and defect one number: the votes as digits to base three. Rows keep __row only."""
     ready = _prepared(rows)
     out = []
-    for defect, votes in _votes(ready).items():
+    for defect, votes in _votes().items():
         mask = F.lit(0)
         for k, v in enumerate(votes):
             mask = mask + (v + 1) * 3**k
@@ -150,28 +168,38 @@ def _digits(k: int) -> np.ndarray:
     return (np.arange(3**k)[:, None] // 3 ** np.arange(k)) % 3
 
 
-def posteriors(counts: np.ndarray, priors: list[tuple[float, float, float, float]]) -> np.ndarray:
-    """The chance of the defect for each mask, by expectation maximization over the counted masks with Dirichlet priors on each function's votes."""
-    digits = _digits(len(priors))
-    total = counts.sum()
-
-    def theta(given: int) -> np.ndarray:
-        return np.array([[p[2 * given + 1], max(1e-4, 1 - p[2 * given] - p[2 * given + 1]), p[2 * given]] for p in priors])
+def posteriors(counts: np.ndarray, functions: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The chance of the defect for each mask, by expectation maximization over the counted masks.
 
-    base = [theta(0), theta(1)]
-    base = [b / b.sum(axis=1, keepdims=True) for b in base]
+    The start is the same weak prior for every labelling function (START, WEIGHT); what each is worth is learned from
+    how it agrees with the others. No function may speak against its own direction: where the rows would make a vote
+    for the defect likelier without it than with it (or a vote against likelier with it), that vote is worth nothing.
+    """
+    digits = _digits(functions)
+    agree, contra = START
+    base = [np.tile([contra, 1 - agree - contra, agree], (functions, 1)), np.tile([agree, 1 - agree - contra, contra], (functions, 1))]
     now, share = [b.copy() for b in base], SHARE
-    pick = np.arange(len(priors))
-    for _ in range(ROUNDS):
+    pick = np.arange(functions)
+
+    def chance() -> np.ndarray:
         log1 = np.log(share) + np.log(now[0][pick, digits]).sum(axis=1)
         log0 = np.log1p(-share) + np.log(now[1][pick, digits]).sum(axis=1)
-        post = 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
-        share = float(np.clip(((post * counts).sum() + STRENGTH * total * SHARE + 1e-9) / ((1 + STRENGTH) * total + 1e-6), 1e-6, 0.5))
+        return 1 / (1 + np.exp(np.clip(log0 - log1, -500, 500)))
+
+    for _ in range(rounds):
+        post = chance()
+        share = float(((post * counts).sum() + SHARE_WEIGHT * SHARE) / (counts.sum() + SHARE_WEIGHT))
         for c, q in enumerate((post, 1 - post)):
-            weigh = STRENGTH * total * (SHARE if c == 0 else 1 - SHARE) + 1
-            seen = np.array([np.bincount(digits[:, k], weights=q * counts, minlength=3) for k in range(len(priors))])
-            now[c] = (seen + weigh * base[c]) / (seen.sum(axis=1, keepdims=True) + weigh)
-    return post
+            seen = np.array([np.bincount(digits[:, k], weights=q * counts, minlength=3) for k in range(functions)])
+            now[c] = (seen + WEIGHT * base[c]) / (seen.sum(axis=1, keepdims=True) + WEIGHT)
+        for vote, sign in ((2, 1), (0, -1)):
+            wrong = sign * (now[0][:, vote] - now[1][:, vote]) < 0
+            level = share * now[0][:, vote] + (1 - share) * now[1][:, vote]
+            for c in (0, 1):
+                now[c][wrong, vote] = level[wrong]
+        for c in (0, 1):
+            now[c] /= now[c].sum(axis=1, keepdims=True)
+    return chance()
 
 
 @dataclass
@@ -190,43 +218,45 @@ def _cutoff(chances: np.ndarray, truth: np.ndarray) -> float:
     return best[2]
 
 
-def fit(masks: DataFrame, trivial: int, spark: SparkSession) -> Fitted:
+def fit(masks: DataFrame, trivial: int, spark: SparkSession, rounds: int = ROUNDS) -> Fitted:
     """The label model of each defect. ``masks`` has a column of masks for each defect, ``trivial`` is the number of plain labels left out of it.
 
     The driver receives the count of each mask of a defect: at most 3 to the power of its labelling functions.
     """
-    long = masks.groupBy(*DEFECTS).agg(F.count(F.lit(1)).alias("n"))
-    long = long.select(F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("mask"), "n") for d in DEFECTS))).alias("x")).select("x.*").groupBy("defect", "mask").agg(F.sum("n").alias("n"))
-    counted = {(r["defect"], r["mask"]): r["n"] for r in long.collect()}
+    each = F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("mask")) for d in DEFECTS)))
+    counted = {(r["defect"], r["mask"]): r["n"] for r in masks.select(each.alias("x")).groupBy("x.defect", "x.mask").agg(F.count(F.lit(1)).alias("n")).collect()}
     examples = spark.createDataFrame([(i, r, s, t) for i, (r, s, t, _) in enumerate([*VALIDATION, ("true", _S, 1, None)])], "__row bigint, __response string, __statement string, __tokens bigint")
     seen = {r["__row"]: r for r in _masks(examples).collect()}
     chances, cutoffs = {}, {}
-    for d in DEFECTS:
-        counts = np.zeros(3 ** len(PRIORS[d]))
+    for d, functions in FUNCTIONS.items():
+        counts = np.zeros(3**functions)
         for (name, mask), n in counted.items():
             if name == d:
                 counts[mask] += n
         counts[seen[len(VALIDATION)][d]] += trivial
-        chances[d] = posteriors(counts, PRIORS[d])
+        chances[d] = posteriors(counts, functions, rounds)
         cutoffs[d] = _cutoff(chances[d][[seen[i][d] for i in range(len(VALIDATION))]], np.array([x[3] == d for x in VALIDATION]))
     return Fitted(chances, cutoffs)
 
 
-def defects(log: DataFrame, statements: DataFrame, row: str, key: str, response: str, tokens: str) -> DataFrame:
+def defects(log: DataFrame, statements: DataFrame, row: str, key: str, response: str, tokens: str, rounds: int = ROUNDS) -> DataFrame:
     """(row, defect, chance): each row of a log of responses with each of its defects whose chance exceeds the validated cutoff.
 
-    ``statements`` has the columns of ``key`` and statement, one row for each key. The defects are those of DEFECTS.
-    Null and empty responses are empty; a response whose statement is unknown (null or missing key) is judged without
-    it; null token counts count as none; texts are taken whole, repeated rows are each judged. An empty log gives an
-    empty result. Responses that are nothing but a label enter the model as one counted mask; all others are voted on
-    by every labelling function, with the statement joined by a join that is safe against hot keys.
+    ``statements`` has the columns of ``key`` and statement, one row for each key. The defects are those of DEFECTS; a
+    row may have several. Null and empty responses are empty; a response whose statement is unknown (null or missing
+    key) is judged without it; null token counts count as none; texts are taken whole, repeated rows are each judged.
+    An empty log gives an empty result. Responses that are nothing but a label have the same votes, so they enter the
+    model as one counted mask; all others are voted on by every labelling function, with the statement joined by a join
+    that spreads hot keys.
     """
     spark = log.sparkSession
     plain = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(response), F.lit("")), "\\s+", " "))).rlike(TRIVIAL)
-    rows = log.select(F.col(row).alias("__row"), F.col(key).alias("__key"), F.col(response).alias("__response"), F.coalesce(F.col(tokens), F.lit(0)).alias("__tokens")).where(~plain)
-    joined = skew_join(rows, statements.select(F.col(key).alias("__key"), F.col("statement").alias("__statement")), "__key")
+    named = log.select(F.col(row).alias("__row"), F.col(key).alias("__key"), F.col(response).alias("__response"), F.coalesce(F.col(tokens), F.lit(0)).alias("__tokens"))
+    total = log.count()
+    sizes = named.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    joined = skew_join(named.where(~plain), statements.select(F.col(key).alias("__key"), F.col("statement").alias("__statement")), "__key", counts=sizes, total=total)
     masks = written(_masks(joined), "votes")
-    model = fit(masks, log.count() - masks.count(), spark)
+    model = fit(masks, total - masks.count(), spark, rounds)
     chance = {d: F.get(F.lit([float(x) for x in model.chances[d]]), F.col(d)) for d in DEFECTS}
     each = F.array(*(F.struct(F.lit(d).alias("defect"), chance[d].alias("chance"), F.lit(model.cutoffs[d]).alias("cutoff")) for d in DEFECTS))
     return masks.select(F.col("__row").alias(row), F.explode(each).alias("x")).where("x.chance > x.cutoff").select(row, "x.defect", "x.chance")

@@ -138,35 +138,63 @@ def test_leaks_against_brute_force():
     assert want <= got and len(got - want) <= 0.05 * len(want) and len(want) > 20
 
 
-def test_responses_on_labelled_examples(spark):
-    rows = [(i, "item", r, t) for i, (r, _, t, _) in enumerate(responses.VALIDATION)] + [(1000 + k, "Item", "true", 1) for k in range(300)]
-    log = spark.createDataFrame([(i, "s" if i >= 1000 or responses.VALIDATION[i][1] else None, r, t, "clash") for i, _, r, t in rows], "seq bigint, item string, raw string, tokens bigint, statement string")
-    statements = spark.createDataFrame([("s", responses._S)], "item string, statement string")
+#: Examples that no pattern and no cutoff was chosen by.
+CLAIM = "The copper lighthouse Sarel Vintado lost its lamp in 1874, three winters after Mirko Andelo left Porvasta."
+HELD_OUT = [
+    ("\u200b \n", 1, "empty"), ("[ ]", 1, "empty"), ('{"verdict": "", "reason": ""}', 9, "empty"), ("ERROR: HTTP 504 gateway timeout", 0, "empty"), ("<answer></answer>", 4, "empty"), ("---", 1, "empty"), ("None", 1, "empty"),
+    ("Fals", 2, "truncated"), ('{"verdict": "true", "rea', 8, "truncated"), ("The lamp and the year fit, but the name of the", 64, "truncated"), ("True. One might add that", 7, "truncated"), ("After a look at the dates I would say that", 64, "truncated"), ("**False**\n\nThe third winter is", 9, "truncated"),
+    ("I am unable to rate this claim.", 9, "refusal"), ("Sorry, but I would rather not give a verdict.", 12, "refusal"), ("I can't help with that request.", 8, "refusal"), ("Unfortunately, I do not know enough about Porvasta to judge it.", 15, "refusal"), ("I decline to give an opinion.", 7, "refusal"),
+    (CLAIM, 30, "copy"), ("Claim to check: " + CLAIM, 34, "copy"), (CLAIM + " Is that right?", 34, "copy"), ("“" + CLAIM + "”", 32, "copy"), (CLAIM.upper(), 40, "copy"), ("Is the following statement correct? " + CLAIM, 38, "copy"),
+    ("Nein, das ist falsch.", 7, "other_language"), ("C'est faux.", 4, "other_language"), ("La afirmación no coincide con las fuentes: falso.", 14, "other_language"), ("これは正しいです。", 8, "other_language"), ("Неверно.", 4, "other_language"), ("Dit is niet waar.", 6, "other_language"),
+    ("TRUE!", 2, None), ("Incorrect.", 2, None), ("The year is wrong, so false.", 8, None), ("I'm afraid the name is wrong: false.", 10, None), ('{"verdict": "false"}', 6, None), ("True. “three winters after” is what the record says.", 13, None), ("Every detail fits, therefore true.", 7, None),
+    ("I could not find any conflict, so it is true.", 12, None), ("Step 1: the year fits. Step 2: the name fits. Verdict: true", 19, None), ("No, this is false.", 5, None), ("That is correct.", 4, None),
+]
+
+
+def test_responses_on_held_out_examples(spark):
+    rows = [(i, "s", r, t, "clash") for i, (r, t, _) in enumerate(HELD_OUT)] + [(1000 + k, "s", "true", 1, "clash") for k in range(300)]
+    rows += [(2000 + k, "s" if k % 9 else None, r, t, "clash") for k, (r, _, t, _) in enumerate(responses.VALIDATION)]
+    log = spark.createDataFrame(rows, "seq bigint, item string, raw string, tokens bigint, statement string")
+    statements = spark.createDataFrame([("s", CLAIM)], "item string, statement string")
     got = {}
     for r in responses.defects(log, statements, "seq", "item", "raw", "tokens").collect():
         got.setdefault(r.seq, set()).add(r.defect)
-    wrong = [(x[0], x[3], got.get(i)) for i, x in enumerate(responses.VALIDATION) if got.get(i, set()) != ({x[3]} if x[3] else set())]
-    assert len(wrong) <= 2, wrong
-    assert not any(k >= 1000 for k in got)
-    assert responses.defects(log.limit(0), statements, "seq", "item", "raw", "tokens").count() == 0
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "s", "true " * 300_000 + "and the", 64, None)], log.schema)
-    assert {(r.seq, r.defect) for r in responses.defects(odd, statements.limit(0), "seq", "item", "raw", "tokens").collect()} >= {(1, "empty")}
+    wrong = [(x[0], x[2], got.get(i)) for i, x in enumerate(HELD_OUT) if got.get(i, set()) != ({x[2]} if x[2] else set())]
+    print(wrong)
+    assert len(wrong) <= 0.1 * len(HELD_OUT), wrong
+    assert not any(1000 <= k < 2000 for k in got)
 
 
-def test_label_model_recovers_a_planted_defect():
-    priors = responses.PRIORS["refusal"]
-    digits = responses._digits(len(priors))
+def test_responses_of_odd_tables(spark):
+    schema = "seq bigint, item string, raw string, tokens bigint, statement string"
+    statements = spark.createDataFrame([("s", CLAIM)], "item string, statement string")
+    assert responses.defects(spark.createDataFrame([], schema), statements, "seq", "item", "raw", "tokens").count() == 0
+    rows = [(1, None, None, None, None), (2, "s", "true " * 300_000 + "and the", 64, None), (None, "s", "", 1, None), (3, "s", "I refuse.", 2, None), (3, "s", "I refuse.", 2, None)] + [(10 + k, "s", r, t, None) for k, (r, _, t, _) in enumerate(responses.VALIDATION)]
+    got = [(r.seq, r.defect) for r in responses.defects(spark.createDataFrame(rows, schema), statements.limit(0), "seq", "item", "raw", "tokens").collect()]
+    assert {(1, "empty"), (None, "empty")} <= set(got)
+    assert all(got.count(x) == 2 for x in got if x[0] == 3)  # repeated rows are each judged, alike
+
+
+def test_label_model_learns_which_functions_to_trust():
+    """Two good functions, two that vote at random, one that abstains: the start weighs them alike, the learned model doesn't."""
     rng = np.random.default_rng(2)
-    counts = np.zeros(3 ** len(priors))
-    weights = 3 ** np.arange(len(priors))
-    for truth, n in ((True, 300), (False, 9700)):
-        p = rng.random((n, len(priors)))
-        up = np.array([x[0 if truth else 2] for x in priors])
-        down = np.array([x[1 if truth else 3] for x in priors])
-        votes = np.where(p < up, 2, np.where(p < up + down, 0, 1))
-        np.add.at(counts, votes @ weights, 1)
-    post = responses.posteriors(counts, priors)
-    assert post[(digits == [2, 2, 1, 1]).all(axis=1)][0] > 0.9 and post[(digits == [0, 1, 2, 1]).all(axis=1)][0] < 0.05
+    truth = rng.random(20_000) < 0.03
+    for_, against = np.array([0.9, 0.85, 0.35, 0.35, 0.0]), np.array([0.05, 0.05, 0.35, 0.35, 0.0])
+    u = rng.random((len(truth), 5))
+    hit = np.where(truth[:, None], for_, np.array([0.01, 0.02, 0.35, 0.35, 0.0]))
+    miss = np.where(truth[:, None], against, np.array([0.9, 0.85, 0.35, 0.35, 0.0]))
+    votes = np.where(u < hit, 2, np.where(u < hit + miss, 0, 1))
+    codes = votes @ 3 ** np.arange(5)
+    counts = np.bincount(codes, minlength=3**5).astype(float)
+
+    def f1(rounds: int) -> float:
+        found = responses.posteriors(counts, 5, rounds)[codes] > 0.5
+        return 2 * (found & truth).sum() / (found.sum() + truth.sum())
+
+    assert f1(50) > 0.85 and f1(50) > f1(0) + 0.1
+    # A vote that goes the wrong way is worth nothing instead of the opposite.
+    flipped = np.bincount(np.where(votes[:, :4] == 2, 0, np.where(votes[:, :4] == 0, 2, 1)) @ 3 ** np.arange(4) * 3 + votes[:, 0], minlength=3**5).astype(float)
+    assert np.isfinite(responses.posteriors(flipped, 5)).all()
 
 
 def _answers(spark, rates, items=600, seed=4):
