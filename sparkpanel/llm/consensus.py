@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import hot_values, written
+from ..common import written
 
 #: What an annotator may answer; the first two are also the true classes. Any other answer counts as the last.
 ANSWERS = ("true", "false", "parse_fail")
@@ -30,14 +31,6 @@ COMMUNITIES = np.array(
 PRIOR, POOL = 50.0, 25.0
 #: An annotator whose informedness (true-positive rate plus true-negative rate minus one) isn't above this carries no usable information.
 INFORMED = 0.1
-#: An item that holds more than this share of all rows is no item to be judged but a sentinel that is asked again and again.
-SENTINEL = 0.05
-
-
-def sentinels(answers: DataFrame, item: str = "item", share: float = SENTINEL) -> list[str]:
-    """Items with more than ``share`` of all rows, of which there can be ``1 / share`` at most."""
-    counts = answers.where(F.col(item).isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("n"))
-    return hot_values(counts, item, "n", answers.count(), share, 10)
 
 
 def labels(answers: DataFrame, order: Column) -> DataFrame:
@@ -62,6 +55,7 @@ class Model:
     true: float
     #: The annotators' confusions against the other annotators of the same items alone.
     against: np.ndarray
+    converged: bool = True
 
     @property
     def informed(self) -> np.ndarray:
@@ -104,22 +98,26 @@ def _logit(codes: pa.ListArray, odds: np.ndarray, prior: float) -> tuple[np.ndar
 
 def patterns(told: DataFrame, judges: list[str]) -> DataFrame:
     """Items by their sorted answers (judge number times three plus answer): items with the same answers are one row with a count."""
-    number = F.create_map(*(x for i, j in enumerate(judges) for x in (F.lit(j), F.lit(i)))) if judges else F.create_map().cast("map<string,int>")
+    numbers = told.sparkSession.createDataFrame([(j, i) for i, j in enumerate(judges)], "judge string, number int")
     answer = F.array_position(F.array(*map(F.lit, ANSWERS)), F.col("answer")).cast("int") - 1
-    return told.select("item", (F.element_at(number, F.col("judge")) * len(ANSWERS) + answer).alias("code")).groupBy("item").agg(F.array_sort(F.collect_list("code")).alias("codes"))
+    coded = told.join(numbers, "judge").select("item", (F.col("number") * len(ANSWERS) + answer).alias("code"))
+    return coded.groupBy("item").agg(F.array_sort(F.collect_list("code")).alias("codes"))
 
 
-def fit(told: DataFrame, rounds: int = 60, change: float = 1e-4) -> tuple[Model, DataFrame]:
+def fit(told: DataFrame, rounds: int = 200, change: float = 1e-4) -> tuple[Model, DataFrame]:
     """The model of (item, judge, answer) rows and the items with their codes.
 
     Annotators belong to communities that share a confusion matrix. Each round of variational updates makes one pass
     over the distinct answer patterns, which gives the expected counts of answers by annotator and true class; the
-    driver, which only holds figures by annotator, then updates who belongs where and the shared matrices. An
-    annotator's own matrix is the mean of its counts and its communities', so few labels lean on the community. The
-    number of annotators bounds what is held, the codes of one item included; no rows give a model without annotators.
+    driver, which only holds some 20 figures an annotator (a million annotators are 160 MB), then updates who belongs
+    where and the shared matrices. An annotator's own matrix is the mean of its counts and its communities', so few
+    labels lean on the community. An item is one row, whose codes are as many as its annotators. If the counts still
+    move by more than ``change`` after ``rounds``, the model says so (``converged``) and a warning is given. No rows
+    give a model without annotators.
     """
-    judges = sorted(r[0] for r in told.select("judge").distinct().collect())
-    items = patterns(told, judges)
+    told = written(told, "told")
+    judges = told.select("judge").distinct().orderBy("judge").toArrow().column(0).to_pylist()
+    items = written(patterns(told, judges), "items")
     counted = written(items.groupBy("codes").agg(F.count(F.lit(1)).alias("n")), "patterns")
     size = len(judges) * len(ANSWERS)
     shared = COMMUNITIES.copy()
@@ -140,14 +138,16 @@ def fit(told: DataFrame, rounds: int = 60, change: float = 1e-4) -> tuple[Model,
                 for t in (0, 1):
                     total[:size, t] += np.bincount(flat, weights=(by_code if t == 0 else 1 - by_code) * n[item], minlength=size)
                     total[size, t] += ((p if t == 0 else 1 - p) * n).sum()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int32()), pa.array(total[:, 0]), pa.array(total[:, 1])], ["code", "t", "f"])
+            seen = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen, 0]), pa.array(total[seen, 1])], ["code", "t", "f"])
 
         table = np.zeros((size + 1, 2))
-        for r in counted.mapInArrow(expected, "code int, t double, f double").groupBy("code").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).collect():
-            table[r["code"]] = r["t"], r["f"]
+        sums = counted.mapInArrow(expected, "code int, t double, f double").groupBy("code").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).toArrow()
+        table[sums.column("code").to_numpy()] = np.stack([sums.column("t").to_numpy(), sums.column("f").to_numpy()], axis=1)
         return table
 
     shape = lambda table: table[:size].reshape(len(judges), len(ANSWERS), 2).transpose(0, 2, 1)
+    converged = not judges
     for _ in range(rounds if judges else 0):
         table = summed(odds, prior)
         before, counts = counts, shape(table)
@@ -165,12 +165,14 @@ def fit(told: DataFrame, rounds: int = 60, change: float = 1e-4) -> tuple[Model,
         own = counts + POOL * np.einsum("jc,ctl->jtl", belongs, shared)
         confusion = _digamma(own) - _digamma(own.sum(axis=2, keepdims=True))
         odds, prior = (confusion[:, 0] - confusion[:, 1]).reshape(-1), float(np.log(true) - np.log1p(-true))
-        if np.abs(counts - before).max() <= change * max(1.0, counts.max()):
+        if converged := bool(np.abs(counts - before).max() <= change * max(1.0, counts.max())):
             break
+    if not converged:
+        warnings.warn(f"the model of annotators still moves after {rounds} rounds", stacklevel=2)
     pooled = POOL * np.einsum("jc,ctl->jtl", belongs, shared)
     share_of = lambda x: x / x.sum(axis=2, keepdims=True)
     others = shape(summed(odds, prior, alone=True)) if judges else counts
-    return Model(judges, belongs, shared, share_of(counts + pooled), counts.sum(axis=1), float(true), share_of(others + pooled)), items
+    return Model(judges, belongs, shared, share_of(counts + pooled), counts.sum(axis=1), float(true), share_of(others + pooled), converged), items
 
 
 def consensus(model: Model, items: DataFrame) -> DataFrame:

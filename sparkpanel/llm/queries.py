@@ -45,11 +45,13 @@ def p5_by_judge(spark: SparkSession, folder: str) -> DataFrame:
     return _defects(spark, folder).join(judges, "seq").groupBy("judge", "defect").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _told(spark: SparkSession, folder: str) -> DataFrame:
+def _told(spark: SparkSession, folder: str, sentinel: bool = False) -> DataFrame:
+    """Reference-free answers, one of each judge and item; without the items that are marked as controls, or those alone."""
     log = table(spark, folder, "rf_cache").select(spelled("item_id").alias("item"), spelled("judge").alias("judge"), F.coalesce(spelled("mode"), F.lit("reference_free")).alias("mode"), F.coalesce("attempt", F.lit(1)).alias("attempt"), "seq", spelled("verdict").alias("answer"))
-    asked = consensus.sentinels(log)
-    rows = log.where("mode = 'reference_free'")
-    return consensus.labels(rows.where(~F.col("item").isin(asked)) if asked else rows, F.struct("attempt", "seq"))
+    told = consensus.labels(log.where("mode = 'reference_free'"), F.struct("attempt", "seq"))
+    # Joined after the aggregation, so the sentinel has one row a judge here.
+    controls = table(spark, folder, "items").where("kind = 'control'").select(spelled("id").alias("item")).where("item is not null").distinct()
+    return told.join(controls, "item", "left_semi" if sentinel else "left_anti")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +64,10 @@ def p6_reliability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    return consensus.consensus(*consensus.fit(_told(spark, folder)))
+    """Every item's label, also the control's, which has no part in the model."""
+    model, items = consensus.fit(_told(spark, folder))
+    controls = consensus.patterns(_told(spark, folder, sentinel=True), model.judges)
+    return consensus.consensus(model, items.unionByName(controls))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -230,8 +230,18 @@ def test_consensus_of_odd_tables(spark):
     assert consensus.consensus(model, items).count() == 2
     model, items = consensus.fit(told.limit(0))
     assert model.judges == [] and consensus.consensus(model, items).count() == 0 and consensus.uninformative(model) == []
-    log = spark.createDataFrame([("s", "j", "true", k) for k in range(50)] + [(f"i{k}", "j", "true", k) for k in range(100)], schema)
-    assert consensus.sentinels(log) == ["s"]
+    # An item that all annotators answer many times is an item like others: nothing is left out for its size.
+    log = spark.createDataFrame([("s", f"j{k % 12}", "true", k) for k in range(50)] + [(f"i{k}", f"j{k % 12}", "true", k) for k in range(100)], schema)
+    model, items = consensus.fit(consensus.labels(log, F.col("seq")))
+    assert consensus.consensus(model, items).count() == 101 and model.converged
+    with pytest.warns(UserWarning):
+        assert not consensus.fit(consensus.labels(log, F.col("seq")), rounds=1)[0].converged
+
+
+def test_many_annotators(spark):
+    told = spark.range(60_000).selectExpr("concat('i', id % 9000) as item", "concat('j', hash(id) % 3000) as judge", "if((hash(id, 1) % 10 != 0) = (id % 9000 % 2 = 0), 'true', 'false') as answer").distinct()
+    model, items = consensus.fit(consensus.labels(told.withColumn("seq", F.lit(1)), F.col("seq")), rounds=15)
+    assert len(model.judges) > 3000 and consensus.consensus(model, items).count() == 9000
 
 
 def test_mixture_meets_reachable_targets(spark):
