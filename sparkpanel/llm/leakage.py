@@ -11,82 +11,119 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Characters of a q-gram; eight bytes make one machine word.
+#: Bytes of a q-gram: eight make one machine word. Letters beyond ASCII are two or three bytes each.
 Q = 8
 #: Words that must stand together, and words among them that may be changed, dropped or added.
 WORDS, EDITS = 15, 2
-#: Longest word an edit can put in; with EDITS it bounds how far an alignment leaves its diagonal.
+#: Longest word an edit can put in, in bytes; with EDITS it bounds how far an alignment leaves its diagonal.
 LONGEST = 20
-#: A run of matching words after an edit counts from so many characters on.
+#: A run of matching words after an edit counts from so many bytes on.
 _RUN = 6
-#: Characters of text whose hits are held at once.
-AT_ONCE = 200_000
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,200}>", re.S)
+#: Characters of text that are searched at once, and hits of grams that are held at once.
+AT_ONCE, HITS = 200_000, 1_000_000
+#: A gram of more passages than this is left out of those whose bound is met without it.
+COMMON = 32
+_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 _OTHER = re.compile(r"[^a-z0-9]+")
+_OTHER_ANY = re.compile(r"[\W_]+")
+#: Scripts that don't part words by spaces: each of these letters is a word.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")
 _BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def squeezed(text: str) -> str:
-    """The letters and digits of a text in lower case, without markup, accents, spaces and line breaks."""
+def _plain(text: str) -> str:
+    """A text without markup, in one character form; accents are separate marks."""
     if "<" in text:
         text = _TAG.sub("", text)
     if "&" in text:
         text = html.unescape(text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-    return _OTHER.sub("", text.casefold())
+    return text if text.isascii() else unicodedata.normalize("NFKD", text)
+
+
+def squeezed(text: str) -> str:
+    """The letters and digits of a text, of any script, in lower case, without markup, accents, spaces and line breaks."""
+    text = _plain(text).casefold()
+    return (_OTHER if text.isascii() else _OTHER_ANY).sub("", text)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, each squeezed."""
+    text = _plain(text)
+    return [w for w in map(squeezed, (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()) if w]
 
 
 @dataclass
 class Passage:
-    number: int
-    words: list[str]
+    numbers: list[int]
+    words: list[bytes]
     starts: list[int]
-    text: str
+    text: bytes
     needed: int
 
 
-def _passage(number: int, text: str, words: int, edits: int) -> Passage | None:
-    parts = [w for w in map(squeezed, text.split()) if w]
-    if not parts:
-        return None
+def _least(words: list[bytes], starts: list[int], window: int, edits: int, left_out: np.ndarray | None = None) -> int:
+    """The q-gram lemma: an edited word of length l destroys at most l + q - 1 of a window's grams. The least number that stays in any window, without those left out."""
+    least = None
+    for i in range(len(words) - window + 1):
+        lengths = [len(w) for w in words[i : i + window]]
+        stay = sum(lengths) - Q + 1 - sum(n + Q - 1 for n in sorted(lengths)[-edits:]) if edits else sum(lengths) - Q + 1
+        if left_out is not None:
+            stay -= int(left_out[starts[i] : max(starts[i], starts[i] + sum(lengths) - Q + 1)].sum())
+        least = stay if least is None else min(least, stay)
+    return least
+
+
+def _passage(words: list[str], numbers: list[int], window: int, edits: int) -> Passage:
+    parts = [w.encode() for w in words]
     starts = np.concatenate(([0], np.cumsum([len(w) for w in parts])))[:-1].tolist()
-    window = min(words, len(parts))
-    # The q-gram lemma: an edited word of length l destroys at most l + q - 1 of a window's q-grams.
-    kept = []
-    for i in range(len(parts) - window + 1):
-        lengths = [len(w) for w in parts[i : i + window]]
-        kept.append(sum(lengths) - Q + 1 - sum(n + Q - 1 for n in sorted(lengths)[-edits:]))
-    return Passage(number, parts, starts, "".join(parts), max(1, min(kept)))
+    return Passage(numbers, parts, starts, b"".join(parts), max(1, _least(parts, starts, min(window, len(parts)), edits)))
 
 
 class PassageIndex:
-    """Sorted q-grams of a block of passages with their places."""
+    """Sorted q-grams of a block of passages with their places. Passages of equal words are one entry with several numbers."""
 
-    def __init__(self, passages: Sequence[tuple[int, str]], words: int = WORDS, edits: int = EDITS) -> None:
+    def __init__(self, passages: Sequence[tuple[int, str | None]], words: int = WORDS, edits: int = EDITS) -> None:
         self.words, self.edits = words, edits
-        self.passages = [p for n, t in passages if t is not None and (p := _passage(n, t, words, edits))]
-        # A passage shorter than a q-gram is padded by no gram and looked for as a whole.
-        self.short = [p for p in self.passages if len(p.text) < Q]
-        grams, owner, place = [], [], []
+        equal: dict[tuple[str, ...], list[int]] = {}
+        for n, t in passages:
+            if t is not None and (w := tuple(words_of(t))):
+                equal.setdefault(w, []).append(n)
+        self.passages = [_passage(list(w), n, words, edits) for w, n in equal.items()]
+        # A passage shorter than a q-gram is looked for as a whole, between the bounds of words.
+        self.short = [(b" " + b" ".join(p.words) + b" ", p) for p in self.passages if len(p.text) < Q]
+        grams, owner, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, p in enumerate(self.passages):
-            if len(p.text) >= Q:
-                g = _grams(p.text.encode())
-                grams.append(g)
-                owner.append(np.full(len(g), k, np.int64))
-                place.append(np.arange(len(g), dtype=np.int64))
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            g = _grams(p.text)
+            grams.append(g)
+            owner.append(np.full(len(g), k, np.int64))
+            place.append(np.arange(len(g), dtype=np.int64))
+        flat, owners, places = map(np.concatenate, (grams, owner, place))
+        keep = self._without_common(flat, owners)
+        flat, owners, places = flat[keep], owners[keep], places[keep]
         order = np.argsort(flat, kind="stable")
-        self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int64)
+        self.owner, self.place = owners[order], places[order]
         self.gram, first = np.unique(flat[order], return_index=True)
         self.first = np.append(first, len(flat))
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[_slot(self.gram)] = True
         self.needed = np.array([p.needed for p in self.passages], np.int64)
 
+    def _without_common(self, flat: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Which grams to keep: a gram of many passages is left out wherever the lemma still asks for another gram of each window, which loses nothing."""
+        keep = np.ones(len(flat), bool)
+        _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+        common = count[inverse] > COMMON
+        for k in np.unique(owners[common]).tolist():
+            p, (low, high) = self.passages[k], np.searchsorted(owners, [k, k + 1])
+            needed = _least(p.words, p.starts, min(self.words, len(p.words)), self.edits, common[low:high])
+            if needed >= 1:
+                keep[low:high] = ~common[low:high]
+                p.needed = needed
+        return keep
+
     def search(self, texts: Sequence[str | None]) -> list[tuple[int, int]]:
         """Pairs (position of the text, passage number). Texts are taken some at a time, so that hits of few are held at once."""
         found: list[tuple[int, int]] = []
@@ -99,11 +136,14 @@ class PassageIndex:
         return found
 
     def _some(self, texts: Sequence[str | None]) -> list[tuple[int, int]]:
-        clean = [squeezed(t) if t else "" for t in texts]
-        found = [(d, p.number) for p in self.short for d, t in enumerate(clean) if p.text in t]
+        clean = [squeezed(t).encode() if t else b"" for t in texts]
+        found = []
+        if self.short:
+            spaced = [b" " + " ".join(words_of(t)).encode() + b" " if t else b"" for t in texts]
+            found = [(d, n) for form, p in self.short for d, t in enumerate(spaced) if form in t for n in p.numbers]
         if not len(self.gram):
             return found
-        joined = ("\0" * Q).join(clean).encode()
+        joined = (b"\0" * Q).join(clean)
         begins = np.cumsum([0] + [len(t) + Q for t in clean])
         codes = _grams(joined)
         at = np.flatnonzero(self.seen[_slot(codes)])
@@ -114,33 +154,51 @@ class PassageIndex:
         if not len(at):
             return found
         n = self.first[where + 1] - self.first[where]
-        source = np.repeat(np.arange(len(at)), n)
-        entry = np.repeat(self.first[where], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = at[source]
-        doc = np.searchsorted(begins, place, side="right") - 1
-        owner = self.owner[entry]
-        diagonal = place - begins[doc] - self.place[entry]
-        width = self.edits * LONGEST
-        low = int(diagonal.min()) // width - 1
-        band = diagonal // width - low
-        bands = int(band.max()) + 2
+        width, many = self.edits * LONGEST, len(self.passages)
+        # Bands are numbered from one that no hit of the texts lies before.
+        shift = -(int(self.place.max(initial=0)) // width) - 2
+        bands = int(begins[-1]) // width - shift + 3
+        doc = np.searchsorted(begins, at, side="right") - 1
+
+        def chunk(low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Text, passage and diagonal of each hit of some places."""
+            source = np.repeat(np.arange(low, high), n[low:high])
+            entry = np.repeat(self.first[where[low:high]], n[low:high]) + np.arange(len(source)) - np.repeat(np.cumsum(n[low:high]) - n[low:high], n[low:high])
+            return doc[source], self.owner[entry], at[source] - begins[doc[source]] - self.place[entry]
+
+        cuts = [0]
+        for stop in np.flatnonzero(np.diff(np.cumsum(n) // HITS)).tolist():
+            cuts.append(stop + 1)
+        spans = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(at)]) if a < b]
         # Each hit lies in two overlapping bands of twice the width, so an alignment that drifts by one width is in one of them.
-        key = np.concatenate([(doc * len(self.passages) + owner) * bands + band, (doc * len(self.passages) + owner) * bands + band - 1])
-        lines = np.concatenate([diagonal, diagonal])
-        kinds, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        pair = kinds // bands
-        enough = count >= self.needed[pair % len(self.passages)]
-        chosen = np.flatnonzero(enough[inverse])
-        by_key: dict[int, set[int]] = {}
-        for k, line in zip(pair[inverse[chosen]].tolist(), lines[chosen].tolist()):
-            by_key.setdefault(k, set()).add(line)
-        for k, diagonals in by_key.items():
-            d, p = divmod(k, len(self.passages))
-            if self._stands(self.passages[p], clean[d], diagonals):
-                found.append((d, self.passages[p].number))
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for low, high in spans:
+            d, owner, diagonal = chunk(low, high)
+            key = (d * many + owner) * bands + diagonal // width - shift
+            new, times = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+            keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([counts, times])).astype(np.int64)
+        keys = keys[counts >= self.needed[keys // bands % many]]
+        if not len(keys):
+            return found
+        lines: dict[int, set[int]] = {}
+        for low, high in spans:
+            d, owner, diagonal = chunk(low, high)
+            pair = d * many + owner
+            key = pair * bands + diagonal // width - shift
+            for k in (key, key - 1):
+                at_ = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                chosen = keys[at_] == k
+                both = np.unique(np.stack([pair[chosen], diagonal[chosen]], 1), axis=0)
+                for x, line in both.tolist():
+                    lines.setdefault(x, set()).add(line)
+        for x, diagonals in lines.items():
+            d, k = divmod(x, many)
+            if self._stands(self.passages[k], clean[d], diagonals):
+                found += [(d, number) for number in self.passages[k].numbers]
         return found
 
-    def _stands(self, p: Passage, text: str, diagonals: set[int]) -> bool:
+    def _stands(self, p: Passage, text: bytes, diagonals: set[int]) -> bool:
         """Whether a window of the passage is aligned with at most ``edits`` word edits, beginning from each run of equal words on the diagonals."""
         wanted = min(self.words, len(p.words))
         begun: set[tuple[int, int]] = set()
@@ -153,7 +211,7 @@ class PassageIndex:
                 before = now
         return any(self._reach(p, text, i, at, wanted) for i, at in begun)
 
-    def _reach(self, p: Passage, text: str, start: int, at: int, wanted: int) -> bool:
+    def _reach(self, p: Passage, text: bytes, start: int, at: int, wanted: int) -> bool:
         words, m = p.words, len(p.words)
         stack, tried = [(start, at, self.edits)], set()
         while stack:
@@ -198,29 +256,38 @@ def _slot(codes: np.ndarray) -> np.ndarray:
 def leaks(documents: DataFrame, passages: DataFrame, words: int = WORDS, edits: int = EDITS, block: int = 20_000) -> DataFrame:
     """Pairs (doc_id, passage_id): the document contains the whole passage or ``words`` consecutive words of it with up to ``edits`` words changed, dropped or added.
 
-    Case, punctuation, markup, accents, spaces and line breaks, also inside words, don't count; only Latin letters and
-    digits are compared. Null and empty texts, on either side, are in no pair; a repeated document or passage row gives
-    a repeated pair only once each. The passages are a stated query set: they are read in blocks of at most ``block``,
-    each of which is searched against all documents, so neither their number nor the corpus is limited. The corpus is
-    read once for each block and never shuffled; texts are taken whole.
+    Case, punctuation, markup, accents, spaces and line breaks, also inside words, don't count; letters and digits of
+    any script are compared, and where a script doesn't part words by spaces each letter is a word. The run's first and
+    last word must be equal ones, so shorter runs don't count as longer ones with edits. A passage of fewer than eight
+    bytes must stand between the bounds of words. Null and empty texts, on either side, are in no pair; a repeated
+    document or passage row gives each pair once; texts are taken whole.
+
+    The passages are a stated query set, read in blocks of at most ``block``: the index of a block is built once, sent
+    to the executors and searched against all documents, so neither the number of passages nor the corpus is limited.
+    The corpus is read once for each block and never shuffled. A gram of very many passages is left out where the lemma
+    allows it, equal passages are one entry, and hits are counted some at a time, so that what a task holds is bounded
+    by its text and the pairs of texts and passages that share grams.
     """
     schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, passage_id bigint"
-    queries = passages.select("passage_id", "text").distinct().orderBy("passage_id")
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for row in queries.toLocalIterator():
-        if len(blocks[-1]) >= block:
-            blocks.append([])
-        blocks[-1].append((row[0], row[1]))
-    results = None
-    for part in blocks:
-        sent = documents.sparkSession.sparkContext.broadcast(part)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = PassageIndex(sent.value, words, edits)
+    queries = passages.select("passage_id", "text").where("passage_id is not null and text is not null").distinct().orderBy("passage_id")
+    results = documents.select("doc_id", F.lit(None).cast("bigint").alias("passage_id")).limit(0)
+    part: list[tuple[int, str]] = []
+
+    def searched(part: list[tuple[int, str]]) -> DataFrame:
+        sent = documents.sparkSession.sparkContext.broadcast(PassageIndex(part, words, edits))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for b in batches:
                 pairs = sorted(set(index.search(b.column("text").to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([n for _, n in pairs], pa.int64())], ["doc_id", "passage_id"])
 
-        found = documents.select("doc_id", "text").mapInArrow(scan, schema)
-        results = found if results is None else results.unionByName(found)
+        return documents.select("doc_id", "text").mapInArrow(scan, schema)
+
+    for row in queries.toLocalIterator():
+        part.append((row[0], row[1]))
+        if len(part) == block:
+            results, part = results.unionByName(searched(part)), []
+    if part:
+        results = results.unionByName(searched(part))
     return results.distinct()

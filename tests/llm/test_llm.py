@@ -138,6 +138,29 @@ def test_leaks_against_brute_force():
     assert want <= got and len(got - want) <= 0.05 * len(want) and len(want) > 20
 
 
+def test_leaks_of_other_scripts_and_short_passages():
+    russian = "Медный маяк у города Порваста потерял свой фонарь зимой через три года после того как смотритель навсегда уехал из этих мест."
+    chinese = "这座铜制的灯塔在一八七四年冬天失去了它的灯，三年后看守人离开了这里。"
+    index = leakage.PassageIndex([(1, russian), (2, chinese), (3, "The cat"), (4, ""), (5, None), (6, russian.upper())])
+    texts = [f"Начало. {russian.lower()} Конец.", f"前言{chinese}后记", "The text says: breathecatering.", "See the CAT, please.", None, "", russian.replace("фонарь", "колокол").replace(" ", "\n")]
+    assert set(index.search(texts)) == {(0, 1), (0, 6), (1, 2), (3, 3), (6, 1), (6, 6)}
+    tag = f'<a href="{"x" * 5000}">'
+    words = PASSAGE.split()
+    assert leakage.PassageIndex([(1, PASSAGE)]).search([" ".join(words[:8]) + tag + " " + " ".join(words[8:16])]) == [(0, 1)]
+
+
+def test_leaks_of_many_passages_with_one_opening():
+    """Hits stay bounded, and leaving out common grams loses nothing."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    opening = "answer the following question about the town with true or false"
+    passages = [(k, f"{opening} {' '.join(name() for _ in range(14))}") for k in range(1500)]
+    index = leakage.PassageIndex(passages)
+    assert (index.needed >= 1).all() and len(index.first) > 1500
+    texts = [f"so {opening} {name()}", *(f"{name()} {p} {name()}" for _, p in passages[::300]), " ".join(passages[7][1].split()[8:24]), *[opening] * 50]
+    assert set(index.search(texts)) == {(1 + i, k) for i, (k, _) in enumerate(passages[::300])} | {(6, 7)}
+
+
 #: Examples that no pattern and no cutoff was chosen by.
 CLAIM = "The copper lighthouse Sarel Vintado lost its lamp in 1874, three winters after Mirko Andelo left Porvasta."
 HELD_OUT = [
