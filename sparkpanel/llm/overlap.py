@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import hot_values, written
+from ..common import written
 
 #: Least cosine of two term-weight vectors that are joined.
 COSINE = 0.6
@@ -105,94 +107,110 @@ def _classes(items: DataFrame, train: str, others: tuple[str, ...]) -> tuple[Dat
     return rows.select("cid", "id").distinct(), written(classes, "classes")
 
 
+def _id(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+_LAYOUT = "cid string, class boolean, side string, key binary, terms array<bigint>, weights array<double>, plain array<bigint>"
+
+
 def _vectors(classes: DataFrame, attributes: DataFrame, least: float) -> DataFrame:
-    """For each class its terms by falling weight, their unit-length weights, how many lead, and what follows them at most.
+    """For each class its terms (as 64-bit hashes) by falling weight, their unit-length weights, how many lead, and what follows them at most.
 
-    Frequent terms come from a bounded dictionary, rare ones get their counts by a join on the term. A rare word one
-    letter away from a frequent one is read as that word.
+    ``key`` is a digest of the sorted numbers, names and attributes, ``plain`` the other words. Frequent terms come from
+    a bounded dictionary, rare ones get their counts by a join on the term. A rare word one letter away from a frequent
+    one is read as that word.
     """
     spark = classes.sparkSession
     total = classes.count()
-    occurrences = classes.select(F.explode(F.arrays_zip(F.split("canon", " ").alias("term"), F.split(F.regexp_replace("marks", "(?<=.)(?=.)", " "), " ").alias("mark"))).alias("x")).select("x.*")
+    occurrences = classes.select("cid", F.explode(F.arrays_zip(F.split("canon", " ").alias("term"), F.split(F.regexp_replace("marks", "(?<=.)(?=.)", " "), " ").alias("mark"))).alias("x")).select("cid", "x.*")
     counted = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mark") == "C").alias("caps"), F.count_if(F.col("mark") != "u").alias("seen"))
-    stats = written(counted.join(attributes.select(F.col("term"), F.lit(True).alias("attribute")).distinct(), "term", "left"), "terms")
-    frequent = {r["term"]: (r["n"], bool(r["attribute"]) or (r["seen"] > 0 and r["caps"] >= NAME * r["seen"])) for r in stats.where(F.col("n") >= max(3, total / FREQUENT)).collect()}
+    named = (F.col("seen") > 0) & (F.col("caps") >= NAME * F.col("seen"))
+    stats = counted.join(attributes.select(F.col("term"), F.lit(True).alias("attribute")).distinct(), "term", "left")
+    stats = written(stats.select("term", "n", (F.coalesce("attribute", F.lit(False)) | named).alias("critical")), "terms")
+    usual = F.col("n") >= max(3, total / FREQUENT)
+    frequent = {r["term"]: (r["n"], r["critical"]) for r in stats.where(usual).collect()}
     shared = spark.sparkContext.broadcast(frequent)
-
-    def corrected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = Speller({w: n for w, (n, _) in shared.value.items()})
-        for b in batches:
-            fixed = [[spell(w) for w in c.split(" ")] for c in b.column("canon").to_pylist()]
-            rare = [sorted({w for w in ws if w not in spell.frequent}) for ws in fixed]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("class"), b.column("side"), pa.array(fixed, pa.list_(pa.string())), pa.array(rare, pa.list_(pa.string()))], ["cid", "class", "side", "tokens", "rare"])
-
-    spelled = written(classes.select("cid", "class", "side", "canon").mapInArrow(corrected, "cid string, class boolean, side string, tokens array<string>, rare array<string>"), "spelled")
-    critical = F.coalesce(F.col("attribute"), F.lit(False)) | ((F.col("seen") > 0) & (F.col("caps") >= NAME * F.col("seen")))
-    rare = spelled.select("cid", F.explode("rare").alias("term")).join(stats.select("term", "n", critical.alias("critical")), "term")
-    rare = rare.groupBy("cid").agg(F.collect_list(F.struct("term", "n", "critical")).alias("known"))
+    rare = occurrences.select("cid", "term").join(stats.where(~usual), "term").groupBy("cid").agg(F.collect_list(F.struct("term", "n", "critical")).alias("known"))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual = shared.value
+        spell = Speller({w: n for w, (n, _) in shared.value.items()})
+        usual = {w: (_id(w), _weight(n, total), c or w[0].isdigit()) for w, (n, c) in shared.value.items()}
         for b in batches:
-            out: list[tuple] = []
-            for ws, known in zip(b.column("tokens").to_pylist(), b.column("known").to_pylist()):
+            terms, weights, plain, keys = [], [], [], []
+            for canon, known in zip(b.column("canon").to_pylist(), b.column("known").to_pylist()):
                 own = {k["term"]: (k["n"], k["critical"]) for k in known or ()}
-                info = {w: usual.get(w) or own.get(w, (1, False)) for w in ws}
-                ordered = sorted(((-_weight(n, total), w) for w, (n, _) in info.items()))
-                norm = math.sqrt(sum(x * x for x, _ in ordered))
-                exact = sorted(w for w in ws if w[0].isdigit() or info[w][1])
-                out.append(([w for _, w in ordered], [-x / norm for x, _ in ordered], exact, sorted(w for w in ws if not (w[0].isdigit() or info[w][1]))))
-            texts = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("class"), b.column("side"), pa.array([o[0] for o in out], texts), pa.array([o[1] for o in out], pa.list_(pa.float64())), pa.array([o[2] for o in out], texts), pa.array([o[3] for o in out], texts)], ["cid", "class", "side", "terms", "weights", "exact", "plain"])
-
-    layout = "cid string, class boolean, side string, terms array<string>, weights array<double>, exact array<string>, plain array<string>"
-    vectors = written(spelled.drop("rare").join(rare, "cid", "left").mapInArrow(weighed, layout), "weights")
+                info, exact, others = {}, [], []
+                for w in map(spell, canon.split(" ")):
+                    if (t := usual.get(w)) is None:
+                        n, c = own[w]
+                        t = _id(w), _weight(n, total), c or w[0].isdigit()
+                    info[t[0]] = t[1]
+                    if t[2]:
+                        exact.append(w)
+                    else:
+                        others.append(t[0])
+                ordered = sorted(info.items(), key=lambda x: (-x[1], x[0]))
+                norm = math.sqrt(sum(x * x for _, x in ordered))
+                terms.append([t for t, _ in ordered])
+                weights.append([x / norm for _, x in ordered])
+                plain.append(sorted(others))
+                keys.append(hashlib.blake2b(" ".join(sorted(exact)).encode(), digest_size=16).digest())
+            ids = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("class"), b.column("side"), pa.array(keys, pa.binary()), pa.array(terms, ids), pa.array(weights, pa.list_(pa.float64())), pa.array(plain, ids)], ["cid", "class", "side", "key", "terms", "weights", "plain"])
+
+    vectors = written(classes.join(rare, "cid", "left").select("cid", "class", "side", "canon", "known").mapInArrow(weighed, _LAYOUT), "weights")
 
     highest = vectors.select("side", F.explode(F.arrays_zip("terms", "weights")).alias("x")).groupBy("side", F.col("x.terms").alias("term")).agg(F.max("x.weights").alias("top"), F.count(F.lit(1)).alias("n"))
-    top = {(r["side"], r["term"]): r["top"] for r in highest.where(F.col("n") >= max(3, total / FREQUENT)).collect()}
-    tops = spark.sparkContext.broadcast(top)
+    top: dict[str, list[tuple[int, float]]] = {"train": [], "other": []}
+    for r in highest.where(usual).collect():
+        top[r["side"]].append((r["term"], r["top"]))
+    tops = spark.sparkContext.broadcast({s: (np.array([t for t, _ in sorted(x)], np.int64), np.array([w for _, w in sorted(x)] + [1.0])) for s, x in top.items()})
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leading terms: the rest can add less than ``least`` to any dot product, by its norm or by the largest weights across."""
         for b in batches:
-            lead, rest = [], []
-            for side, terms, weights in zip(*(b.column(c).to_pylist() for c in ("side", "terms", "weights"))):
-                across = "other" if side == "train" else "train"
-                square = most = 0.0
-                k = len(terms)
-                left = 0.0
-                while k:
-                    w = weights[k - 1]
-                    square, most = square + w * w, most + w * tops.value.get((across, terms[k - 1]), 1.0)
-                    bound = min(math.sqrt(square), most)
-                    if bound >= least - 1e-9:
-                        break
-                    left, k = bound, k - 1
-                lead.append(k)
-                rest.append(left)
+            column = b.column("weights")
+            starts, weights = column.offsets.to_numpy(), column.flatten().to_numpy()
+            starts = starts - starts[0]
+            terms, sizes = b.column("terms").flatten().to_numpy(), np.diff(starts)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            train = np.repeat(np.array(b.column("side").to_pylist()) == "train", sizes) if len(sizes) else np.zeros(0, bool)
+            most = np.ones(len(terms))
+            for side, mine in (("other", train), ("train", ~train)):
+                known, highest_ = tops.value[side]
+                at = np.searchsorted(known, terms[mine])
+                at[(at < len(known)) & (known[np.minimum(at, max(len(known) - 1, 0))] != terms[mine]) if len(known) else slice(None)] = len(known)
+                most[mine] = highest_[at]
+            suffix = lambda x: np.concatenate([[0.0], np.cumsum(x)])[starts[1:]][row] - np.concatenate([[0.0], np.cumsum(x)])[:-1]
+            bound = np.minimum(np.sqrt(np.maximum(suffix(weights * weights), 0.0)), suffix(weights * most))
+            lead = np.bincount(row, weights=bound >= least - 1e-9, minlength=len(sizes)).astype(np.int32)
+            rest = np.where(lead < sizes, np.append(bound, 0.0)[np.minimum(starts[:-1] + lead, len(bound))], 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lead, pa.int32()), pa.array(rest, pa.float64())], [*b.schema.names, "lead", "rest"])
 
-    return written(vectors.mapInArrow(led, layout + ", lead int, rest double"), "vectors")
+    return written(vectors.mapInArrow(led, _LAYOUT + ", lead int, rest double"), "vectors")
 
 
 def _candidates(vectors: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a train and another class whose leading terms meet and whose dot product can reach ``least``."""
-    posted = vectors.select("cid", "class", "side", "rest", F.explode(F.slice(F.arrays_zip("terms", "weights"), 1, F.col("lead"))).alias("x")).select("cid", "class", "side", "rest", F.col("x.terms").alias("term"), F.col("x.weights").alias("w"))
-    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_values(counts, "term", "n", vectors.count(), 1e-3, 5000)
+    """Pairs (a, b) of a train and another class whose leading terms meet and whose dot product can reach ``least``; the lists are parted by class and key."""
+    lists = ["term", "class", "key"]
+    posted = vectors.select("cid", "class", "key", "side", "rest", F.explode(F.slice(F.arrays_zip("terms", "weights"), 1, F.col("lead"))).alias("x")).select("cid", "class", "key", "side", "rest", F.col("x.terms").alias("term"), F.col("x.weights").alias("w"))
     # A hot list is cut into salted parts on one side and repeated for each part on the other.
-    is_hot = F.col("term").isin(hot) if hot else F.lit(False)
-    train = posted.where("side = 'train'").withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("cid"), F.lit(_SALTS)).cast("int")).otherwise(0))
-    other = posted.where("side = 'other'").withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    met = train.select("term", "class", "salt", F.col("cid").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra")).join(other.select("term", "class", "salt", F.col("cid").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb")), ["term", "class", "salt"])
+    sizes = posted.groupBy(*lists).agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > max(vectors.count() * 1e-3, 5000)).select(*lists, F.lit(_SALTS).alias("salts"))
+    hot = written(hot, "hot")  # a thousand lists for each leading term of a class at most
+    salts = F.coalesce("salts", F.lit(1))
+    marked = posted if hot.isEmpty() else posted.join(hot, lists, "left")
+    marked = marked if "salts" in marked.columns else marked.withColumn("salts", F.lit(None).cast("int"))
+    train = marked.where("side = 'train'").withColumn("salt", F.pmod(F.xxhash64("cid"), salts).cast("int"))
+    other = marked.where("side = 'other'").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    met = train.select(*lists, "salt", F.col("cid").alias("a"), F.col("w").alias("wa"), F.col("rest").alias("ra")).join(other.select(*lists, "salt", F.col("cid").alias("b"), F.col("w").alias("wb"), F.col("rest").alias("rb")), [*lists, "salt"])
     pairs = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
     return pairs.where(F.col("part") + F.col("rest") >= least - 1e-9).select("a", "b")
 
 
-def same_claim(exact_a: list[str], plain_a: list[str], exact_b: list[str], plain_b: list[str]) -> bool:
-    """Equal numbers, names and attributes, and at least the share COMMON of the other words."""
-    if exact_a != exact_b:
-        return False
+def same_claim(plain_a: list, plain_b: list) -> bool:
+    """At least the share COMMON of the words besides numbers, names and attributes is common to both."""
     shared = sum((Counter(plain_a) & Counter(plain_b)).values())
     return shared >= COMMON * max(len(plain_a), len(plain_b))
 
@@ -200,26 +218,27 @@ def same_claim(exact_a: list[str], plain_a: list[str], exact_b: list[str], plain
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         dots, same = [], []
-        for ta, wa, ea, pa_, tb, wb, eb, pb in zip(*(b.column(c).to_pylist() for c in ("terms_a", "weights_a", "exact_a", "plain_a", "terms_b", "weights_b", "exact_b", "plain_b"))):
+        for ta, wa, pa_, tb, wb, pb in zip(*(b.column(c).to_pylist() for c in ("terms_a", "weights_a", "plain_a", "terms_b", "weights_b", "plain_b"))):
             at = dict(zip(tb, wb))
             dots.append(sum(w * at.get(t, 0.0) for t, w in zip(ta, wa)))
-            same.append(same_claim(ea, pa_, eb, pb))
+            same.append(same_claim(pa_, pb))
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(dots, pa.float64()), pa.array(same, pa.bool_())], ["a", "b", "cosine", "same"])
 
 
 def class_pairs(items: DataFrame, attributes: DataFrame, train: str = "train", others: tuple[str, ...] = ("dev", "test"), least: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, cosine, same) of statement classes across splits with a cosine of ``least`` or more, and the members (cid, id) of each class.
+    """Pairs (a, b, cosine, same) of statement classes across splits with equal numbers, names and attributes and a cosine of ``least`` or more, and the members (cid, id) of each class.
 
     ``items`` has id, class (boolean), split and statement; ``attributes`` has a column term. A class holds all items
     of one side with equal canonical statements, so copies are compared once; a is a train class, b one of the other
-    splits, both with the same class value. ``same`` tells whether both make the same claim (see :func:`same_claim`).
-    Rows with a null id, class, split or statement, or a statement without any word or number, belong to no pair;
-    repeated rows count once. Empty inputs give empty results. Texts are taken whole.
+    splits, both with the same class value. Statements that differ in a number, a name or an attribute are different
+    claims, so the inverted lists are parted by a digest of these. ``same`` tells whether both make the same claim (see
+    :func:`same_claim`). Rows with a null id, class, split or statement, or a statement without any word or number,
+    belong to no pair; repeated rows count once. Empty inputs give empty results. Texts are taken whole.
     """
     members, classes = _classes(items, train, others)
     vectors = _vectors(classes, attributes, least)
     found = _candidates(vectors, least)
-    parts = ("terms", "weights", "exact", "plain")
+    parts = ("terms", "weights", "plain")
     left = vectors.select(F.col("cid").alias("a"), *(F.col(c).alias(f"{c}_a") for c in parts))
     right = vectors.select(F.col("cid").alias("b"), *(F.col(c).alias(f"{c}_b") for c in parts))
     checked = found.join(left, "a").join(right, "b").mapInArrow(_verified, "a string, b string, cosine double, same boolean")
