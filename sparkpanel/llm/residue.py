@@ -45,7 +45,7 @@ WALL = (
 #: Notices that content may hold as well, and words of such: they are residue only where they recur across sources.
 AMBIGUOUS = r"^\W*(?:loading\W*$|(please )?wait\b.*|this may take (a few|some) (seconds|moments?|minutes)\W*$|we use cookies\b.*|(please )?try again (later|in a few minutes)\b.*|coming soon\W*$|under construction\W*$|hello world\W*$|heading \d+\W*$|the quick brown fox\b.*)"
 CUE = r"\b(java ?script|captcha|reload|refresh|cookies|log ?in|sign ?in|web ?browser|ad ?block(er)?)\b"
-_MONTH_DATE = r"\b(january|february|march|april|may|june|july|august|september|october|november|december) \d+"
+_MONTH_DATE = r"\b(?=[adfjmnos])(january|february|march|april|may|june|july|august|september|october|november|december) \d+"
 _ADDRESS = r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+"
 _KEY = r"(?<!\p{L})'[a-z_ ]+'(?!\p{L})"
 _NAMES = r"\b\p{Lu}\p{Ll}+( \p{Lu}\p{Ll}+)+\b"
@@ -65,7 +65,7 @@ def _parts(segment: Column) -> dict[str, Column]:
     """What masking and classifying share: the line in lower case, its words, and whether it has marks, unset values or filler words at all."""
     low = F.lower(F.trim(segment))
     return {
-        "low": low, "words": F.length(low) - F.length(F.replace(low, F.lit(" "))) + 1, "marked": low.rlike(r"[{}\[\]<>$%«@#(]|__|xxxx"),
+        "low": low, "words": F.length(low) - F.length(F.replace(low, F.lit(" "))) + 1, "marked": low.rlike(r"[{}\[\]<>$%«@#(]") | low.contains("__") | low.contains("xxxx"),
         "unset": _holds(low, ("undefined", "null", "nan", "none", "[object")), "latin": _holds(low, ("lorem", "ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod", "incididunt", "labore", "aliqua", "tempor", "elit", "nostrud", "ullamco", "excepteur")),
     }
 
