@@ -15,12 +15,10 @@ from ..operators import stats as T
 #: The panel and the seeds of the splits.
 PANEL = ("lumen/arbiter-8b", "quartz/referee-large", "tarn/verity-12b")
 SECOND = ("halcyon/juror-v2", "osprey/assayer-mini", "pumice/ledger-7b")
-SEEDS = (1, 2, 3)
+SEEDS = tuple(range(1, 11))
 FAMILIES = ("attribute", "entity", "natural", "number", "refutes")
-TRIALS = 5
-#: The sizes of the reference, for the queries that end in _whole; the smaller ones above are those of the SQL.
-ALL_SEEDS = tuple(range(1, 11))
-PERMUTATIONS, REPLICATES, ALL_TRIALS = 3000, 5000, 100
+#: Permutations of a sample, resamples of the bootstrap, trials of random routing.
+PERMUTATIONS, REPLICATES, TRIALS = 3000, 5000, 100
 #: The drift grid. The family of FEVER refutations stands for the reference's negative control, which isn't in the tables.
 CONTROL, TARGETS = "refutes", ("number", "entity", "natural")
 SHARES, AUDITS, ROLE = (0.0, 0.1, 0.25, 0.5, 1.0), (25, 50, 95), 95
@@ -63,21 +61,15 @@ def risk_by_family(spark: SparkSession, folder: str) -> DataFrame:
     return T.risk(T.miss_counts(_wide(spark, folder).where("is_corrupted"), ["family"])).select("family", "n", "fn_corr", "all3", "null3", "lift", "lift_infinite")
 
 
-def hash_permutation_null(spark: SparkSession, folder: str, permutations: int = 40) -> DataFrame:
-    """Mean overlap and smoothed p over hash-ranked permutations of the calibration sample of the first seed."""
-    sample = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'calibration' and is_corrupted").select("family", "id", "m1", "m2", "m3")
-    return T.hash_null(sample, ["family"], permutations).select("family", "null3", "p")
-
-
-def hash_permutation_null_whole(spark: SparkSession, folder: str) -> DataFrame:
+def hash_permutation_null(spark: SparkSession, folder: str) -> DataFrame:
     """Mean overlap and smoothed p over 3000 hash-ranked permutations of the calibration sample of each of the ten seeds."""
-    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted")
+    sample = S.split(_wide(spark, folder), SEEDS).where("role = 'calibration' and is_corrupted")
     return T.hash_null(sample.select("family", "seed", "id", "m1", "m2", "m3"), ["family", "seed"], PERMUTATIONS, ["seed"])
 
 
 def replay_permutation_null(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap, its mean and smoothed p over 3000 seeded shuffles of the calibration sample of each of the ten seeds."""
-    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted")
+    sample = S.split(_wide(spark, folder), SEEDS).where("role = 'calibration' and is_corrupted")
     return T.replay_null(sample, ["family", "seed"], "id", PERMUTATIONS, "seed")
 
 
@@ -168,29 +160,16 @@ def identity_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def policy_random_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Random routing with the number of items that risk routing would escalate were every split flagged, averaged over trials."""
-    rows = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'deployment'")
-    budget = rows.groupBy("family").agg(F.count_if(P.majority()).alias("budget"))
-    trials = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(TRIALS)))).withColumn("h", S.hashed("route", F.col("trial"), F.col("id")))
-    placed = S.ranked(trials, ["family", "trial"], "h", "place").join(F.broadcast(budget), "family")  # a row for each family
-    chosen = F.col("place") <= F.col("budget")
-    decided = placed.withColumn("accept", F.when(chosen, P.grounded_majority()).otherwise(P.majority()))
-    known = F.coalesce(F.col("accept"), F.lit(False))
-    each = decided.groupBy("family", "trial").agg(T.rate(F.count_if(F.col("is_corrupted") & known), F.count_if("is_corrupted")).alias("fa"), F.count_if(F.col("accept").isNull()).alias("gone"))
-    return each.groupBy("family").agg(F.round(F.avg("fa"), 9).alias("false_accept_low"), F.sum("gone").cast("bigint").alias("missing_grounded"))
-
-
-def policy_random_budget_whole(spark: SparkSession, folder: str) -> DataFrame:
     """Random routing over 100 trials in each family and seed, with the number of items that risk routing escalates there."""
     gm = F.coalesce(P.grounded_majority().cast("int"), F.lit(-1))  # -1: no grounded answer
     kinds = ["family", "seed", "is_corrupted", "m1", "m2", "m3", P.majority().alias("rf"), P.unanimous().alias("una"), gm.alias("gm")]
-    every = written(S.split(_wide(spark, folder), ALL_SEEDS).groupBy(*kinds, "role").agg(F.count(F.lit(1)).alias("n")), "kinds")  # a row for each kind of item, not for each item
+    every = written(S.split(_wide(spark, folder), SEEDS).groupBy(*kinds, "role").agg(F.count(F.lit(1)).alias("n")), "kinds")  # a row for each kind of item, not for each item
     risk = _risk(every.where("role = 'calibration'").withColumn("copy", F.explode(F.expr("sequence(1, n)"))), ("family", "seed"))
     counts = every.where("role = 'deployment'").groupBy("family", "seed", "is_corrupted", "rf", "una", "gm").agg(F.sum("n").alias("n"))
     budget = counts.groupBy("family", "seed").agg(F.sum(F.when(F.col("rf"), F.col("n")).otherwise(0)).alias("accepts"))
     flag = risk.select("family", "seed", "flag")
     known = counts.join(budget, ["family", "seed"]).join(flag, ["family", "seed"], "left").withColumn("budget", F.when(F.col("flag"), F.col("accepts")).otherwise(0))
-    return T.random_routing(known, ["family", "seed"], ALL_TRIALS)
+    return T.random_routing(known, ["family", "seed"], TRIALS)
 
 
 def cross_family(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,18 +210,6 @@ def crossfit_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-def drift_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    """Risk of samples that mix one family into the natural one at growing shares."""
-    rows = _wide(spark, folder).where("is_corrupted").withColumn("h", S.hashed("drift", F.col("id")))
-    placed = S.ranked(rows, ["family"], "h", "place").where(F.col("place") <= 40)
-    out = None
-    for share in (0.0, 0.25, 0.5, 0.75, 1.0):
-        n = S.half_up(40, share)
-        part = placed.where(((F.col("family") == "number") & (F.col("place") <= n)) | ((F.col("family") == "natural") & (F.col("place") <= 40 - n))).withColumn("share", F.lit(share))
-        out = part if out is None else out.unionByName(part)
-    return T.risk(T.miss_counts(out, ["share"])).select("share", "n", "fn_corr", "all3", "null3")
-
-
 def _accepts(by: list[str], rows: DataFrame, name: str = "") -> DataFrame:
     """Rates of plain majority and unanimity, and how many items the majority accepts."""
     bad, yes = F.col("is_corrupted"), P.majority()
@@ -250,7 +217,7 @@ def _accepts(by: list[str], rows: DataFrame, name: str = "") -> DataFrame:
     return rows.groupBy(*by).agg(F.count_if(~bad).alias(f"{name}n_clean"), F.count_if(bad).alias(f"{name}n_corrupt"), *(F.round(c, 9).alias(name + k) for k, c in rates.items()), F.count_if(yes).alias("accepts"))
 
 
-def drift_mixture_whole(spark: SparkSession, folder: str) -> DataFrame:
+def drift_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """The whole drift experiment: the risk of an audit that mixes a target family into the control, for each target, seed, share and audit size.
 
     The control's items have disjoint roles: the first 95 of a class calibrate, the next 95 are evaluated, the next 95
@@ -259,7 +226,7 @@ def drift_mixture_whole(spark: SparkSession, folder: str) -> DataFrame:
     its roles, ``complete`` is false and the n are short.
     """
     rows = _wide(spark, folder).where(F.col("family").isin(CONTROL, *TARGETS)).where((F.col("family") == CONTROL) | F.col("is_corrupted"))
-    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, ALL_SEEDS)))).withColumn("h", S.hashed("drift", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id")))
+    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS)))).withColumn("h", S.hashed("drift", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id")))
     own = F.col("family") == CONTROL
     top = S.ranked(each, ["family", "seed", "is_corrupted"], "h", "place").where(F.col("place") <= F.when(own, 3 * ROLE).otherwise(2 * ROLE))
     past = F.when(own, F.floor((F.col("place") - 1) / ROLE)).otherwise(F.floor((F.col("place") - 1) / ROLE) + 1)
@@ -281,7 +248,7 @@ def drift_mixture_whole(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*keys, "initial_n", "initial_flag", "n", "fn_corr", "all3", "null3", "lift", "lift_infinite", "p", "flag", "eval_n_clean", "eval_n_corrupt", "eval_false_accept", "eval_true_accept", "eval_false_consensus", F.when(F.col("flag"), F.col("accepts")).otherwise(0).alias("routed"), full.alias("complete"))
 
 
-def leave_one_family_out_whole(spark: SparkSession, folder: str) -> DataFrame:
+def leave_one_family_out(spark: SparkSession, folder: str) -> DataFrame:
     """For each target and seed: the risk of 150 corrupted items pooled from all other families, the target's own, and routing of the target by the pooled flag.
 
     Donors share each class by balanced quotas in an order seeded for it. The target is judged on at most 150 items of
@@ -289,11 +256,11 @@ def leave_one_family_out_whole(spark: SparkSession, folder: str) -> DataFrame:
     enter no risk figure and are only counted.
     """
     rows = written(_wide(spark, folder).drop("g1", "g2", "g3"), "wide")
-    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, ALL_SEEDS))))
+    each = rows.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
     placed = S.ranked(each.withColumn("h", S.hashed("source", F.col("seed"), F.col("family"), F.col("is_corrupted"), F.col("id"))), ["family", "seed", "is_corrupted"], "h", "place").where("place <= 150")
     from pyspark.sql import Window
 
-    donors = [(t, f, seed, bad) for t in FAMILIES for f in FAMILIES if f != t for seed in ALL_SEEDS for bad in (False, True)]
+    donors = [(t, f, seed, bad) for t in FAMILIES for f in FAMILIES if f != t for seed in SEEDS for bad in (False, True)]
     order = Window.partitionBy("target", "seed", "is_corrupted").orderBy(S.hashed("quota", F.col("seed"), F.col("target"), F.col("is_corrupted"), F.col("family")))
     quota = spark.createDataFrame(donors, "target string, family string, seed int, is_corrupted boolean").withColumn("quota", S.quotas(150, F.row_number().over(order), F.lit(len(FAMILIES) - 1)))
     pooled = written(placed.join(F.broadcast(quota), ["family", "seed", "is_corrupted"]).where("place <= quota"), "pooled")  # a row for each donor and seed
@@ -308,19 +275,6 @@ def leave_one_family_out_whole(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("*", routed.alias("routed"), (3 * routed).alias("routed_calls")).drop("accepts")
 
 
-def leave_one_family_out(spark: SparkSession, folder: str) -> DataFrame:
-    """Risk of a sample of 60 corrupted items pooled from all other families by balanced quotas, against the target's own."""
-    rows = _wide(spark, folder).where("is_corrupted").withColumn("h", S.hashed("pool", F.col("id")))
-    placed = S.ranked(rows, ["family"], "h", "place")
-    pairs = placed.withColumn("target", F.explode(F.array(*map(F.lit, FAMILIES)))).where("target <> family")
-    order = {(t, f): i for t in FAMILIES for i, f in enumerate([f for f in FAMILIES if f != t], 1)}
-    at = F.element_at(F.create_map(*(x for (t, f), i in order.items() for x in (F.lit(f"{t}|{f}"), F.lit(i)))), F.concat_ws("|", "target", "family"))
-    pooled = pairs.where(F.col("place") <= S.quotas(60, at, F.lit(len(FAMILIES) - 1)))
-    donors = T.risk(T.miss_counts(pooled, ["target"])).select("target", F.col("n").alias("pool_n"), F.col("fn_corr").alias("pool_corr"), F.col("all3").alias("pool_all3"))
-    own = T.risk(T.miss_counts(rows, ["family"])).select(F.col("family").alias("target"), F.col("fn_corr").alias("own_corr"), F.col("all3").alias("own_all3"))
-    return donors.join(own, "target")
-
-
 def flag_confusion(spark: SparkSession, folder: str) -> DataFrame:
     """Agreement of the two panels' correlation flags over families."""
     two = [T.risk(T.miss_counts(_wide(spark, folder, p).where("is_corrupted"), ["family"])).select("family", (F.col("fn_corr") > T.MAX_CORRELATION).alias(n)) for n, p in (("a", PANEL), ("b", SECOND))]
@@ -328,34 +282,19 @@ def flag_confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def utility_breakeven(spark: SparkSession, folder: str) -> DataFrame:
-    """For each family and policy against plain majority: false accepts avoided, references spent and the price at which they cancel."""
-    r = policy_rates(spark, folder).where("seed = 1").select("family", "policy", "false_accept", "n_corrupt", "extra_verifier_items")
-    base = r.where("policy = 'rf_majority'").select("family", F.col("false_accept").alias("base"))
+    """For each family, seed and policy against plain majority: false accepts avoided, references spent and the price at which they cancel."""
+    r = policy_rates(spark, folder).select("family", "seed", "policy", "false_accept", "n_corrupt", "extra_verifier_items")
+    base = r.where("policy = 'rf_majority'").select("family", "seed", F.col("false_accept").alias("base"))
     saved = (F.col("base") - F.col("false_accept")) * F.col("n_corrupt")
-    return r.where("policy <> 'rf_majority'").join(base, "family").where("false_accept is not null").select("family", "policy", F.round(saved, 6).alias("avoided"), "extra_verifier_items", F.when(F.col("extra_verifier_items") > 0, F.round(saved / F.col("extra_verifier_items"), 8)).alias("breakeven"))
-
-
-def bootstrap_reduction(spark: SparkSession, folder: str, replicates: int = 200) -> DataFrame:
-    """Interval and one-sided p of the paired difference in misses of the first two judges, over resamples of the calibration sample."""
-    from pyspark.sql import Window
-
-    sample = S.split(_wide(spark, folder), (SEEDS[0],)).where("role = 'calibration' and is_corrupted").select("family", "id", (F.col("m1") - F.col("m2")).alias("diff"))
-    # The sample is bounded by the split, and so are the windows over it and over the replicates.
-    numbered = sample.withColumn("place", F.row_number().over(Window.partitionBy("family").orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("family")))
-    drawn = numbered.select("family", "n", F.col("place").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
-    drawn = drawn.withColumn("place", F.conv(F.substring(S.hashed("boot", F.col("b"), F.col("i")), 1, 8), 16, 10).cast("bigint") % F.col("n") + 1)
-    means = drawn.join(numbered.select("family", "place", "diff"), ["family", "place"]).groupBy("family", "b").agg((T.d(F.sum("diff")) / F.max("n")).alias("mean"))
-    ordered = means.withColumn("at", F.row_number().over(Window.partitionBy("family").orderBy("mean", "b")))
-    low, high = int(0.025 * replicates) + 1, min(replicates, int(0.975 * replicates) + 1)
-    return ordered.groupBy("family").agg(F.round(F.max(F.when(F.col("at") == low, F.col("mean"))), 9).alias("low"), F.round(F.max(F.when(F.col("at") == high, F.col("mean"))), 9).alias("high"), F.round((T.d(F.count_if(F.col("mean") <= 0)) + 1) / (replicates + 1.0), 9).alias("p_lower"))
+    return r.where("policy <> 'rf_majority'").join(base, ["family", "seed"]).where("false_accept is not null").select("family", "seed", "policy", F.round(saved, 6).alias("avoided"), "extra_verifier_items", F.when(F.col("extra_verifier_items") > 0, F.round(saved / F.col("extra_verifier_items"), 8)).alias("breakeven"))
 
 
-def bootstrap_reduction_whole(spark: SparkSession, folder: str) -> DataFrame:
+def bootstrap_reduction(spark: SparkSession, folder: str) -> DataFrame:
     """Reductions by grounding in the pairwise correlation and the triple misses over 5000 resamples, for each family and seed.
 
     Calibration items without a grounded verdict of every judge are left out, as no model is called; n counts the rest.
     """
-    sample = S.split(_wide(spark, folder), ALL_SEEDS).where("role = 'calibration' and is_corrupted and g1 is not null and g2 is not null and g3 is not null")
+    sample = S.split(_wide(spark, folder), SEEDS).where("role = 'calibration' and is_corrupted and g1 is not null and g2 is not null and g3 is not null")
     return T.bootstrap_reductions(sample.withColumns({f"e{i}": (F.col(f"g{i}") == "true").cast("int") for i in (1, 2, 3)}), ["family", "seed"], "id", REPLICATES)
 
 
@@ -376,9 +315,9 @@ def collapse_rule(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bootstrap_reduction, bootstrap_reduction_whole, hash_permutation_null_whole, policy_random_budget_whole, drift_mixture_whole, leave_one_family_out_whole, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, hash_permutation_null, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics, balanced_accuracy, parse_failures,
-        verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check, policy_random_budget,
-        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, drift_mixture, leave_one_family_out, flag_confusion, utility_breakeven,
+        bootstrap_reduction, hash_permutation_null, policy_random_budget, drift_mixture, leave_one_family_out, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics,
+        balanced_accuracy, parse_failures, verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check,
+        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, flag_confusion, utility_breakeven,
     )
 }
 
@@ -422,10 +361,15 @@ rf as ({picked(False, 'desc')}), gr as ({picked(True, 'asc')}),
     split = f"""sp as (select w.*, seed, row_number() over (partition by family, seed, is_corrupted order by sha256(concat_ws('|', 'split', seed, id))) rk, count(*) over (partition by family, seed, is_corrupted) nn from w, (select unnest([{', '.join(map(str, SEEDS))}]) seed)),
 roles as (select *, case when rk <= least(150, floor(nn / 2.0)) then 'calibration' else 'deployment' end as role from sp),
 cal as (select * from roles where role = 'calibration' and is_corrupted)"""
-    p = f"""px as (select family, seed, n, s1, s2, s3, s123, x from riskc, (select unnest(range(0, 151)) x) where x <= n and x <= least(s1, s2) and x >= s1 + s2 - n),
-pt as (select *, t from px, (select unnest(range(0, 151)) t) where t <= n and t >= s123 and t <= least(x, s3) and t >= x + s3 - n),
-pp as (select family, seed, round(least(1.0::double, sum({hg('n', 's1', 's2', 'x')} * {hg('n', 'x', 's3', 't')})), 8) p from pt group by family, seed),
-fl as (select r.family, r.seed, n, fn_corr, all3, null3, lift, lift_infinite, p, (fn_corr > {T.MAX_CORRELATION} and (lift_infinite or coalesce(lift > {T.MAX_LIFT}, false)) and coalesce(p, 1.0) < {T.MAX_P}) flag from risk0 r left join pp on r.family = pp.family and r.seed = pp.seed)"""
+    def law(by: str, name: str = "risk") -> str:
+        """Exact p and flag of each group of {name}0 as {name}f."""
+        on = lambda x, y: " and ".join(f"{x}.{c.strip()} = {y}.{c.strip()}" for c in by.split(","))
+        return f"""{name}x as (select {by}, n, s1, s2, s3, s123, x from {name}c, (select unnest(range(0, 151)) x) where x <= n and x <= least(s1, s2) and x >= s1 + s2 - n),
+{name}t as (select *, t from {name}x, (select unnest(range(0, 151)) t) where t <= n and t >= s123 and t <= least(x, s3) and t >= x + s3 - n),
+{name}p as (select {by}, round(least(1.0::double, sum({hg('n', 's1', 's2', 'x')} * {hg('n', 'x', 's3', 't')})), 8) p from {name}t group by {by}),
+{name}f as (select r.*, p, (fn_corr > {T.MAX_CORRELATION} and (lift_infinite or coalesce(lift > {T.MAX_LIFT}, false)) and coalesce(p, 1.0) < {T.MAX_P}) flag from {name}0 r left join {name}p q on {on('r', 'q')})"""
+
+    p = law("family, seed") + ", fl as (select family, seed, n, fn_corr, all3, null3, lift, lift_infinite, p, flag from riskf)"
     flags = f"{base()}, {split}, {risk('cal', 'family, seed')}, {p}"
     route = {"rf_majority": ("rfm", "false"), "rf_unanimous": ("una", "false"), "always_grounded": ("gm", "true"), "risk_routed": ("case when coalesce(flag, false) and rfm then gm else rfm end", "coalesce(flag, false) and rfm"), "ground_all_accepts": ("case when rfm then gm else false end", "rfm"), "disagreement_routed": ("case when dis then gm else rfm end", "dis")}
     dec = "dep as (select r.*, flag from roles r left join fl on r.family = fl.family and r.seed = fl.seed where role = 'deployment'), dc as (" + " union all ".join(f"select id, family, seed, is_corrupted, una, flag, '{k}' as policy, {a} as accept, {e} as escalated from dep" for k, (a, e) in route.items()) + ")"
@@ -438,15 +382,14 @@ fl as (select r.family, r.seed, n, fn_corr, all3, null3, lift, lift_infinite, p,
     wil = "hits::double / n::double"
     z = T.Z95
     mid, half = f"(({wil} + {z * z!r} / (2 * n)) / (1 + {z * z!r} / n))", f"({z!r} * sqrt({wil} * (1 - {wil}) / n + {z * z!r} / (4 * n::double * n)) / (1 + {z * z!r} / n))"
-    first = SEEDS[0]
     out = {
         "risk_flag_pairwise": f"with {flags} select family, seed, n, fn_corr, all3, null3, lift, lift_infinite, p, flag from fl",
         "risk_by_family": f"with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, n, fn_corr, all3, null3, lift, lift_infinite from risk0",
-        "hash_permutation_null": f"""with {base()}, {split}, smp as (select family, id, m1, m2, m3 from cal where seed = {first}),
-lg as (select family, id, 1 judge, m1 miss from smp union all select family, id, 2, m2 from smp union all select family, id, 3, m3 from smp),
-pl as (select family, b, miss, row_number() over (partition by family, b, judge order by sha256(concat_ws('|', 'perm', b, judge, id))) place from lg, (select unnest(range(1, 41)) b)),
-ht as (select family, b, sum(a)::bigint t, count(*) n from (select family, b, place, min(miss) a from pl group by all) group by family, b), ob as (select family, sum(m1 * m2 * m3)::bigint obs from smp group by family)
-select family, round(avg(t::double / n::double), 9) null3, round(({cnt('t >= obs')}::double + 1) / 41.0::double, 9) p from ht join ob using (family) group by family""",
+        "hash_permutation_null": f"""with {base()}, {split}, smp as (select family, seed, id, m1, m2, m3 from cal),
+lg as (select family, seed, id, 1 judge, m1 miss from smp union all select family, seed, id, 2, m2 from smp union all select family, seed, id, 3, m3 from smp),
+pl as (select family, seed, b, miss, row_number() over (partition by family, seed, b, judge order by sha256(concat_ws('|', 'perm', seed, b, judge, id))) place from lg, (select unnest(range(1, {PERMUTATIONS + 1})) b)),
+ht as (select family, seed, b, sum(a)::bigint t, count(*) n from (select family, seed, b, place, min(miss) a from pl group by all) group by all), ob as (select family, seed, sum(m1 * m2 * m3)::bigint obs from smp group by all)
+select ht.family, ht.seed, max(n) n, round(max(obs::double / n), 9) all3, round(avg(t::double / n::double), 9) null3, round(({cnt('t >= obs')}::double + 1) / {PERMUTATIONS + 1}.0::double, 9) p from ht join ob on ht.family = ob.family and ht.seed = ob.seed group by all""",
         "judge_accuracy": f"with {base()} select judge, count(*) n, round(avg((verdict = gold)::int::double), 9) accuracy from rf join it using (id) group by judge",
         "false_consensus_rate": f"with {base()} select family, count(*) n_agree, round(avg((v1 <> case when is_corrupted then 'false' else 'true' end)::int::double), 9) false_consensus from w where v1 = v2 and v2 = v3 group by family",
         "judge_pair_agreement": f"with {base()}, x as (select rf.* from rf join it using (id)) select a.judge judge_a, b.judge judge_b, count(*) n, round(avg((a.verdict = b.verdict)::int::double), 9) agreement from x a join x b on a.id = b.id and a.judge < b.judge group by all",
@@ -463,11 +406,6 @@ select family, round(avg(t::double / n::double), 9) null3, round(({cnt('t >= obs
         "policy_bounds_missing": f"with {flags}, {dec} select family, seed, policy, " + ", ".join(f"coalesce(round(({cnt(f'{c} and accept')} + {extra})::double / nullif({cnt(c)}, 0), 9), 0.0) {name}" for c, a in (("is_corrupted", "fa"), ("not is_corrupted", "ta")) for name, extra in ((f"{a}_low", "0"), (f"{a}_high", cnt(f"{c} and accept is null")))) + " from dc group by all",
         "policy_summary_mean_std": f"with {full} select family, policy, " + ", ".join(f"round(avg({c}), 7) {c}_mean, round(case when count({c}) = 1 then 0.0 else stddev_samp({c}) end, 7) {c}_std" for c in ("false_accept", "true_accept")) + ", sum(missing_grounded) = 0 all_complete, sum(missing_grounded)::bigint missing_total from pr group by family, policy",
         "identity_check": f"with {flags}, {dec} select family, seed, count(*) filter (where a.accept is distinct from b.accept) violations, count(*) n from (select * from dc where policy = 'risk_routed' and flag) a join (select family, seed, id, accept from dc where policy = 'ground_all_accepts' and flag) b using (family, seed, id) group by family, seed",
-        "policy_random_budget": f"""with {base()}, {split}, dp as (select * from roles where role = 'deployment' and seed = {first}), bu as (select family, {cnt('rfm')} budget from dp group by family),
-pl as (select dp.*, trial, row_number() over (partition by family, trial order by sha256(concat_ws('|', 'route', trial, id))) place from dp, (select unnest(range(1, {TRIALS + 1})) trial)),
-ac as (select pl.family, trial, is_corrupted, case when place <= budget then gm else rfm end accept from pl join bu on pl.family = bu.family),
-e as (select family, trial, {cnt('is_corrupted and accept')}::double / nullif({cnt('is_corrupted')}, 0) fa, {cnt('accept is null')} gone from ac group by all)
-select family, round(avg(fa), 9) false_accept_low, sum(gone)::bigint missing_grounded from e group by family""",
         "cross_family": f"with {flags} select family, round(avg(fn_corr), 8) corr_mean, round(avg(lift), 8) lift_mean, {cnt('lift_infinite')} n_infinite, {cnt('flag')} n_flagged, min(fn_corr) corr_min, max(fn_corr) corr_max from fl group by family",
         "threshold_ablation": f"with {flags}, e as (" + " union all ".join(f"select '{k}' as rule, ({c}) <> flag differs from fl" for k, c in (("corr", f"fn_corr > {T.MAX_CORRELATION}"), ("lift", f"lift_infinite or coalesce(lift > {T.MAX_LIFT}, false)"), ("p", f"coalesce(p < {T.MAX_P}, false)"))) + f") select rule, {cnt('differs')} errors, count(*) n from e group by rule",
         "invariance_region": f"with {flags} select flag, min(fn_corr) corr_low, max(fn_corr) corr_high, min(lift) lift_low, max(lift) lift_high, min(p) p_low, max(p) p_high from fl group by flag",
@@ -476,16 +414,34 @@ select family, round(avg(fa), 9) false_accept_low, sum(gone)::bigint missing_gro
             f"select * from (with {base(panel)}, f as (select *, (('0x' || substr(sha256(concat_ws('|', 'fold', id)), 1, 4))::bigint % 5)::varchar fold from w) select '{name}' as panel, coalesce(fold, 'pooled') fold, {cnt('is_corrupted')} n_false, {cnt('not is_corrupted')} n_clean, {cnt('is_corrupted and rfm')} rf_false_accepts, {cnt('not is_corrupted and rfm')} rf_true_accepts, {cnt('is_corrupted and rfm and not gm')} corrected, {cnt('not is_corrupted and rfm and not gm')} lost, {cnt('not rfm')} avoided, {cnt('rfm and gm is null')} as unknown from f group by rollup (fold))"
             for name, panel in (("first", PANEL), ("second", SECOND))
         ),
-        "drift_mixture": f"with {base()}, pl as (select *, row_number() over (partition by family order by sha256(concat_ws('|', 'drift', id))) place from w where is_corrupted), mx as (" + " union all ".join(f"select *, {share}::double as share from pl where (family = 'number' and place <= {S.half_up(40, share)}) or (family = 'natural' and place <= {40 - S.half_up(40, share)})" for share in (0.0, 0.25, 0.5, 0.75, 1.0)) + f"), {risk('mx', 'share')} select share, n, fn_corr, all3, null3 from risk0",
-        "leave_one_family_out": f"with {base()}, bad as (select * from w where is_corrupted), pl as (select *, row_number() over (partition by family order by sha256(concat_ws('|', 'pool', id))) place from bad), po as (" + " union all ".join(f"select *, '{t}' as target from pl where family = '{f}' and place <= {60 // 4 + (i <= 60 % 4)}" for t in FAMILIES for i, f in enumerate([f for f in FAMILIES if f != t], 1)) + f"), {risk('po', 'target')}, {risk('bad', 'family', 'own')} select r.target, r.n pool_n, r.fn_corr pool_corr, r.all3 pool_all3, o.fn_corr own_corr, o.all3 own_all3 from risk0 r join own0 o on r.target = o.family",
         "flag_confusion": f"with a as (with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} a from risk0), b as (with {base(SECOND)}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} b from risk0) select {cnt('a and b')} hh, {cnt('a and not b')} hn, {cnt('not a and b')} nh, {cnt('not a and not b')} nn from a join b using (family)",
-        "utility_breakeven": f"with {full}, r as (select * from pr where seed = 1) select r.family, r.policy, round((b.false_accept - r.false_accept) * r.n_corrupt, 6) avoided, r.extra_verifier_items, case when r.extra_verifier_items > 0 then round((b.false_accept - r.false_accept) * r.n_corrupt / r.extra_verifier_items, 8) end breakeven from r join (select family, false_accept from r where policy = 'rf_majority') b on r.family = b.family where r.policy <> 'rf_majority' and r.false_accept is not null",
+        "utility_breakeven": f"with {full}, r as (select * from pr) select r.family, r.seed, r.policy, round((b.false_accept - r.false_accept) * r.n_corrupt, 6) avoided, r.extra_verifier_items, case when r.extra_verifier_items > 0 then round((b.false_accept - r.false_accept) * r.n_corrupt / r.extra_verifier_items, 8) end breakeven from r join (select family, seed, false_accept from r where policy = 'rf_majority') b on r.family = b.family and r.seed = b.seed where r.policy <> 'rf_majority' and r.false_accept is not null",
     }
+    seeds = f"(select unnest([{', '.join(map(str, SEEDS))}]) seed)"
+    rate3 = lambda pre="": f"{cnt('not is_corrupted')} {pre}n_clean, {cnt('is_corrupted')} {pre}n_corrupt, {ratio(cnt('is_corrupted and rfm'), cnt('is_corrupted'))} {pre}false_accept, {ratio(cnt('not is_corrupted and rfm'), cnt('not is_corrupted'))} {pre}true_accept, {ratio(cnt('is_corrupted and una'), cnt('is_corrupted'))} {pre}false_consensus, {cnt('rfm')} accepts"
+    at = lambda word: f"row_number() over (partition by family, seed, is_corrupted order by sha256(concat_ws('|', '{word}', seed, family, is_corrupted, id))) place"
+    both = lambda pre, names: ", ".join(f"{pre}.{c} {pre}_{c}" for c in names)
+    told = ("fn_corr", "all3", "lift", "lift_infinite", "p", "flag")
+    out["leave_one_family_out"] = f"""with {base()}, ea as (select * from w, {seeds}), src as (select *, {at('source')} from ea), qt as (select *, {150 // (len(FAMILIES) - 1)} + (row_number() over (partition by target, seed, bad order by sha256(concat_ws('|', 'quota', seed, target, bad, donor))) <= {150 % (len(FAMILIES) - 1)})::int quota
+ from (select unnest([{', '.join(map(repr, FAMILIES))}]) target), (select unnest([{', '.join(map(repr, FAMILIES))}]) donor), (select unnest([true, false]) bad), {seeds} where target <> donor),
+po as (select src.*, target from src join qt on src.family = donor and src.seed = qt.seed and src.is_corrupted = bad where place <= 150 and place <= quota), pob as (select * from po where is_corrupted), {risk('pob', 'target, seed', 'pool')}, {law('target, seed', 'pool')},
+cl as (select target, seed, {cnt('not is_corrupted')} pool_n_clean from po group by all), sz as (select family f, least(150, {cnt('is_corrupted')} // 2, {cnt('not is_corrupted')} // 2) most from w group by family),
+tg as (select *, family target from (select *, {at('target')} from ea) join sz on family = f where place <= most), tgb as (select * from tg where is_corrupted), {risk('tgb', 'target, seed', 'own')}, {law('target, seed', 'own')}, ac as (select target, seed, {rate3()} from tg group by all)
+select pool.target, pool.seed, {both('pool', ('n', *told))}, pool_n_clean, {both('own', told)}, ac.* exclude (target, seed, accepts), case when pool.flag then accepts else 0 end routed, case when pool.flag then 3 * accepts else 0 end routed_calls
+from poolf pool join cl on cl.target = pool.target and cl.seed = pool.seed join ownf own on own.target = pool.target and own.seed = pool.seed join ac on ac.target = pool.target and ac.seed = pool.seed"""
+    listed = lambda xs: "[" + ", ".join(map(str, xs)) + "]"
+    part = "cast(floor(size * share + 0.5) as int)"
+    out["drift_mixture"] = f"""with {base()}, ea as (select *, {at('drift')} from w, {seeds} where family = '{CONTROL}' or (family in ({', '.join(map(repr, TARGETS))}) and is_corrupted)),
+pools as (select *, (place - 1) // {ROLE} + (family <> '{CONTROL}')::int as role, (place - 1) % {ROLE} + 1 as rk from ea where place <= case when family = '{CONTROL}' then {3 * ROLE} else {2 * ROLE} end),
+cells as (select * from (select unnest([{', '.join(map(repr, TARGETS))}]) target), (select unnest({listed(SHARES)})::double as share), (select unnest({listed(sorted({*AUDITS, ROLE}))}) size)),
+mx as (select pools.*, target, share, size from pools join cells on (family = '{CONTROL}' or family = target) where rk <= case when not is_corrupted then size when family = '{CONTROL}' then size - {part} else {part} end),
+ini as (select * from pools where role = 0 and is_corrupted), {risk('ini', 'seed', 'st')}, {law('seed', 'st')},
+aud as (select * from mx where role = 2 and is_corrupted and size in ({', '.join(map(str, AUDITS))})), {risk('aud', 'target, seed, share, size', 'ar')}, {law('target, seed, share, size', 'ar')},
+ev as (select target, seed, share, {rate3('eval_')} from mx where role = 1 and size = {ROLE} group by all)
+select a.target, a.seed, a.share, a.size, i.n initial_n, i.flag initial_flag, a.n, a.fn_corr, a.all3, a.null3, a.lift, a.lift_infinite, a.p, a.flag, eval_n_clean, eval_n_corrupt, eval_false_accept, eval_true_accept, eval_false_consensus,
+case when a.flag then accepts else 0 end routed, (i.n = {ROLE} and a.n = a.size and eval_n_corrupt = {ROLE} and eval_n_clean = {ROLE}) complete
+from arf a join stf i on i.seed = a.seed join ev on ev.target = a.target and ev.seed = a.seed and ev.share = a.share"""
     out |= {
-        "bootstrap_reduction": f"""with {base()}, {split}, smp as (select family, id, m1 - m2 diff, row_number() over (partition by family order by id) place, count(*) over (partition by family) n from cal where seed = {first}),
-dr as (select family, n, b, ('0x' || substr(sha256(concat_ws('|', 'boot', b, place)), 1, 8))::bigint % n + 1 pl from smp, (select unnest(range(1, 201)) b)),
-mn as (select dr.family, b, sum(diff)::double / max(dr.n) mean from dr join smp on dr.family = smp.family and dr.pl = smp.place group by all), od as (select *, row_number() over (partition by family order by mean, b) r from mn)
-select family, round(max(case when r = 6 then mean end), 9) low, round(max(case when r = 196 then mean end), 9) high, round(({cnt('mean <= 0')}::double + 1) / 201.0::double, 9) p_lower from od group by family""",
         "family_inference": f"with {base()} select case split_part(id, '_', 1) when 'num' then 'number' when 'ent' then 'entity' when 'att' then 'attribute' when 'nat' then 'natural' when 'ref' then 'refutes' when 'ctl' then 'control' else 'unknown' end inferred, family, count(*) n from it group by all",
         "collapse_rule": f"with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, (fn_corr < 0.10 and not lift_infinite and coalesce(lift < 1.3, false)) collapsed from risk0",
     }

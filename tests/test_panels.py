@@ -122,21 +122,21 @@ def test_random_routing_has_the_mean_of_samples_without_replacement(spark):
     assert (got["h"].budget, got["h"].false_accept, got["h"].true_accept) == (0, 1.0, None)
 
 
-@pytest.mark.parametrize("name", ["hash_permutation_null_whole", "replay_permutation_null", "bootstrap_reduction_whole", "policy_random_budget_whole"])
+@pytest.mark.parametrize("name", ["hash_permutation_null", "replay_permutation_null", "bootstrap_reduction", "policy_random_budget"])
 def test_resampling_has_the_sizes_of_the_reference(spark, name):
-    assert (panels.PERMUTATIONS, panels.REPLICATES, panels.ALL_TRIALS) == (3000, 5000, 100)
+    assert (panels.PERMUTATIONS, panels.REPLICATES, panels.TRIALS) == (3000, 5000, 100)
     rows = panels.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
     assert {r.seed for r in rows} == set(range(1, 11)) and len({(r.family, r.seed, getattr(r, "metric", None)) for r in rows}) == len(rows)
 
 
-def test_drift_and_transfer_run_the_whole_grid(spark):
+def test_drift_and_transfer_run_the_grid(spark):
     folder = "/root/testdata/sf0.1"
-    drift = panels.drift_mixture_whole(spark, folder).collect()
+    drift = panels.drift_mixture(spark, folder).collect()
     cells = {(r.target, r.seed, r.share, r["size"]) for r in drift}
     assert len(drift) == len(cells) == 3 * 10 * 5 * 3 and {r.share for r in drift} == {0.0, 0.1, 0.25, 0.5, 1.0}
     assert all(r.complete and r.n == r["size"] and r.p is not None and r.flag is not None for r in drift)
     assert all(len({(r.fn_corr, r.all3) for r in drift if (r.seed, r["size"]) == (s, 95) and r.share == 0}) == 1 for s in range(1, 11))
-    pools = panels.leave_one_family_out_whole(spark, folder).collect()
+    pools = panels.leave_one_family_out(spark, folder).collect()
     assert {(r.target, r.seed) for r in pools} == {(f, s) for f in panels.FAMILIES for s in range(1, 11)} and len(pools) == 50
     assert all((r.pool_n, r.pool_n_clean, r.n_clean, r.n_corrupt) == (150, 150, 150, 150) for r in pools)
     assert all((r.routed > 0) == r.pool_flag and r.routed_calls == 3 * r.routed for r in pools if r.false_accept)
