@@ -42,6 +42,19 @@ def wide(items: DataFrame, rf: DataFrame, grounded: DataFrame, panel: Sequence[s
     return both.withColumns({f"m{i}": (F.col("is_corrupted") & (F.col(f"v{i}") == "true")).cast("int") for i in k})
 
 
+def wide_once(items: DataFrame, log: DataFrame, panel: Sequence[str]) -> DataFrame:
+    """:func:`wide` from the raw log in one pass: the last reference-free and the first grounded verdict of each judge of the panel, by item, summed up before the shuffle."""
+    mode = F.coalesce(spelled("mode"), F.lit("reference_free"))
+    rows = log.select(spelled("judge").alias("judge"), spelled("item_id").alias("id"), "verdict", "seq", mode.alias("mode"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("judge").isin(*panel) & ((F.col("mode") == "reference_free") | F.col("mode").startswith("grounded")))
+    free = F.col("mode") == "reference_free"
+    picked = [f(F.when(F.col("judge") == j, F.col("verdict")), F.when((F.col("judge") == j) & c, F.col("seq"))).alias(f"{name}{i}") for name, f, c in (("v", F.max_by, free), ("g", F.min_by, ~free)) for i, j in enumerate(panel, 1)]
+    both = items.join(rows.groupBy("id").agg(*picked), "id", "left")
+    k = range(1, len(panel) + 1)
+    both = both.withColumns({f"v{i}": F.coalesce(f"v{i}", F.lit("parse_fail")) for i in k})
+    return both.withColumns({f"m{i}": (F.col("is_corrupted") & (F.col(f"v{i}") == "true")).cast("int") for i in k})
+
+
 def _votes(name: str, k: int) -> Column:
     return sum((F.coalesce(F.col(f"{name}{i}") == "true", F.lit(False)).cast("int") for i in range(1, k + 1)), F.lit(0))
 
@@ -88,8 +101,8 @@ def decisions(rows: DataFrame, flag: str = "flag", k: int = 3) -> DataFrame:
     return rows.withColumn("all_true", unanimous(k)).withColumn("x", F.explode(each)).select("*", "x.*").drop("x")
 
 
-def rates(decided: DataFrame, by: Sequence[str]) -> DataFrame:
-    """False-accept, true-accept and residual-consensus rates; all null if any decision of the group is missing."""
+def rates(decided: DataFrame, by: Sequence[str], k: int = 3) -> DataFrame:
+    """False-accept, true-accept and residual-consensus rates, null if any decision of the group is missing, and the budget: items that are grounded, a call of the verifier each, and ``k`` calls of models each."""
     bad, ok = F.col("is_corrupted"), ~F.col("is_corrupted")
     acc = F.coalesce(F.col("accept"), F.lit(False))
     out = decided.groupBy(*by).agg(
@@ -98,7 +111,7 @@ def rates(decided: DataFrame, by: Sequence[str]) -> DataFrame:
     )
     full = F.col("missing_grounded") == 0
     named = {"false_accept": ("fa", "n_corrupt"), "true_accept": ("ta", "n_clean"), "false_consensus": ("fc", "n_corrupt")}
-    return out.select(*by, "n_corrupt", "n_clean", "missing_grounded", *(F.when(full, F.round(rate(F.col(a), F.col(b)), 9)).alias(k) for k, (a, b) in named.items()), "extra_verifier_items")
+    return out.select(*by, "n_corrupt", "n_clean", "missing_grounded", *(F.when(full, F.round(rate(F.col(a), F.col(b)), 9)).alias(name) for name, (a, b) in named.items()), "extra_verifier_items", F.col("extra_verifier_items").alias("extra_verifier_calls"), (F.col("extra_verifier_items") * k).alias("extra_model_calls"))
 
 
 def bounds(decided: DataFrame, by: Sequence[str]) -> DataFrame:

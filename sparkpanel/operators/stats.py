@@ -92,6 +92,38 @@ def risk(counts: DataFrame) -> DataFrame:
     )
 
 
+def legacy_lift(all3: Column, null3: Column) -> Column:
+    """The older convention: no expected triple misses make the lift infinite even if none was seen."""
+    return F.when(null3 > 0, all3 / null3).otherwise(float("inf"))
+
+
+def count_null(counts: DataFrame, by: Sequence[str], permutations: int = 3000) -> DataFrame:
+    """Smoothed p by group (columns of ``by``, p) over permutations drawn from the counts of :func:`miss_counts`.
+
+    The overlap of shuffled miss vectors follows hypergeometric laws of the counts alone, so a group of any number of
+    rows is one row here. Draws are seeded by the group's key. A group without rows has p 1.
+    """
+    by = list(by)
+
+    def draw(batches):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for key, n, s1, s2, s3, seen in zip(pdf[by].itertuples(index=False, name=None), *(pdf[c].astype("int64") for c in ("n", "s1", "s2", "s3", "s123"))):
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, ["null", *key])).encode()).digest()[:8], "big"))
+                x = rng.hypergeometric(s1, n - s1, s2, permutations) if n else np.zeros(permutations, int)
+                t = rng.hypergeometric(x, n - x, s3) if n else x
+                out.append([*key, (int((t >= seen).sum()) + 1) / (permutations + 1)])
+            yield pd.DataFrame(out, columns=[*by, "p"])
+
+    types = dict(counts.dtypes)
+    return counts.select(*by, "n", "s1", "s2", "s3", "s123").mapInPandas(draw, ", ".join(f"{k} {types[k]}" for k in by) + ", p double")
+
+
 def flagged(fn_corr: Column, lift: Column, infinite: Column, p: Column) -> Column:
     """The strict conjunction of the three thresholds."""
     return (fn_corr > MAX_CORRELATION) & (infinite | F.coalesce(lift > MAX_LIFT, F.lit(False))) & (p < MAX_P)

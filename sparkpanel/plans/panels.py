@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cache
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +38,7 @@ def _rf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, folder: str, panel: tuple[str, ...] = PANEL) -> DataFrame:
-    log = _log(spark, folder)
-    return P.wide(_items(spark, folder).select("id", "family", "is_corrupted"), P.verdicts(log), P.verdicts(log, grounded=True, last=False), panel)
+    return P.wide_once(_items(spark, folder).select("id", "family", "is_corrupted"), _log(spark, folder), panel)
 
 
 def _risk(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -147,8 +147,13 @@ def policy_bounds_missing(spark: SparkSession, folder: str) -> DataFrame:
     return P.bounds(_decided(spark, folder), ["family", "seed", "policy"])
 
 
+#: What a summary over seeds has the mean and deviation of.
+METRICS = ("false_accept", "true_accept", "false_consensus", "extra_verifier_items", "extra_verifier_calls", "extra_model_calls")
+
+
 def policy_summary_mean_std(spark: SparkSession, folder: str) -> DataFrame:
-    named = [F.round(f(c), 7).alias(f"{c}_{k}") for c in ("false_accept", "true_accept") for k, f in (("mean", F.avg), ("std", T.std))]
+    """Mean and deviation of six metrics over the seeds, by family and policy."""
+    named = [F.round(f(c), 7).alias(f"{c}_{k}") for c in METRICS for k, f in (("mean", F.avg), ("std", T.std))]
     return policy_rates(spark, folder).groupBy("family", "policy").agg(*named, (F.sum("missing_grounded") == 0).alias("all_complete"), F.sum("missing_grounded").cast("bigint").alias("missing_total"))
 
 
@@ -186,8 +191,14 @@ def threshold_ablation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def invariance_region(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each threshold may move, the others fixed, without any decision changing: from low up to, but not including, high; null if no split is flagged (or, for p, none isn't)."""
     risk = risk_flag_pairwise(spark, folder)
-    return risk.groupBy("flag").agg(F.min("fn_corr").alias("corr_low"), F.max("fn_corr").alias("corr_high"), F.min("lift").alias("lift_low"), F.max("lift").alias("lift_high"), F.min("p").alias("p_low"), F.max("p").alias("p_high"))
+    flagged, unflagged = F.col("flag"), ~F.col("flag")
+    least = lambda c: F.min(F.when(flagged, c))
+    lift = F.when(F.col("lift_infinite"), F.lit(float("inf"))).otherwise(F.col("lift"))
+    ends = risk.agg(least(F.col("fn_corr")).alias("corr"), least(lift).alias("lift"), F.max(F.when(flagged, F.col("p"))).alias("p_low"), F.min(F.when(unflagged, F.col("p"))).alias("p_high"))
+    each = F.array(*(F.struct(F.lit(k).alias("statistic"), low.alias("low"), F.col(high).alias("high")) for k, low, high in (("fn_corr", F.lit(0.0), "corr"), ("lift", F.lit(0.0), "lift"), ("p", F.col("p_low"), "p_high"))))
+    return ends.select(F.explode(each).alias("x")).select("x.*")
 
 
 def wilson_policy_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -275,12 +286,6 @@ def leave_one_family_out(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("*", routed.alias("routed"), (3 * routed).alias("routed_calls")).drop("accepts")
 
 
-def flag_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    """Agreement of the two panels' correlation flags over families."""
-    two = [T.risk(T.miss_counts(_wide(spark, folder, p).where("is_corrupted"), ["family"])).select("family", (F.col("fn_corr") > T.MAX_CORRELATION).alias(n)) for n, p in (("a", PANEL), ("b", SECOND))]
-    return two[0].join(two[1], "family").agg(*(F.count_if(x & y).alias(n) for n, x, y in (("hh", F.col("a"), F.col("b")), ("hn", F.col("a"), ~F.col("b")), ("nh", ~F.col("a"), F.col("b")), ("nn", ~F.col("a"), ~F.col("b")))))
-
-
 def utility_breakeven(spark: SparkSession, folder: str) -> DataFrame:
     """For each family, seed and policy against plain majority: false accepts avoided, references spent and the price at which they cancel."""
     r = policy_rates(spark, folder).select("family", "seed", "policy", "false_accept", "n_corrupt", "extra_verifier_items")
@@ -317,13 +322,13 @@ QUERIES = {
     for f in (
         bootstrap_reduction, hash_permutation_null, policy_random_budget, drift_mixture, leave_one_family_out, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics,
         balanced_accuracy, parse_failures, verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check,
-        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, flag_confusion, utility_breakeven,
+        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, utility_breakeven,
     )
 }
 
 
 @cache
-def _sql() -> dict[str, str]:
+def _sql() -> tuple[dict[str, str], SimpleNamespace]:
     s = "lower(trim({}, ' \t\n\r '))".format
     mode = f"coalesce({s('mode')}, 'reference_free')"
 
@@ -377,7 +382,7 @@ cal as (select * from roles where role = 'calibration' and is_corrupted)"""
     cnt = lambda c: f"count(*) filter (where {c})"
     rates = f"""pr as (select family, seed, policy, {cnt('is_corrupted')} n_corrupt, {cnt('not is_corrupted')} n_clean, {cnt('accept is null')} missing_grounded,
  case when {cnt('accept is null')} = 0 then {ratio(cnt('is_corrupted and accept'), cnt('is_corrupted'))} end false_accept, case when {cnt('accept is null')} = 0 then {ratio(cnt('not is_corrupted and accept'), cnt('not is_corrupted'))} end true_accept,
- case when {cnt('accept is null')} = 0 then {ratio(cnt('is_corrupted and accept and una'), cnt('is_corrupted'))} end false_consensus, {cnt('escalated')} extra_verifier_items from dc group by all)"""
+ case when {cnt('accept is null')} = 0 then {ratio(cnt('is_corrupted and accept and una'), cnt('is_corrupted'))} end false_consensus, {cnt('escalated')} extra_verifier_items, {cnt('escalated')} extra_verifier_calls, 3 * {cnt('escalated')} extra_model_calls from dc group by all)"""
     full = f"{flags}, {dec}, {rates}"
     wil = "hits::double / n::double"
     z = T.Z95
@@ -404,17 +409,17 @@ select ht.family, ht.seed, max(n) n, round(max(obs::double / n), 9) all3, round(
         "cache_repair": f"with {base()}, e as (select family, unnest([g1, g2, g3]) g from w where rfm) select family, {cnt('g is null')} n_missing, count(*) filter (where g = 'parse_fail') n_failed, count(*) n_needed from e group by family",
         "policy_rates": f"with {full} select * from pr",
         "policy_bounds_missing": f"with {flags}, {dec} select family, seed, policy, " + ", ".join(f"coalesce(round(({cnt(f'{c} and accept')} + {extra})::double / nullif({cnt(c)}, 0), 9), 0.0) {name}" for c, a in (("is_corrupted", "fa"), ("not is_corrupted", "ta")) for name, extra in ((f"{a}_low", "0"), (f"{a}_high", cnt(f"{c} and accept is null")))) + " from dc group by all",
-        "policy_summary_mean_std": f"with {full} select family, policy, " + ", ".join(f"round(avg({c}), 7) {c}_mean, round(case when count({c}) = 1 then 0.0 else stddev_samp({c}) end, 7) {c}_std" for c in ("false_accept", "true_accept")) + ", sum(missing_grounded) = 0 all_complete, sum(missing_grounded)::bigint missing_total from pr group by family, policy",
+        "policy_summary_mean_std": f"with {full} select family, policy, " + ", ".join(f"round(avg({c}), 7) {c}_mean, round(case when count({c}) = 1 then 0.0 else stddev_samp({c}) end, 7) {c}_std" for c in METRICS) + ", sum(missing_grounded) = 0 all_complete, sum(missing_grounded)::bigint missing_total from pr group by family, policy",
         "identity_check": f"with {flags}, {dec} select family, seed, count(*) filter (where a.accept is distinct from b.accept) violations, count(*) n from (select * from dc where policy = 'risk_routed' and flag) a join (select family, seed, id, accept from dc where policy = 'ground_all_accepts' and flag) b using (family, seed, id) group by family, seed",
         "cross_family": f"with {flags} select family, round(avg(fn_corr), 8) corr_mean, round(avg(lift), 8) lift_mean, {cnt('lift_infinite')} n_infinite, {cnt('flag')} n_flagged, min(fn_corr) corr_min, max(fn_corr) corr_max from fl group by family",
         "threshold_ablation": f"with {flags}, e as (" + " union all ".join(f"select '{k}' as rule, ({c}) <> flag differs from fl" for k, c in (("corr", f"fn_corr > {T.MAX_CORRELATION}"), ("lift", f"lift_infinite or coalesce(lift > {T.MAX_LIFT}, false)"), ("p", f"coalesce(p < {T.MAX_P}, false)"))) + f") select rule, {cnt('differs')} errors, count(*) n from e group by rule",
-        "invariance_region": f"with {flags} select flag, min(fn_corr) corr_low, max(fn_corr) corr_high, min(lift) lift_low, max(lift) lift_high, min(p) p_low, max(p) p_high from fl group by flag",
+        "invariance_region": f"""with {flags}, e as (select min(fn_corr) filter (where flag) c, min(case when lift_infinite then 'inf'::double else lift end) filter (where flag) l, max(p) filter (where flag) pl, min(p) filter (where not flag) ph from fl)
+select 'fn_corr' as statistic, 0.0::double low, c as high from e union all select 'lift', 0.0::double, l from e union all select 'p', pl, ph from e""",
         "wilson_policy_rates": f"with {base()}, h as (select family, {cnt('rfm')} hits, count(*) n from w where is_corrupted group by family) select family, hits, n, round(greatest(0.0, {mid} - {half}), 9) low, round(least(1.0, {mid} + {half}), 9) high from h",
         "crossfit_counts": " union all ".join(
             f"select * from (with {base(panel)}, f as (select *, (('0x' || substr(sha256(concat_ws('|', 'fold', id)), 1, 4))::bigint % 5)::varchar fold from w) select '{name}' as panel, coalesce(fold, 'pooled') fold, {cnt('is_corrupted')} n_false, {cnt('not is_corrupted')} n_clean, {cnt('is_corrupted and rfm')} rf_false_accepts, {cnt('not is_corrupted and rfm')} rf_true_accepts, {cnt('is_corrupted and rfm and not gm')} corrected, {cnt('not is_corrupted and rfm and not gm')} lost, {cnt('not rfm')} avoided, {cnt('rfm and gm is null')} as unknown from f group by rollup (fold))"
             for name, panel in (("first", PANEL), ("second", SECOND))
         ),
-        "flag_confusion": f"with a as (with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} a from risk0), b as (with {base(SECOND)}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, fn_corr > {T.MAX_CORRELATION} b from risk0) select {cnt('a and b')} hh, {cnt('a and not b')} hn, {cnt('not a and b')} nh, {cnt('not a and not b')} nn from a join b using (family)",
         "utility_breakeven": f"with {full}, r as (select * from pr) select r.family, r.seed, r.policy, round((b.false_accept - r.false_accept) * r.n_corrupt, 6) avoided, r.extra_verifier_items, case when r.extra_verifier_items > 0 then round((b.false_accept - r.false_accept) * r.n_corrupt / r.extra_verifier_items, 8) end breakeven from r join (select family, seed, false_accept from r where policy = 'rf_majority') b on r.family = b.family and r.seed = b.seed where r.policy <> 'rf_majority' and r.false_accept is not null",
     }
     seeds = f"(select unnest([{', '.join(map(str, SEEDS))}]) seed)"
@@ -445,7 +450,8 @@ from arf a join stf i on i.seed = a.seed join ev on ev.target = a.target and ev.
         "family_inference": f"with {base()} select case split_part(id, '_', 1) when 'num' then 'number' when 'ent' then 'entity' when 'att' then 'attribute' when 'nat' then 'natural' when 'ref' then 'refutes' when 'ctl' then 'control' else 'unknown' end inferred, family, count(*) n from it group by all",
         "collapse_rule": f"with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, (fn_corr < 0.10 and not lift_infinite and coalesce(lift < 1.3, false)) collapsed from risk0",
     }
-    return out
+    return out, SimpleNamespace(base=base, flags=flags, dec=dec, full=full, cnt=cnt, ratio=ratio, risk=risk, law=law, spelled=s, split=split, lofo=out["leave_one_family_out"])
 
 
-SQL = _sql()
+#: The SQL of these queries, and the parts of it that other modules build on.
+SQL, PARTS = _sql()

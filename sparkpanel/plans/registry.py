@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panels, quality, texts
+from . import evidence, experiments, panels, quality, texts
 
-MODULES = (quality, panels, texts)
+MODULES = (quality, panels, experiments, texts, evidence)
 FLAGSHIP = "risk_flag_pairwise"
 
 

@@ -128,12 +128,6 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.bm25(table(spark, folder, "documents").select("doc_id", "text"), queries).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def retrieval_recall(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "retrieval_refs").select("is_corrupted", F.explode("refs").alias("condition", "r"))
-    t = F.col("r.n_tokens")
-    return rows.groupBy("condition", "is_corrupted").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("r.hit").cast("double")), 9).alias("hit_rate"), F.round(F.avg("r.recall"), 9).alias("recall"), F.min(t).alias("tokens_min"), F.percentile(t, F.lit(0.5)).cast("int").alias("tokens_median"), F.max(t).alias("tokens_max"))
-
-
 def hit_miss_strata(spark: SparkSession, folder: str) -> DataFrame:
     """Grounded verdicts on corrupted references by whether retrieval hit."""
     refs = table(spark, folder, "retrieval_refs").where("is_corrupted").select(spelled("item_id").alias("id"), F.explode("refs").alias("condition", "r")).groupBy("id", "condition").agg(F.max("r.hit").alias("hit"))
@@ -141,10 +135,6 @@ def hit_miss_strata(spark: SparkSession, folder: str) -> DataFrame:
     return told.join(refs, ["id", "condition"]).groupBy("condition", "hit").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "true").alias("n_true"))
 
 
-def evidence_reference(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.evidence(table(spark, folder, "retrieval_refs"), table(spark, folder, "documents"))
-
-
 def _links(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "retrieval_refs").select(spelled("item_id").alias("item"), F.explode("gold_evidence.doc_id").alias("doc"))
 
@@ -187,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedupe_first, atomic_filter_attrition, frame_filter, length_bins, hedged_claims, relation_types, number_extract, number_classify, number_corrupt, obvious_control, entity_extract, entity_norm_filter, article_aware_replacement, parsed_truth, json_answers,
-        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, retrieval_recall, hit_miss_strata, evidence_reference, components, fold_balance, hash_manifest, audit_gates, verdict_window_recalibration, judge_replay,
+        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, hit_miss_strata, components, fold_balance, hash_manifest, audit_gates, verdict_window_recalibration, judge_replay,
     )
 }
 
@@ -225,7 +215,6 @@ p as (select doc_id, dl, term, count(*) tf from (select doc_id, len(t) dl, unnes
 q as (select query_id, term, count(*) times from (select seq query_id, unnest(regexp_extract_all(lower(coalesce(statement, '')), '[\\p{{L}}\\p{{N}}_]+')) term from retrieval_refs where seq % 20 = 0) group by all),
 s as (select query_id, doc_id, round(sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * {retrieval.K1 + 1}::double / (tf + {retrieval.K1}::double * (1 - {retrieval.B}::double + {retrieval.B}::double * dl / avgdl))), 9) score from q join p using (term) join f using (term), z group by all)
 select query_id, doc_id, score, rk as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rk from s) where rk <= 3""",
-    "retrieval_recall": "with r as (select is_corrupted, e.key as condition, e.value v from (select is_corrupted, unnest(map_entries(refs)) e from retrieval_refs)) select condition, is_corrupted, count(*) n, round(avg(v.hit::int::double), 9) hit_rate, round(avg(v.recall), 9) recall, min(v.n_tokens) tokens_min, trunc(quantile_cont(v.n_tokens, 0.5))::int tokens_median, max(v.n_tokens) tokens_max from r group by all",
     "hit_miss_strata": f"with r as (select id, e.key as condition, max(e.value.hit::int) = 1 hit from (select {_s('item_id')} id, unnest(map_entries(refs)) e from retrieval_refs where is_corrupted) group by all), t as (select {_s('item_id')} id, {_s('condition')} as condition, verdict from rf_cache where condition is not null and item_id is not null) select condition, hit, count(*) n, count(*) filter (where verdict = 'true') n_true from t join r using (id, condition) group by all",
     "components": f"with recursive l as (select distinct {_s('item_id')} item, unnest(gold_evidence).doc_id doc from retrieval_refs where item_id is not null), e as (select distinct a.item a, b.item b from l a join l b on a.doc = b.doc), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a item, min(b) root from r group by a",
     "hash_manifest": "with b as (select name, concat_ws('|', name, script, array_to_string(args, ','), output, expected) body from release_jobs) select name, sha256(body) sha256, length(body)::bigint bytes from b",
