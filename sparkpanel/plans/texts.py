@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import spelled, table
@@ -151,19 +151,16 @@ def fold_balance(spark: SparkSession, folder: str) -> DataFrame:
     return graph.folds(groups, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_clean").cast("bigint").alias("n_clean"), F.sum("n_false").cast("bigint").alias("n_false"))
 
 
-def hash_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    body = F.concat_ws("|", "name", "script", F.array_join("args", ","), "output", "expected")
-    return table(spark, folder, "release_jobs").select("name", F.sha2(body, 256).alias("sha256"), F.length(body).cast("bigint").alias("bytes"))
+def manifest_body() -> Column:
+    return F.concat_ws("|", "name", "script", F.array_join("args", ","), "output", "expected")
 
 
-def audit_gates(spark: SparkSession, folder: str) -> DataFrame:
-    """The gate of each dataset's items by their corruption rules: none is blank for corrupted items."""
-    rows = items_once(table(spark, folder, "items")).where("source_dataset is not null").select("source_dataset", "is_corrupted", "length_bin")
-    g = rows.groupBy("source_dataset").agg(F.count_if(F.col("length_bin").isNull()).alias("blank"), F.count_if("is_corrupted").alias("bad"))
-    return g.select("source_dataset", F.when(F.col("blank") > 0, "PENDING").when(F.col("bad") <= 5, "GREEN").when(F.col("bad") <= 8, "YELLOW").otherwise("RED").alias("gate"))
+def hash_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    body = manifest_body()
+    return table(spark, folder, "release_jobs").select("name", F.sha2(body, 256).alias("sha256"), F.length(body).cast("bigint").alias("bytes"))
 
 
-def verdict_window_recalibration(spark: SparkSession, folder: str) -> DataFrame:
+def verdict_windows(spark: SparkSession, folder: str) -> DataFrame:
     out = stream.windowed(table(spark, folder, "rf_cache").where("logged_at is not null and judge is not null"), "logged_at", "1 day")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "judge", "n", "n_true", "n_fail")
 
@@ -177,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedupe_first, atomic_filter_attrition, frame_filter, length_bins, hedged_claims, relation_types, number_extract, number_classify, number_corrupt, obvious_control, entity_extract, entity_norm_filter, article_aware_replacement, parsed_truth, json_answers,
-        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, hit_miss_strata, components, fold_balance, hash_manifest, audit_gates, verdict_window_recalibration, judge_replay,
+        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, hit_miss_strata, components, fold_balance, hash_manifest, verdict_windows, judge_replay,
     )
 }
 
@@ -218,8 +215,7 @@ select query_id, doc_id, score, rk as rank from (select *, row_number() over (pa
     "hit_miss_strata": f"with r as (select id, e.key as condition, max(e.value.hit::int) = 1 hit from (select {_s('item_id')} id, unnest(map_entries(refs)) e from retrieval_refs where is_corrupted) group by all), t as (select {_s('item_id')} id, {_s('condition')} as condition, verdict from rf_cache where condition is not null and item_id is not null) select condition, hit, count(*) n, count(*) filter (where verdict = 'true') n_true from t join r using (id, condition) group by all",
     "components": f"with recursive l as (select distinct {_s('item_id')} item, unnest(gold_evidence).doc_id doc from retrieval_refs where item_id is not null), e as (select distinct a.item a, b.item b from l a join l b on a.doc = b.doc), r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a item, min(b) root from r group by a",
     "hash_manifest": "with b as (select name, concat_ws('|', name, script, array_to_string(args, ','), output, expected) body from release_jobs) select name, sha256(body) sha256, length(body)::bigint bytes from b",
-    "audit_gates": f"with {_IT}, g as (select source_dataset, count(*) filter (where length_bin is null) blank, count(*) filter (where is_corrupted) bad from it where source_dataset is not null group by 1) select source_dataset, case when blank > 0 then 'PENDING' when bad <= 5 then 'GREEN' when bad <= 8 then 'YELLOW' else 'RED' end gate from g",
-    "verdict_window_recalibration": f"select strftime(logged_at, '%Y-%m-%d') as day, {_s('judge')} judge, count(*) n, count(*) filter (where verdict = 'true') n_true, count(*) filter (where verdict = 'parse_fail') n_fail from rf_cache where logged_at is not null and judge is not null group by all",
+    "verdict_windows": f"select strftime(logged_at, '%Y-%m-%d') as day, {_s('judge')} judge, count(*) n, count(*) filter (where verdict = 'true') n_true, count(*) filter (where verdict = 'parse_fail') n_fail from rf_cache where logged_at is not null and judge is not null group by all",
 }
 _MONTHS = " or ".join(f"contains(near, '{m}')" for m in X.MONTHS)
 SQL["obvious_control"] = f"""with n as (select claim_id, number.text t, try_cast(replace(number.text, ',', '') as bigint) v, {_KIND} k, strpos(claim_text, number.text) p, claim_text c from claim_pool where number is not null),
