@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, experiments, panels, quality, release, texts
+from . import builders, evidence, experiments, panels, quality, release, texts
 
-MODULES = (quality, panels, experiments, texts, evidence, release)
+MODULES = (quality, panels, experiments, texts, evidence, release, builders)
 FLAGSHIP = "risk_flag_pairwise"
 
 

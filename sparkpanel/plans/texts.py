@@ -183,6 +183,9 @@ _FIRST = "fst as (select claim_id from (select claim_id, row_number() over (part
 _WORDS = "(case when trim(claim_text) = '' then 0 else len(regexp_split_to_array(trim(claim_text), '\\s+')) end)"
 _norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 _IT = f"it as (select id, is_corrupted, length_bin, source_dataset from (select *, row_number() over (partition by {_s('id')} order by seq desc) rn from (select * replace ({_s('id')} as id) from items where id is not null)) where rn = 1 and kind is not null and kind <> 'control' and is_corrupted is not null)"
+_OPENS = "^" + X.ENTITY.removeprefix("\\b")
+_names = lambda t: f"(list_transform(list_filter(list_transform(regexp_extract_all({t}, '{X.ENTITY}'), lambda q, i: {{'e': trim(q), 'i': i}}), lambda z: not (z.i = 1 and regexp_matches({t}, '{_OPENS}') and not contains(z.e, ' ')) and z.e not in ({', '.join(map(repr, X.ENTITY_STOP))}) and lower(z.e) not in ('true', 'false') and not regexp_matches(z.e, '^The ({'|'.join(X.MONTHS)})\\b')), lambda z: z.e))"
+_NAMES = f"nm0 as (select claim_id, claim_text, {_names('claim_text')} l from claim_pool), nm as (select claim_id, claim_text, list_filter(l, lambda q, i: list_position(l, q) = i) names from nm0)"
 _KIND = "case when regexp_matches(replace(number.text, ',', ''), '^\\d{4}$') and replace(number.text, ',', '')::int between 1000 and 2099 then 'year' when regexp_matches(replace(number.text, ',', ''), '^\\d+$') then 'integer' else 'decimal' end"
 
 
@@ -195,10 +198,10 @@ SQL = {
     "atomic_filter_attrition": f"with {_FIRST} select case when f.claim_id is null then 'duplicate' when {_WORDS} < 6 or {_WORDS} > 35 then 'length' when regexp_matches(claim_text, '[?;]') then 'question_or_semicolon' when len(claim_text) - len(replace(claim_text, '.', '')) > 1 then 'sentences' when regexp_matches(claim_text, '{X.HEDGE}') then 'hedge' else 'kept' end reason, count(*) n from claim_pool c left join fst f using (claim_id) group by all",
     "frame_filter": f"select {_case(X.FRAMES, 'claim_text', 'kept')} reason, count(*) n from claim_pool group by all",
     "length_bins": f"select case when {_WORDS} <= 10 then 'short' when {_WORDS} <= 18 then 'medium' else 'long' end bin, count(*) n, min({_WORDS})::int low, max({_WORDS})::int high from claim_pool group by 1",
-    "hedged_claims": "select claim_id from claim_pool where " + " or ".join(f"contains(lower(claim_text), '{h}')" for h in X.HEDGES),
+    "hedged_claims": "select claim_id from claim_pool where " + " or ".join(f"contains(' ' || lower(claim_text) || ' ', '{h}')" for h in X.HEDGES),
     "relation_types": f"select {_case(X.RELATIONS, 'claim_text', 'none')} relation, count(*) n from claim_pool group by all",
     "number_classify": f"select claim_id, {_KIND} kind from claim_pool where number is not null",
-    "entity_extract": f"with e as (select claim_id, claim_text, unnest(regexp_extract_all(claim_text, '{X.ENTITY}')) e from claim_pool) select distinct claim_id, trim(e) entity from e where trim(e) not in ({', '.join(map(repr, X.ENTITY_STOP))}) and lower(trim(e)) not in ('true', 'false') and not (not contains(trim(e), ' ') and starts_with(claim_text, trim(e)))",
+    "entity_extract": f"with {_NAMES} select distinct claim_id, unnest(names) entity from nm",
     "entity_norm_filter": f"select seq, contains(' ' || {_norm('statement')} || ' ', ' ' || {_norm('original_entity')} || ' ') old_stands, contains(' ' || {_norm('statement')} || ' ', ' ' || {_norm('new_entity')} || ' ') new_stands, {_norm('new_entity')} entity from items where original_entity is not null and new_entity is not null",
     "article_aware_replacement": f"with a as (select *, case when contains(lower(statement), ' an ' || lower(shown_attribute)) then 'an' when contains(lower(statement), ' a ' || lower(shown_attribute)) then 'a' else '' end article from items where original_attribute is not null and shown_attribute is not null) select seq, article, case article when 'an' then regexp_matches({_norm('shown_attribute')}, '^[aeiou]') when 'a' then not regexp_matches({_norm('shown_attribute')}, '^[aeiou]') else true end matches, case when original_attribute = upper(original_attribute) and original_attribute <> lower(original_attribute) then upper(shown_attribute) when original_attribute[1] = upper(original_attribute[1]) and original_attribute[1] <> lower(original_attribute[1]) then upper(shown_attribute[1]) || shown_attribute[2:] else lower(shown_attribute[1]) || shown_attribute[2:] end cased from a",
     "parsed_truth": "select verdict, coalesce(nullif(lower(regexp_extract(upper(coalesce(raw_response, '')), '\\b(TRUE|FALSE)\\b', 1)), ''), 'parse_fail') parsed, count(*) n from rf_cache group by all",
@@ -221,6 +224,15 @@ _MONTHS = " or ".join(f"contains(near, '{m}')" for m in X.MONTHS)
 SQL["obvious_control"] = f"""with n as (select claim_id, number.text t, try_cast(replace(number.text, ',', '') as bigint) v, {_KIND} k, strpos(claim_text, number.text) p, claim_text c from claim_pool where number is not null),
 m as (select *, case when p > 0 then substr(c, greatest(p - 30, 1)::bigint, (length(t) + least(p - 1, 30) + 30)::bigint) else '' end near from n)
 select claim_id, case when k = 'year' and v between 1700 and 2025 and not contains(t, ',') then '3026' when v between 1 and 31 and ({_MONTHS}) then '99' when v >= 1000 then '999,999,999' else '999' end shown from m"""
+_SHOWN = f"""nu as (select claim_id, claim_text t, number.text n, number.start s, number.end e, replace(number.text, ',', '') raw, {_KIND} k from claim_pool where number is not null),
+nw as (select *, case when regexp_matches(raw, '^\\d+$') then try_cast(raw as bigint) end w, try_cast(raw as double) v, case when contains(raw, '.') then length(split_part(raw, '.', -1)) else 1 end places from nu),
+nm0 as (select *, case when w = 0 then 1 else round_even(w::double * case when w % 2 = 0 then 1.2::double else 0.8::double end, 0)::bigint end m0, printf('%.10f', round_even(case when floor(abs(v)) % 2 = 0 then v * 1.2::double else v * 0.8::double end, 6)) dec from nw),
+sh as (select *, case when k = 'year' then case when regexp_matches(raw, '^\\d{{3,4}}$') then (case when w % 2 = 0 then w + 2 else w - 2 end)::varchar end when contains(raw, '.') or k = 'decimal' then case when v is not null then substr(dec, 1, length(dec) - 10 + places) end
+ when w is not null then case when contains(n, ',') then format('{{:,}}', case when m0 = w then w + 1 else m0 end) else (case when m0 = w then w + 1 else m0 end)::varchar end end shown from nm0)"""
+_pairs = lambda a, b: f"list_filter(list_zip(regexp_extract_all({a}, '{X.PLAIN_NUMBER}'), regexp_extract_all({b}, '{X.PLAIN_NUMBER}')), lambda z: z[1] is distinct from z[2])"
+_count = lambda a: f"len(regexp_extract_all({a}, '{X.PLAIN_NUMBER}'))"
+SQL["number_corrupt"] = f"with {_SHOWN}, ch as (select *, substr(t, 1, s) || shown || substr(t, e + 1) as changed from sh) select claim_id, shown, changed, case when changed is null or changed = t then 'generated_no_change' when {_count('t')} <> {_count('changed')} then 'number_count_changed' when len({_pairs('t', 'changed')}) <> 1 then 'not_exactly_one_number_changed' else 'accepted' end status from ch"
+SQL["judge_replay"] = f"with {_IT.replace('select id, is_corrupted,', 'select id, statement, is_corrupted,')}, j as (select unnest(['rule-a', 'rule-b']) judge) select judge, case when ('0x' || substr(sha256(judge || '||' || coalesce(statement, '')), 3, 2))::int % 2 = 1 then 'true' else 'false' end verdict, count(*) n from it, j group by all"
 SQL["evidence_slice"] = """with e as (select claim_id, unnest(evidence_stub) s, generate_subscripts(evidence_stub, 1) pos from claim_pool), f as (select claim_id, s.wiki_url wiki_url, s.sentence_id sentence_id, min(pos) p from e where s.wiki_url is not null group by all)
 select claim_id, wiki_url, sentence_id from (select *, row_number() over (partition by claim_id order by p) rn from f) where rn <= 4"""
 SQL["fold_balance"] = SQL["components"].replace("select a item, min(b) root from r group by a", f"""c as (select a item, min(b) root from r group by a),
