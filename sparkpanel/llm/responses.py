@@ -95,8 +95,8 @@ def _votes() -> dict[str, list[Column]]:
         "truncated": [vote(~closed & ~explained, explained), vote(cut & ~explained, explained), vote((F.col("__tokens") >= 64) & ~closed, closed), vote((dangling & ~closed | partial) & ~explained, explained), vote(None, told & closed)],
         "refusal": [vote(refusing, ~refusing), vote(soft), vote(~told, told), vote(None, copied | frame | ~closed), vote(None, nothing | transport | strange)],
         "copy": [
-            vote(copied, known & (overlap < 0.5) | (words < 5)), vote(frame), vote(~told & (copied | ~known & (closed | frame) & (frame | ~own) & ~refusing & ~strange & (words >= 7)), told),
-            vote(~own & (words >= 5), own), vote(None, nothing | transport | strange | (refusing & ~copied)),
+            vote(copied, known & (overlap < 0.5) | (words < 5)), vote(frame), vote(~told & (copied | ~known & (closed | frame) & (frame | ~own) & ~refusing & ~strange & (words >= 7))),
+            vote(~own & (words >= 5), own), vote(None, told | nothing | transport | strange | (refusing & ~copied) | (~closed & ~frame & ~copied)),
         ],
         "other_language": [vote(alien | foreign, ~alien & ~foreign), vote(alien), vote(~english, english & ~alien), vote(accented), vote(None, (nothing | transport | copied | (told & ~foreign)) & ~alien)],
     }
