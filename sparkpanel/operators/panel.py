@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import spelled
@@ -144,7 +144,8 @@ def mean_pair(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(b, "id").where("judge_a < judge_b").groupBy(*by, "judge_a", "judge_b").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(d(F.col("va") == F.col("vb"))), 9).alias("agreement"))
 
 
-def first_rows(frame: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each group in the given order."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return frame.withColumn("__place", place).where("__place = 1").drop("__place")
+def first_rows(frame: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each group in the given order, nulls last; picked by an aggregation that combines before the shuffle, so a group of any size is one row a task."""
+    place = F.struct(*(x for c in order for x in (F.col(c).isNull(), F.col(c))))
+    rest = [c for c in frame.columns if c not in by]
+    return frame.groupBy(*by).agg(F.min_by(F.struct(*rest), place).alias("__first")).select(*by, "__first.*")

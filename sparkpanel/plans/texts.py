@@ -18,7 +18,7 @@ def _claims(spark: SparkSession, folder: str) -> DataFrame:
 
 def dedupe_first(spark: SparkSession, folder: str) -> DataFrame:
     """The first claim of each text, by rank, before any filter."""
-    return first_rows(_claims(spark, folder).select("claim_id", "claim_text", "pool_rank"), ["claim_text"], [F.asc("pool_rank"), F.asc("claim_id")]).select("claim_id")
+    return first_rows(_claims(spark, folder).select("claim_id", "claim_text", "pool_rank"), ["claim_text"], ["pool_rank", "claim_id"]).select("claim_id")
 
 
 def atomic_filter_attrition(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,12 +143,19 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
     return graph.components(_links(spark, folder))
 
 
-def fold_balance(spark: SparkSession, folder: str) -> DataFrame:
-    """Folds of whole components with their clean and corrupted items."""
-    labels = graph.components(_links(spark, folder))
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
     classes = table(spark, folder, "retrieval_refs").groupBy(spelled("item_id").alias("item")).agg(F.max("is_corrupted").alias("bad"))
-    groups = labels.join(classes, "item").groupBy("root").agg(F.count_if(~F.col("bad")).alias("n_clean"), F.count_if("bad").alias("n_false"))
-    return graph.folds(groups, 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_clean").cast("bigint").alias("n_clean"), F.sum("n_false").cast("bigint").alias("n_false"))
+    return graph.groups(_links(spark, folder), graph.components(_links(spark, folder)).join(classes, "item"))
+
+
+def evidence_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that share evidence, directly or through others: their sorted numbers, documents and classes."""
+    return _groups(spark, folder)
+
+
+def fold_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Folds of whole groups with their clean and corrupted items."""
+    return graph.folds(_groups(spark, folder), 5).groupBy("fold").agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n_clean").cast("bigint").alias("n_clean"), F.sum("n_false").cast("bigint").alias("n_false"))
 
 
 def manifest_body() -> Column:
@@ -174,7 +181,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedupe_first, atomic_filter_attrition, frame_filter, length_bins, hedged_claims, relation_types, number_extract, number_classify, number_corrupt, obvious_control, entity_extract, entity_norm_filter, article_aware_replacement, parsed_truth, json_answers,
-        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, hit_miss_strata, components, fold_balance, hash_manifest, verdict_windows, judge_replay,
+        evidence_slice, stratified_counts, length_matched_sample, labelwise_sample, proportional_order, bm25_topk, hit_miss_strata, components, evidence_groups, fold_balance, hash_manifest, verdict_windows, judge_replay,
     )
 }
 
@@ -235,8 +242,12 @@ SQL["number_corrupt"] = f"with {_SHOWN}, ch as (select *, substr(t, 1, s) || sho
 SQL["judge_replay"] = f"with {_IT.replace('select id, is_corrupted,', 'select id, statement, is_corrupted,')}, j as (select unnest(['rule-a', 'rule-b']) judge) select judge, case when ('0x' || substr(sha256(judge || '||' || coalesce(statement, '')), 3, 2))::int % 2 = 1 then 'true' else 'false' end verdict, count(*) n from it, j group by all"
 SQL["evidence_slice"] = """with e as (select claim_id, unnest(evidence_stub) s, generate_subscripts(evidence_stub, 1) pos from claim_pool), f as (select claim_id, s.wiki_url wiki_url, s.sentence_id sentence_id, min(pos) p from e where s.wiki_url is not null group by all)
 select claim_id, wiki_url, sentence_id from (select *, row_number() over (partition by claim_id order by p) rn from f) where rn <= 4"""
-SQL["fold_balance"] = SQL["components"].replace("select a item, min(b) root from r group by a", f"""c as (select a item, min(b) root from r group by a),
-k as (select {_s('item_id')} item, max(is_corrupted::int) = 1 bad from retrieval_refs where item_id is not null group by 1), g as (select root, count(*) filter (where not bad) n_clean, count(*) filter (where bad) n_false from c join k using (item) group by root),
-m as (select n_clean, n_false, coalesce(sum(count(*)) over (order by greatest(n_clean, n_false) desc, n_clean + n_false desc, n_clean rows between unbounded preceding and 1 preceding), 0) st from g group by n_clean, n_false),
-p as (select g.*, row_number() over (partition by g.n_clean, g.n_false order by sha256('fold|' || root)) place, st from g join m on g.n_clean = m.n_clean and g.n_false = m.n_false)
-select ((st + place - 1) % 5)::bigint fold, count(*) n_groups, sum(n_clean)::bigint n_clean, sum(n_false)::bigint n_false from p group by 1""").replace("where r.b = e.a)", "where r.b = e.a)").replace("r.b = e.a) c as", "r.b = e.a), c as")
+_GROUPED = SQL["components"].replace("select a item, min(b) root from r group by a", f""", c as (select a item, min(b) root from r group by a),
+k as (select {_s('item_id')} item, max(is_corrupted::int) = 1 bad from retrieval_refs where item_id is not null group by 1),
+g as (select root, list_sort(list(distinct item)) items, count(*) filter (where not bad) n_clean, count(*) filter (where bad) n_false from c join k using (item) group by root)""")
+SQL["evidence_groups"] = _GROUPED + ", dd as (select root, list_sort(list(distinct doc)) docs from l join c using (item) where doc is not null group by root) select g.root, array_to_string(items, ',') item_ids, array_to_string(docs, ',') doc_ids, n_clean, n_false from g join dd using (root)"
+SQL["fold_balance"] = _GROUPED + f""", o as (select *, row_number() over (order by greatest(n_clean, n_false) desc, n_clean + n_false desc, n_clean desc, sha256('fold|' || root)) i from g), t as (select sum(n_clean)::bigint tc, sum(n_false)::bigint tf from g),
+w(i, cs, fs, fold) as (select 0::bigint, [0, 0, 0, 0, 0]::bigint[], [0, 0, 0, 0, 0]::bigint[], -1::bigint union all
+ select i, list_transform(cs, lambda x, j: x + case when j = z.k + 1 then n_clean else 0 end), list_transform(fs, lambda x, j: x + case when j = z.k + 1 then n_false else 0 end), z.k from (
+  select o.i, cs, fs, n_clean, n_false, list_sort(list_transform([0, 1, 2, 3, 4], lambda q: {{'e': n_clean * (5 * cs[q + 1] - tc) + n_false * (5 * fs[q + 1] - tf), 'm': greatest(list_max(list_transform(list_zip(cs, fs), lambda y: y[1] + y[2])), cs[q + 1] + fs[q + 1] + n_clean + n_false), 'k': q::bigint}}))[1] z from w join o on o.i = w.i + 1, t))
+select fold, count(*) n_groups, sum(n_clean)::bigint n_clean, sum(n_false)::bigint n_false from w join o using (i) where w.i > 0 group by fold"""

@@ -21,8 +21,8 @@ def deduplicated(log: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def windowed(log: DataFrame, time: str, width: str = "7 days", delay: str | None = None) -> DataFrame:
-    """(start, judge, n, n_true, n_fail) by tumbling window; with a delay as a stream, without as a batch."""
-    rows = log.withColumn("t", F.col(time).cast("timestamp"))
+    """(start, judge, n, n_true, n_fail) by tumbling window; with a delay as a stream, without as a batch. A batch's windows are free of time zones; a stream's follow the session's, as watermarks need zoned times."""
+    rows = log.withColumn("t", F.col(time).cast("timestamp" if delay else "timestamp_ntz"))
     rows = rows.withWatermark("t", delay) if delay else rows
     return rows.groupBy(F.window("t", width).alias("w"), spelled("judge").alias("judge")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "true").alias("n_true"), F.count_if(F.col("verdict") == "parse_fail").alias("n_fail")).select(F.col("w.start").alias("start"), "judge", "n", "n_true", "n_fail")
 
