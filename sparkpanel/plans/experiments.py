@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import spelled, table, written
 from ..operators import panel as P
+from ..operators import sampling as S
 from ..operators import stats as T
 from . import panels
 
@@ -147,7 +148,48 @@ def window_recalibration(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("*", F.when(F.coalesce("last_flag", F.lit(False)), F.col("accepts")).otherwise(0).alias("routed"))
 
 
-QUERIES = {f.__name__: f for f in (regime_summary, rf_only_routing, rf_only_summary, detection_tiers, flag_confusion, full_set_policy, heldout_vs_full, utility_closed_form, replication_rule, window_recalibration)}
+#: Counters of a fold: what is counted (b: corrupted, y: majority accepts, g: grounded majority, u: unanimous, f: flagged).
+COUNTERS = {
+    "n_false": "b", "n_clean": "not b", "rf_false_accept": "b and y", "rf_clean_accept": "not b and y", "rf_all3": "b and u", "ground_all_false_accept": "b and y and g", "ground_all_clean_accept": "not b and y and g",
+    "corrected": "b and y and not g", "lost": "not b and y and not g", "references_acquired": "y", "routed_false_accept": "b and y and (not f or g)", "routed_clean_accept": "not b and y and (not f or g)", "routed_references": "f and y", "references_avoided": "not f and y", "unknown": "y and g is null",
+}
+#: Rates of a fold: their counter and what it is divided by.
+RATES = {k: (k, "n_false") for k in ("rf_false_accept", "rf_all3", "ground_all_false_accept", "corrected", "routed_false_accept")} | {k: (k, "n_clean") for k in ("rf_clean_accept", "ground_all_clean_accept", "lost", "routed_clean_accept")}
+
+
+def crossfit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counters of each fold (a hash of the item) with the flag from all other folds, and pooled, for both panels.
+
+    The other folds' counts are all counts less the fold's own, so no item is repeated. Accepts without every grounded
+    verdict are unknown and count as neither corrected nor lost.
+    """
+    out = None
+    for name, panel in (("first", panels.PANEL), ("second", panels.SECOND)):
+        fold = F.conv(F.substring(S.hashed("fold", F.col("id")), 1, 4), 16, 10).cast("bigint") % 5
+        rows = written(panels._wide(spark, folder, panel).withColumn("fold", fold), "folds")
+        own = written(T.miss_counts(rows.where("is_corrupted"), ["fold"]), "own")
+        sums = ("n", "s1", "s2", "s3", "s12", "s13", "s23", "s123")
+        every = own.agg(*(F.sum(c).alias(f"all_{c}") for c in sums)).first()
+        others = own.select("fold", *((F.lit(every[f"all_{c}"] or 0) - F.col(c)).alias(c) for c in sums))
+        risk = T.risk(others).join(T.count_null(others, ["fold"], panels.PERMUTATIONS), "fold")
+        flags = risk.select("fold", T.flagged(F.col("fn_corr"), F.col("lift"), F.col("lift_infinite"), F.col("p")).alias("f"))
+        told = rows.join(flags, "fold", "left").select(F.col("fold").cast("string").alias("fold"), F.coalesce("f", F.lit(False)).alias("f"), F.col("is_corrupted").alias("b"), P.majority().alias("y"), P.grounded_majority().alias("g"), P.unanimous().alias("u"))
+        each = told.groupBy("fold", "f").agg(*(F.count_if(F.expr(c)).alias(k) for k, c in COUNTERS.items()))
+        pooled = each.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in COUNTERS)).select(F.lit("pooled").alias("fold"), F.lit(None).cast("boolean").alias("f"), *COUNTERS)
+        counts = each.unionByName(pooled).select(F.lit(name).alias("panel"), "fold", F.col("f").alias("flag"), *COUNTERS)
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
+def crossfit_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rates of these counters with their 95 % intervals; 0 of nothing is 0."""
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(k).alias("k"), F.col(n).alias("n")) for m, (k, n) in RATES.items()))
+    rows = crossfit_counts(spark, folder).select("panel", "fold", F.explode(each).alias("x")).select("panel", "fold", "x.*")
+    low, high = T.wilson(F.col("k"), F.col("n"))
+    return rows.select("*", F.round(F.coalesce(T.rate(F.col("k"), F.col("n")), F.lit(0.0)), 9).alias("rate"), F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+QUERIES = {f.__name__: f for f in (crossfit_counts, crossfit_rates, regime_summary, rf_only_routing, rf_only_summary, detection_tiers, flag_confusion, full_set_policy, heldout_vs_full, utility_closed_form, replication_rule, window_recalibration)}
 
 
 def _sql() -> dict[str, str]:
@@ -169,7 +211,24 @@ ro as (select family, seed, case when undecided then 'requires_grounded' else 'c
     price = f"{CALL_PRICE!r}::double"
     per = lambda x: f"case when abs(s) >= 1e-12 then round(({x}) / s, 7) end"
     confusion = q.lofo
+    sums = ("n", "s1", "s2", "s3", "s12", "s13", "s23", "s123")
+
+    def crossfit(name: str, panel: tuple[str, ...]) -> str:
+        return f"""select * from (with {q.base(panel)}, fo as (select *, (('0x' || substr(sha256(concat_ws('|', 'fold', id)), 1, 4))::bigint % 5) fold from w), bd as (select * from fo where is_corrupted), {q.risk('bd', 'fold', 'ow')},
+al as (select {", ".join(f"sum({c})::bigint a_{c}" for c in sums)} from owc), mk as (select fold, {", ".join(f"a_{c} - {c} {c}" for c in sums)} from owc, al),
+m0 as (select fold, {q.null3} null3, {q.mean_corr} corr, n, s1, s2, s3, s123 from mk),
+xs as (select *, unnest(range(0, n + 1)) x from m0), xk as (select * from xs where x <= least(s1, s2) and x >= s1 + s2 - n), ts as (select *, unnest(range(0, n + 1)) t from xk), tk as (select * from ts where t >= s123 and t <= least(x, s3) and t >= x + s3 - n),
+pv as (select fold, least(1.0, sum({q.hg('n', 's1', 's2', 'x')} * {q.hg('n', 'x', 's3', 't')})) p from tk group by fold),
+fg as (select m0.fold, (round(corr, 9) > {T.MAX_CORRELATION} and ((null3 = 0 and s123 > 0) or coalesce(case when null3 > 0 then s123::double / n / null3 when s123 = 0 then 0.0 end > {T.MAX_LIFT}, false)) and coalesce(p, 1.0) < {T.MAX_P}) f from m0 left join pv on m0.fold = pv.fold),
+tl as (select fo.fold::varchar fold, coalesce(f, false) f, is_corrupted b, rfm y, gm g, una u from fo left join fg on fo.fold = fg.fold), c as (select fold, f flag, {", ".join(f"{cnt(c)} as {k}" for k, c in COUNTERS.items())} from tl group by all)
+select '{name}' as panel, * from c union all select '{name}', 'pooled', null, {", ".join(f"coalesce(sum({k}), 0)::bigint" for k in COUNTERS)} from c)"""
+
+    folds = " union all ".join(crossfit(n, p) for n, p in (("first", panels.PANEL), ("second", panels.SECOND)))
+    z, rate = T.Z95, "k::double / n::double"
+    mid, half = f"(({rate} + {z * z!r} / (2 * n)) / (1 + {z * z!r} / n))", f"({z!r} * sqrt({rate} * (1 - {rate}) / n + {z * z!r} / (4 * n::double * n)) / (1 + {z * z!r} / n))"
     return {
+        "crossfit_counts": folds,
+        "crossfit_rates": f"with cf as ({folds}), r as (" + " union all ".join(f"select panel, fold, '{m}' as metric, {k} k, {n} n from cf" for m, (k, n) in RATES.items()) + f") select *, round(case when n > 0 then {rate} else 0.0 end, 9) rate, round(case when n > 0 then greatest(0.0, {mid} - {half}) else 0.0 end, 9) low, round(case when n > 0 then least(1.0, {mid} + {half}) else 1.0 end, 9) high from r",
         "regime_summary": f"with {q.flags}, {q.dec}, {regime} select * from rg",
         "rf_only_routing": f"with {q.flags}, {rf} select * from ro",
         "rf_only_summary": f"""with {q.flags}, {rf}, a as (select family, count(*) n_splits, {cnt('flag')} high_splits, {cnt('lift_infinite')} infinite_splits, {", ".join(f"round(avg({c}), 7) {c}_mean, round({std(c)}, 7) {c}_std" for c in ("fn_corr", "all3", "p", "lift"))} from fl group by family),

@@ -207,20 +207,6 @@ def wilson_policy_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("family", "hits", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-def crossfit_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Policy counters by fold (a hash of the item) and pooled, for both panels."""
-    out = None
-    for name, panel in (("first", PANEL), ("second", SECOND)):
-        rows = _wide(spark, folder, panel).withColumn("fold", F.conv(F.substring(S.hashed("fold", F.col("id")), 1, 4), 16, 10).cast("bigint") % 5)
-        g, rf, bad = P.grounded_majority(), P.majority(), F.col("is_corrupted")
-        counts = rows.rollup("fold").agg(
-            F.count_if(bad).alias("n_false"), F.count_if(~bad).alias("n_clean"), F.count_if(bad & rf).alias("rf_false_accepts"), F.count_if(~bad & rf).alias("rf_true_accepts"),
-            F.count_if(bad & rf & F.coalesce(~g, F.lit(False))).alias("corrected"), F.count_if(~bad & rf & F.coalesce(~g, F.lit(False))).alias("lost"), F.count_if(~rf).alias("avoided"), F.count_if(rf & g.isNull()).alias("unknown"),
-        ).select(F.lit(name).alias("panel"), F.coalesce(F.col("fold").cast("string"), F.lit("pooled")).alias("fold"), "n_false", "n_clean", "rf_false_accepts", "rf_true_accepts", "corrected", "lost", "avoided", "unknown")
-        out = counts if out is None else out.unionByName(counts)
-    return out
-
-
 def _accepts(by: list[str], rows: DataFrame, name: str = "") -> DataFrame:
     """Rates of plain majority and unanimity, and how many items the majority accepts."""
     bad, yes = F.col("is_corrupted"), P.majority()
@@ -322,7 +308,7 @@ QUERIES = {
     for f in (
         bootstrap_reduction, hash_permutation_null, policy_random_budget, drift_mixture, leave_one_family_out, family_inference, collapse_rule, risk_flag_pairwise, risk_by_family, replay_permutation_null, judge_accuracy, false_consensus_rate, judge_pair_agreement, panel_judge_metrics,
         balanced_accuracy, parse_failures, verdict_latest, verdict_first, verdict_store_priority, todo_anti_join, complete_case_filter, cache_repair, policy_rates, policy_bounds_missing, policy_summary_mean_std, identity_check,
-        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, crossfit_counts, utility_breakeven,
+        cross_family, threshold_ablation, invariance_region, wilson_policy_rates, utility_breakeven,
     )
 }
 
@@ -416,10 +402,6 @@ select ht.family, ht.seed, max(n) n, round(max(obs::double / n), 9) all3, round(
         "invariance_region": f"""with {flags}, e as (select min(fn_corr) filter (where flag) c, min(case when lift_infinite then 'inf'::double else lift end) filter (where flag) l, max(p) filter (where flag) pl, min(p) filter (where not flag) ph from fl)
 select 'fn_corr' as statistic, 0.0::double low, c as high from e union all select 'lift', 0.0::double, l from e union all select 'p', pl, ph from e""",
         "wilson_policy_rates": f"with {base()}, h as (select family, {cnt('rfm')} hits, count(*) n from w where is_corrupted group by family) select family, hits, n, round(greatest(0.0, {mid} - {half}), 9) low, round(least(1.0, {mid} + {half}), 9) high from h",
-        "crossfit_counts": " union all ".join(
-            f"select * from (with {base(panel)}, f as (select *, (('0x' || substr(sha256(concat_ws('|', 'fold', id)), 1, 4))::bigint % 5)::varchar fold from w) select '{name}' as panel, coalesce(fold, 'pooled') fold, {cnt('is_corrupted')} n_false, {cnt('not is_corrupted')} n_clean, {cnt('is_corrupted and rfm')} rf_false_accepts, {cnt('not is_corrupted and rfm')} rf_true_accepts, {cnt('is_corrupted and rfm and not gm')} corrected, {cnt('not is_corrupted and rfm and not gm')} lost, {cnt('not rfm')} avoided, {cnt('rfm and gm is null')} as unknown from f group by rollup (fold))"
-            for name, panel in (("first", PANEL), ("second", SECOND))
-        ),
         "utility_breakeven": f"with {full}, r as (select * from pr) select r.family, r.seed, r.policy, round((b.false_accept - r.false_accept) * r.n_corrupt, 6) avoided, r.extra_verifier_items, case when r.extra_verifier_items > 0 then round((b.false_accept - r.false_accept) * r.n_corrupt / r.extra_verifier_items, 8) end breakeven from r join (select family, seed, false_accept from r where policy = 'rf_majority') b on r.family = b.family and r.seed = b.seed where r.policy <> 'rf_majority' and r.false_accept is not null",
     }
     seeds = f"(select unnest([{', '.join(map(str, SEEDS))}]) seed)"
@@ -450,7 +432,7 @@ from arf a join stf i on i.seed = a.seed join ev on ev.target = a.target and ev.
         "family_inference": f"with {base()} select case split_part(id, '_', 1) when 'num' then 'number' when 'ent' then 'entity' when 'att' then 'attribute' when 'nat' then 'natural' when 'ref' then 'refutes' when 'ctl' then 'control' else 'unknown' end inferred, family, count(*) n from it group by all",
         "collapse_rule": f"with {base()}, bad as (select * from w where is_corrupted), {risk('bad', 'family')} select family, (fn_corr < 0.10 and not lift_infinite and coalesce(lift < 1.3, false)) collapsed from risk0",
     }
-    return out, SimpleNamespace(base=base, flags=flags, dec=dec, full=full, cnt=cnt, ratio=ratio, risk=risk, law=law, spelled=s, split=split, lofo=out["leave_one_family_out"])
+    return out, SimpleNamespace(base=base, flags=flags, dec=dec, full=full, cnt=cnt, ratio=ratio, risk=risk, law=law, spelled=s, split=split, hg=hg, null3="(s1::double * s2::double * s3::double / (n::double * n::double * n::double))", mean_corr=f"(({corr('s1', 's2', 's12')} + {corr('s1', 's3', 's13')} + {corr('s2', 's3', 's23')}) / 3)", lofo=out["leave_one_family_out"])
 
 
 #: The SQL of these queries, and the parts of it that other modules build on.
