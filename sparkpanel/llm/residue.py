@@ -78,7 +78,9 @@ def _masked(segment: Column, low: Column, marked: Column, unset: Column, latin:
     """
     x = F.when(marked | unset, F.lower(F.regexp_replace(segment, _NAMES, " "))).otherwise(low)
     x = F.when(marked, F.regexp_replace(F.regexp_replace(x, SLOT, " ⟨slot⟩ "), FIELD_SLOT, " ⟨slot⟩ ")).otherwise(x)
-    x = F.when(_holds(low, ("@", "http", "www.")), F.regexp_replace(x, _ADDRESS, " ")).otherwise(x)
+    # The lambda also keeps these many expressions out of one huge generated method, which no JIT compiles.
+    addressed = F.exists(F.array(*map(F.lit, ("@", "http", "www."))), lambda w: F.contains(low, w))
+    x = F.when(addressed, F.regexp_replace(x, _ADDRESS, " ")).otherwise(x)
     x = F.when(low.contains("'"), F.regexp_replace(x, _KEY, " ⟨slot⟩ ")).otherwise(x)
     x = F.when(latin, F.regexp_replace(x, rf"({LOREM}\W*)+", " ⟨filler⟩ ")).otherwise(x)
     return F.trim(F.regexp_replace(F.regexp_replace(x, _MONTH_DATE, " "), r"[^\p{L}⟨⟩]+", " "))
@@ -115,7 +117,7 @@ def rule(segment: Column) -> Column:
 
 def segments(documents: DataFrame) -> DataFrame:
     """(doc_id, source, size, segment): the distinct lines and sentences of every whole text, and how many it has; null and blank texts have none."""
-    lines = F.filter(F.array_distinct(F.split("text", r"\n+|(?<=[.!?])\s+(?=\S)")), lambda x: F.trim(x) != "")
+    lines = F.filter(F.array_distinct(F.split("text", r"\s(?:(?<=\n)|(?<=[.!?]\s))\s*")), lambda x: F.trim(x) != "")
     split = documents.select("doc_id", spelled("source").alias("source"), lines.alias("lines"))
     return split.select("doc_id", "source", F.size("lines").alias("size"), F.explode("lines").alias("segment"))
 
