@@ -123,7 +123,7 @@ def _vectors(classes: DataFrame, attributes: DataFrame, least: float) -> DataFra
     """
     spark = classes.sparkSession
     total = classes.count()
-    occurrences = classes.select("cid", F.explode(F.arrays_zip(F.split("canon", " ").alias("term"), F.split(F.regexp_replace("marks", "(?<=.)(?=.)", " "), " ").alias("mark"))).alias("x")).select("cid", "x.*")
+    occurrences = classes.select("cid", "marks", F.posexplode(F.split("canon", " ")).alias("i", "term")).select("cid", "term", F.substr("marks", F.col("i") + 1, F.lit(1)).alias("mark"))
     counted = occurrences.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mark") == "C").alias("caps"), F.count_if(F.col("mark") != "u").alias("seen"))
     named = (F.col("seen") > 0) & (F.col("caps") >= NAME * F.col("seen"))
     stats = counted.join(attributes.select(F.col("term"), F.lit(True).alias("attribute")).distinct(), "term", "left")
