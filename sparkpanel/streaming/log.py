@@ -27,16 +27,26 @@ def windowed(log: DataFrame, time: str, width: str = "7 days", delay: str | None
     return rows.groupBy(F.window("t", width).alias("w"), spelled("judge").alias("judge")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "true").alias("n_true"), F.count_if(F.col("verdict") == "parse_fail").alias("n_fail")).select(F.col("w.start").alias("start"), "judge", "n", "n_true", "n_fail")
 
 
-def append_new(path: str, keys: list[str]):
-    """A foreachBatch function that appends the rows whose key isn't stored yet, so replayed batches change nothing."""
+def append_new(path: str, keys: list[str], buckets: int = 256):
+    """A foreachBatch function that appends the rows whose key isn't stored yet, so replayed batches change nothing.
+
+    The store is partitioned by a hash of the key (k_bucket), and a batch only reads the buckets that its own keys fall
+    into, and their keys alone. Null parts of a key equal each other. Of rows with one key in a batch one stays.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        try:
-            rows = rows.join(batch.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
-        except Exception as error:  # noqa: BLE001 - the store is empty before the first batch
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        rows.write.mode("append").parquet(path)
+        rows = batch.dropDuplicates(keys).withColumn("k_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select("k_bucket").distinct().collect()]  # at most as many as there are buckets
+        if touched and _there(batch, path):
+            stored = batch.sparkSession.read.schema(rows.schema).parquet(path).where(F.col("k_bucket").isin(touched)).select("k_bucket", *keys)
+            same = [F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}")) for k in ("k_bucket", *keys)]
+            rows = rows.alias("new").join(stored.alias("old"), same, "left_anti")
+        rows.write.mode("append").partitionBy("k_bucket").parquet(path)
 
     return write
+
+
+def _there(frame: DataFrame, path: str) -> bool:
+    context = frame.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)

@@ -129,6 +129,15 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         append(rows, k)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
+    append(rows.limit(0), 2)
+    more = rows.limit(1).unionByName(rows.limit(1)).withColumn("seq", F.lit(None).cast("bigint"))
+    for k in (3, 4):
+        append(more, k)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 4
+    first = stream.append_new(str(tmp_path / "empty"), ["seq"])
+    first(rows.limit(0), 0)
+    first(rows, 1)
+    assert spark.read.parquet(str(tmp_path / "empty")).count() == 3
 
 
 def test_stream_keeps_late_first_copies_and_rows_without_item(spark, tmp_path):
