@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import spelled, table
+from ..common import spelled, table, written
 from ..functions import builders as B
 from ..functions import text as X
 from ..operators import judges, sampling
@@ -78,7 +78,8 @@ def attribute_replacements(spark: SparkSession, folder: str) -> DataFrame:
 
 def capped_replacements(spark: SparkSession, folder: str) -> DataFrame:
     """The same with each pair used at most CAP times, in the order of the claims."""
-    return B.capped(_offered(spark, folder).select("claim_id", "value", "options"), "value", "options", "claim_id", CAP).select("claim_id", "value", "chosen")
+    offered = written(_offered(spark, folder).select("claim_id", "value", "options"), "offered")  # else each filter would work out the options again
+    return B.capped(offered, "value", "options", "claim_id", CAP).select("claim_id", "value", "chosen")
 
 
 def contradiction_control(spark: SparkSession, folder: str) -> DataFrame:
