@@ -1,11 +1,16 @@
 import hashlib
 import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkpanel import common
 from sparkpanel.functions import text as X
 from sparkpanel.operators import graph, judges, retrieval
 from sparkpanel.sources import files
@@ -67,6 +72,66 @@ def test_bm25_against_brute_force(spark):
     assert {(r.query_id, r.doc_id): (pytest.approx(r.score, abs=1e-8), r["rank"]) for r in got.collect()} == want
 
 
+def _ranked(docs, queries, k=3):
+    """{(query, doc): (score, rank)} by the definition: postings are counted by doc_id, length and word, n and the mean length by row."""
+    split = [(d, re.findall(r"\w+", (t or "").lower())) for d, t in docs]
+    mean, tf, asked = sum(len(ws) for _, ws in split) / len(split), Counter((d, len(ws), w) for d, ws in split for w in ws), {}
+    df, want = Counter(w for _, _, w in tf), {}
+    for q, t in queries:
+        asked.setdefault(q, []).extend(re.findall(r"\w+", (t or "").lower()))
+    for q, words in asked.items():
+        score = Counter()
+        for (d, dl, w), n in tf.items():
+            score[d] += words.count(w) * math.log((len(docs) - df[w] + 0.5) / (df[w] + 0.5) + 1) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * dl / mean))
+        best = sorted(((-round(s, 9), d is not None, d) for d, s in score.items() if s))[:k]
+        want |= {(q, d): (pytest.approx(-s, abs=1e-8), rank) for rank, (s, _, d) in enumerate(best, 1)}
+    return want
+
+
+def test_bm25_writes_no_pairs(spark, monkeypatch):
+    docs = [(k, "all of these documents share their words " + "and some more " * (k % 7) + f"number {k % 50}") for k in range(300)]
+    queries = [(k, f"documents share these words and number {k}") for k in range(100)]
+    sizes = {}
+
+    def written(frame, label):
+        out = common.written(frame, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(retrieval, "written", written)
+    got = retrieval.bm25(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string"))
+    assert {(r.query_id, r.doc_id): (r.score, r["rank"]) for r in got.collect()} == _ranked(docs, queries)
+    assert sizes and max(sizes.values()) <= 300  # 30,000 pairs share words
+
+
+def test_bm25_reads_texts_of_one_identifier_together(spark):
+    docs = [(1, "red fox"), (1, "red hen"), (1, "a long tale of one red fox"), (2, "red fox fox"), (None, "fox"), (None, "hen and fox"), (3, "tale")]
+    queries = [(1, "red fox"), (1, "tale"), (None, "hen"), (2, "")]
+    got = retrieval.bm25(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string"))
+    assert {(r.query_id, r.doc_id): (r.score, r["rank"]) for r in got.collect()} == _ranked(docs, queries)
+
+
+@pytest.mark.parametrize("held", [40, 300, 10**6])
+def test_bm25_answers_do_not_depend_on_the_parts(monkeypatch, held):
+    monkeypatch.setattr(retrieval, "_POSTINGS", held)
+    monkeypatch.setattr(retrieval, "_DENSE", 8 * 40)
+    pick = random.Random(held)
+    words = pa.array([f"w{k:02}" for k in range(40)])
+    text = lambda most: " ".join(f"w{min(int(pick.expovariate(0.15)), 39):02}" for _ in range(pick.randint(0, most)))
+    docs, queries = [(d, text(12)) for d in pick.sample(range(1000), 200)] + [(2000 + d, "w01 w02 w09") for d in range(5)], [(q, text(9)) for q in range(60)] + [(99, "w01 w02 w09")]
+    split = [t.split() for _, t in docs]
+    df = np.array([sum(w in ws for ws in split) for w in words.to_pylist()])
+    idf = np.log((len(docs) - df + 0.5) / (df + 0.5) + 1)
+    counts = [Counter(t.split()) for _, t in queries]
+    asked = retrieval._questions(pa.table({"query_id": [q for q, _ in queries], "terms": pa.array([list(c) for c in counts], pa.list_(pa.string())), "times": pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))}), words, idf)
+    batches = [retrieval._encoded(pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs[a : a + 20]], "t": pa.array(split[a : a + 20], pa.list_(pa.string()))}), words).select(["doc_id", "ids", "tfs", "dls"]) for a in range(0, len(docs), 20)]
+    found = {}
+    for out in retrieval._answers(iter(batches), asked, len(words), sum(map(len, split)) / len(split), 3):
+        for r in out.to_pylist():
+            found.setdefault(r["query_id"], []).append((-r["score"], r["doc_id"]))
+    assert {(q, d): (-s, rank) for q, x in found.items() for rank, (s, d) in enumerate(sorted(x)[:3], 1)} == _ranked(docs, queries)
+
+
 def test_components_and_folds(spark):
     links = [("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 9), ("e", 8), ("f", 8), (None, 8), ("g", None)] + [(f"x{k:02}", 100 + k + d) for k in range(20) for d in (0, 1)]
     got = {r.item: r.root for r in graph.components(spark.createDataFrame(links, "item string, doc int")).collect()}
