@@ -1,10 +1,14 @@
 import random
 
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from sparkpanel import common
 from sparkpanel.operators import graph, panel, retrieval
-from sparkpanel.plans import experiments
+from sparkpanel.plans import evidence, experiments
 
 
 def _greedy(groups, k, clean, false):
@@ -73,3 +77,26 @@ def test_regimes_add_up_to_all_splits(spark):
     assert {r.n for r in summed.collect()} == {10}
     months = experiments.window_recalibration(spark, folder).orderBy("month").collect()
     assert all(m.routed == (m.accepts if m.last_flag else 0) for m in months) and all(m.last_flag == before.flag for before, m in zip(months, months[1:]))
+
+
+@pytest.mark.parametrize("name", ["sentence_topk"])
+def test_evidence_queries_write_no_pairs(spark, tmp_path, monkeypatch, name):
+    told = [" ".join(f"These sentences share words {'and more ' * ((d + k) % 4)}in place {k} of {d}." for k in range(10)) for d in range(40)]
+    docs = pa.table({"doc_id": range(40), "text": told})
+    gold = pa.array([[{"doc_id": q % 40, "sent_idx": q % 12}] for q in range(100)], pa.list_(pa.struct([("doc_id", pa.int64()), ("sent_idx", pa.int32())])))
+    refs = pa.table({"seq": range(0, 2000, 20), "item_id": [f"i{q}" for q in range(100)], "statement": [f"these words share place {q % 10} of {q % 40}" for q in range(100)], "is_corrupted": [q % 2 == 0 for q in range(100)], "gold_evidence": gold})
+    con, sizes = duckdb.connect(), {}
+    for table, rows in (("documents", docs), ("retrieval_refs", refs)):
+        pq.write_table(rows, tmp_path / f"{table}.parquet")
+        con.register(table, rows)
+
+    def written(frame, label):
+        out = common.written(frame, label)
+        sizes[label] = out.count()
+        return out
+
+    for module in (retrieval, evidence):
+        monkeypatch.setattr(module, "written", written)
+    got = evidence.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(evidence.SQL[name]).fetchall())
+    assert sizes and max(sizes.values()) <= 400  # 40,000 pairs share words
