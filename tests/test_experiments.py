@@ -79,7 +79,7 @@ def test_regimes_add_up_to_all_splits(spark):
     assert all(m.routed == (m.accepts if m.last_flag else 0) for m in months) and all(m.last_flag == before.flag for before, m in zip(months, months[1:]))
 
 
-@pytest.mark.parametrize("name", ["sentence_topk", "reference_assembly", "reference_tokens"])
+@pytest.mark.parametrize("name", ["sentence_topk", "reference_assembly", "reference_tokens", "retrieval_recall"])
 def test_evidence_queries_write_no_pairs(spark, tmp_path, monkeypatch, name):
     told = [" ".join(f"These sentences share words {'and more ' * ((d + k) % 4)}in place {k} of {d}." for k in range(10)) for d in range(40)]
     docs = pa.table({"doc_id": range(40), "text": told})
