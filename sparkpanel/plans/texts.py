@@ -124,7 +124,7 @@ def proportional_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    queries = table(spark, folder, "retrieval_refs").where("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("statement").alias("text"))
+    queries = table(spark, folder, "retrieval_refs").select(F.col("seq").alias("query_id"), F.col("statement").alias("text"))
     return retrieval.bm25(table(spark, folder, "documents").select("doc_id", "text"), queries).select("query_id", "doc_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -219,7 +219,7 @@ SQL = {
     "proportional_order": "select claim_id, length_bin, rk stratum_rank, round((rk - 0.5::double) / sz, 9) place from (select claim_id, length_bin, row_number() over (partition by length_bin order by sha256(concat_ws('|', 'order', claim_id))) rk, count(*) over (partition by length_bin) sz from claim_pool where length_bin is not null)",
     "bm25_topk": f"""with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') t from documents), z as (select count(*) n, avg(len(t)) avgdl from d),
 p as (select doc_id, dl, term, count(*) tf from (select doc_id, len(t) dl, unnest(t) term from d) group by all), f as (select term, count(*) df from p group by term),
-q as (select query_id, term, count(*) times from (select seq query_id, unnest(regexp_extract_all(lower(coalesce(statement, '')), '[\\p{{L}}\\p{{N}}_]+')) term from retrieval_refs where seq % 20 = 0) group by all),
+q as (select query_id, term, count(*) times from (select seq query_id, unnest(regexp_extract_all(lower(coalesce(statement, '')), '[\\p{{L}}\\p{{N}}_]+')) term from retrieval_refs) group by all),
 s as (select query_id, doc_id, round(sum(times * ln((n - df + 0.5::double) / (df + 0.5::double) + 1) * tf * {retrieval.K1 + 1}::double / (tf + {retrieval.K1}::double * (1 - {retrieval.B}::double + {retrieval.B}::double * dl / avgdl))), 9) score from q join p using (term) join f using (term), z group by all)
 select query_id, doc_id, score, rk as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rk from s) where rk <= 3""",
     "hit_miss_strata": f"with r as (select id, e.key as condition, max(e.value.hit::int) = 1 hit from (select {_s('item_id')} id, unnest(map_entries(refs)) e from retrieval_refs where is_corrupted) group by all), t as (select {_s('item_id')} id, {_s('condition')} as condition, verdict from rf_cache where condition is not null and item_id is not null) select condition, hit, count(*) n, count(*) filter (where verdict = 'true') n_true from t join r using (id, condition) group by all",

@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from sparkpanel import common
 from sparkpanel.functions import text as X
 from sparkpanel.operators import graph, judges, retrieval
+from sparkpanel.plans import texts
 from sparkpanel.sources import files
 from sparkpanel.streaming import log as stream
 
@@ -132,6 +135,19 @@ def test_bm25_answers_do_not_depend_on_the_parts(monkeypatch, held):
     assert {(q, d): (-s, rank) for q, x in found.items() for rank, (s, d) in enumerate(sorted(x)[:3], 1)} == _ranked(docs, queries)
 
 
+def test_bm25_topk_asks_for_every_reference(spark, tmp_path):
+    docs = pa.table({"doc_id": range(30), "text": [f"the tale of fox {d % 11} and hen {d % 7}, told {'again ' * (d % 4)}" for d in range(30)]})
+    refs = pa.table({"seq": [*range(1, 46), None], "statement": [None, ""] + [f"the fox {q % 11} met hen {q % 5} {'hen ' * (q % 3)}" for q in range(44)]})
+    con = duckdb.connect()
+    for name, rows in (("documents", docs), ("retrieval_refs", refs)):
+        pq.write_table(rows, tmp_path / f"{name}.parquet")
+        con.register(name, rows)
+    key = lambda r: (r[0] is None, r)
+    got = sorted(map(tuple, texts.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()), key=key)
+    assert {r[0] for r in got} == {*range(3, 46), None}
+    assert got == sorted(con.sql(texts.SQL["bm25_topk"]).fetchall(), key=key)
+
+
 def test_components_and_folds(spark):
     links = [("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 9), ("e", 8), ("f", 8), (None, 8), ("g", None)] + [(f"x{k:02}", 100 + k + d) for k in range(20) for d in (0, 1)]
     got = {r.item: r.root for r in graph.components(spark.createDataFrame(links, "item string, doc int")).collect()}
