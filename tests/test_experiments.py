@@ -100,3 +100,18 @@ def test_evidence_queries_write_no_pairs(spark, tmp_path, monkeypatch, name):
     got = evidence.QUERIES[name](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(evidence.SQL[name]).fetchall())
     assert sizes and max(sizes.values()) <= 400  # 40,000 pairs share words
+
+
+@pytest.mark.parametrize("name", ["sentence_topk"])
+def test_evidence_queries_ask_for_every_reference(spark, tmp_path, name):
+    told = [f"Fox {d % 11} runs. Hen {d % 7} sleeps {'long ' * (d % 4)}in barn {d}.\nBoth eat!" for d in range(30)]
+    docs = pa.table({"doc_id": range(30), "text": told})
+    gold = pa.array([[{"doc_id": q % 31, "sent_idx": q % 4}, {"doc_id": q % 5, "sent_idx": 0}] for q in range(46)], pa.list_(pa.struct([("doc_id", pa.int64()), ("sent_idx", pa.int32())])))
+    refs = pa.table({"seq": range(1, 47), "item_id": [f"i{q}" for q in range(46)], "statement": [None, "nothing"] + [f"the fox {q % 11} met hen {q % 5} in barn {q % 30}" for q in range(44)], "is_corrupted": [q % 2 == 0 for q in range(46)], "gold_evidence": gold})
+    con = duckdb.connect()
+    for table, rows in (("documents", docs), ("retrieval_refs", refs)):
+        pq.write_table(rows, tmp_path / f"{table}.parquet")
+        con.register(table, rows)
+    got = sorted(map(tuple, evidence.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert {*range(3, 47)} <= {r[0] for r in got}
+    assert got == sorted(con.sql(evidence.SQL[name]).fetchall())
